@@ -19,9 +19,9 @@ FOREVER = np.iinfo(np.int64).max
 RANGE = "range_no int, keys array<string>, sizes array<int>, starts array<bigint>, ends array<bigint>"
 
 
-def _bounds(keys: DataFrame, ranges: int, sample: int) -> list[str]:
-    """At most ``ranges - 1`` cut points from at most ``sample`` keys. They shape the partitions, never the result."""
-    rows = keys.select("key", F.xxhash64("key").alias("_h")).orderBy("_h").limit(sample).select("key").collect()
+def _bounds(keys: DataFrame, n: int, ranges: int, sample: int) -> list[str]:
+    """At most ``ranges - 1`` cut points from about ``sample`` of the ``n`` keys. They shape the partitions, never the result."""
+    rows = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0).select("key").limit(2 * sample).collect()
     got = sorted({r.key for r in rows})
     return [got[i * len(got) // ranges] for i in range(1, ranges)] if len(got) >= ranges else got[1:]
 
@@ -85,7 +85,7 @@ def _present(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.n
     return known & own & (ends[np.maximum(j, 0)] > at)
 
 
-def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_000, batch_rows: int = 50_000, sample: int = 16_384) -> DataFrame:
+def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_000, batch_rows: int = 50_000, sample: int = 8_192) -> DataFrame:
     """References whose key no parent has at the time of the reference; each distinct row once.
 
     ``parents``: ``key STRING, start BIGINT, end BIGINT`` (present from start to before end; end null: for good).
@@ -103,7 +103,7 @@ def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_
     parents = parents.where("key IS NOT NULL AND start IS NOT NULL").groupBy("key", F.coalesce("end", F.lit(FOREVER)).cast("bigint").alias("end")).agg(F.min("start").cast("bigint").alias("start")).where("start < end")
     n = parents.count()
     ranges = max(1, min(sample // 8, max(cores, -(-n // range_rows))))
-    bounds = _bounds(parents, ranges, sample) if n else []
+    bounds = _bounds(parents, n, ranges, sample) if n else []
     salts = max(1, -(-n // (ranges * range_rows)))
     held = _ranged(parents.select("key", "start", "end"), bounds)
     packed = held.groupBy("range_no", F.pmod(F.xxhash64("key", "start", "end"), F.lit(salts)).alias("salt")).applyInArrow(_pack, RANGE)
