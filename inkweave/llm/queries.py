@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
+from inkweave.llm.packing import container_fill, pack_containers
 from inkweave.llm.splitting import split_items
+from inkweave.llm.tokens import token_counts
 from inkweave.operators.records import live_records
-from inkweave.runtime import table
+from inkweave.runtime import Scratch, table
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -38,5 +41,53 @@ SELECT doc_hash, item_kind, item_no FROM items
 WHERE length(t) > 1400 OR len(list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda w: w <> '')) > 148
 """
 
-QUERIES = {"p1_found": p1_found, "p1_passages": p1_passages}
+
+
+def _sizes(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """The token counts of all documents, written once: they are read for the histogram or totals, then for the items."""
+    return Scratch(spark, name).put(token_counts(table(spark, sf_dir, "documents").select(*columns, "text")), "sizes")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_containers(_sizes(spark, sf_dir, "p7", ["doc_id"]))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_containers(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: one row."""
+    fill = container_fill(p7_containers(spark, sf_dir))
+    return fill.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("used").alias("used"), (F.sum("unused") / (F.count("*") * 2048)).alias("unused_share"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = _sizes(spark, sf_dir, "p8", ["doc_id", "source"])
+    rates = mix_rates(sizes, table(spark, sf_dir, "mix_targets"))
+    return mix_sources(sizes, rates), rates
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(*_mix(spark, sf_dir))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).where("capped").select("source").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_passages": p1_passages,
+    "p7_found": p7_found,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_mixture": p8_mixture,
+    "p8_report": p8_report,
+}
 SQL = {"p1_found": P1_SQL}
