@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.runtime import spread
+from inkweave.runtime import Scratch, spread
 
 
 def current_rows(df: DataFrame, key: str, version: str, columns: list[str], first: str | None = None) -> DataFrame:
@@ -26,3 +26,19 @@ def current_rows(df: DataFrame, key: str, version: str, columns: list[str], firs
 def live_records(records: DataFrame, columns: list[str], first: str | None = None) -> DataFrame:
     """Current rows of ``document_records`` that aren't removed."""
     return current_rows(records, "doc_hash", "saved_at", ["removed_at", *columns], first).where("removed_at IS NULL")
+
+
+def latest_rows(df: DataFrame, key: str, version: str, columns: list[str], small: int = 200_000) -> DataFrame:
+    """As ``current_rows``, for wide rows of which few are superseded; equally late copies all stay.
+
+    Only keys and versions are shuffled, where the keys with several rows are at most ``small`` and can be broadcast; else this
+    is ``current_rows``.
+    """
+    spark = df.sparkSession
+    several = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.max(version).alias("_latest")).where("_n > 1").select("_key", "_latest")
+    several = Scratch(spark, "latest").put(several, "several")
+    if several.count() > small:
+        return current_rows(df, key, version, columns)
+    names = [c for c in dict.fromkeys([key, version, *columns])]
+    joined = df.select(*names).where(F.col(key).isNotNull()).join(F.broadcast(several), F.col(key) == F.col("_key"), "left")
+    return joined.where(F.col("_key").isNull() | F.col(version).eqNullSafe(F.col("_latest"))).select(*names)
