@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
+from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
 from inkweave.llm.splitting import split_items
 from inkweave.llm.tokens import token_counts
-from inkweave.operators.records import live_records
+from inkweave.operators.records import latest_rows, live_records
 from inkweave.runtime import Scratch, table
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -43,6 +44,41 @@ WHERE length(t) > 1400 OR len(list_filter(regexp_split_to_array(t, '[{_WS}]+'),
 
 
 
+DIM, FINGERPRINT = 96, "nebula-mini-96/mean-pool/p3"
+
+
+def _vectors(spark: SparkSession, sf_dir: str, chunks: bool) -> DataFrame:
+    rows = latest_rows(table(spark, sf_dir, "embedding_records"), "doc_hash", "saved_at", ["fingerprint", "doc_vector", *["chunk_vectors", "n_chunks"] * chunks])
+    rows = rows.where(F.col("fingerprint") == FINGERPRINT)
+    return unit_vectors(rows, "doc_hash", "doc_vector", DIM, "doc", *["chunk_vectors", "n_chunks"] * chunks)
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar others of every document vector and chunk vector."""
+    return similar_vectors(_vectors(spark, sf_dir, True), DIM)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(_vectors(spark, sf_dir, True), DIM, least=0.9)
+    return similar_pairs(near, 0.9).select("vec_a", "vec_b").distinct()
+
+
+P4_SQL = f"""
+WITH cur AS (SELECT DISTINCT doc_hash, fingerprint, doc_vector, chunk_vectors, n_chunks FROM (
+    SELECT *, rank() OVER (PARTITION BY doc_hash ORDER BY saved_at DESC NULLS LAST) AS rk FROM embedding_records WHERE doc_hash IS NOT NULL)
+  WHERE rk = 1 AND fingerprint = '{FINGERPRINT}'),
+raw AS (
+  SELECT 'd' AS space, doc_hash AS key, doc_vector AS v FROM cur WHERE len(doc_vector) = {DIM}
+  UNION ALL
+  SELECT 'c', doc_hash || '#' || i, chunk_vectors[{DIM} * i + 1 : {DIM} * (i + 1)] FROM (
+    SELECT doc_hash, chunk_vectors, unnest(generate_series(0, n_chunks - 1)) AS i FROM cur WHERE n_chunks > 0 AND len(chunk_vectors) = n_chunks * {DIM})),
+vecs AS (SELECT space, key, CAST(v AS FLOAT[{DIM}]) AS v FROM raw WHERE len(list_filter(v, lambda x: isfinite(x))) = {DIM} AND len(list_filter(v, lambda x: x <> 0)) > 0),
+sims AS (SELECT a.space, a.key AS a, b.key AS b, array_cosine_similarity(a.v, b.v) AS s FROM vecs a JOIN vecs b ON a.space = b.space AND a.key <> b.key),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY space, a ORDER BY s DESC, b) AS rn FROM sims WHERE s >= 0.9) WHERE rn <= 5)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM top
+"""
+
+
 def _sizes(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """The token counts of all documents, written once: they are read for the histogram or totals, then for the items."""
     return Scratch(spark, name).put(token_counts(table(spark, sf_dir, "documents").select(*columns, "text")), "sizes")
@@ -83,6 +119,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_passages": p1_passages,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
@@ -90,4 +128,4 @@ QUERIES = {
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
 }
-SQL = {"p1_found": P1_SQL}
+SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL}
