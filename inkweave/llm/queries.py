@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkweave.llm.clusters import describe_clusters, right_numbers, similarity_clusters
 from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
 from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
 from inkweave.llm.splitting import split_items
 from inkweave.llm.tokens import token_counts
-from inkweave.operators.records import latest_rows, live_records
+from inkweave.operators.records import current_rows, latest_rows, live_records
 from inkweave.runtime import Scratch, table
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -79,6 +80,19 @@ SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM top
 """
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster's size and most typical records."""
+    return describe_clusters(Scratch(spark, "p5").put(similarity_clusters(_vectors(spark, sf_dir, False), DIM), "clusters"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = current_rows(table(spark, sf_dir, "nodes"), "node_id", "updated_at", ["kind", "cluster_no"]).where("kind = 'document'")
+    clusters = similarity_clusters(_vectors(spark, sf_dir, False), DIM)
+    both = right_numbers(clusters, nodes.select(F.col("node_id").alias("key"), F.col("cluster_no").alias("number")))
+    wrong = both.where("right_number IS NOT NULL AND NOT (number <=> right_number)")
+    return wrong.select(F.col("key").alias("doc_hash"), F.col("right_number").alias("cluster_no")).distinct()
+
+
 def _sizes(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """The token counts of all documents, written once: they are read for the histogram or totals, then for the items."""
     return Scratch(spark, name).put(token_counts(table(spark, sf_dir, "documents").select(*columns, "text")), "sizes")
@@ -121,6 +135,8 @@ QUERIES = {
     "p1_passages": p1_passages,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
