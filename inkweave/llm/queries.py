@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.llm.clusters import describe_clusters, right_numbers, similarity_clusters
 from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
+from inkweave.llm.neardup import near_duplicates, record_groups, record_pairs
 from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
 from inkweave.llm.splitting import split_items
@@ -45,6 +46,35 @@ WHERE length(t) > 1400 OR len(list_filter(regexp_split_to_array(t, '[{_WS}]+'),
 
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    live = live_records(table(spark, sf_dir, "document_records"), ["text"]).select("doc_hash", "text")
+    return near_duplicates(live, least=0.7, width=3)
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of distinct texts, by class."""
+    return _near(spark, sf_dir)[0]
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live record with its class, its group and its number of links."""
+    return record_groups(*_near(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_pairs(*_near(spark, sf_dir)).select("hash_a", "hash_b").distinct()
+
+
+P2_SQL = f"""
+WITH live AS ({_LIVE}),
+runs AS (SELECT doc_hash, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM live WHERE text IS NOT NULL),
+tri AS (SELECT DISTINCT doc_hash, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (
+    SELECT doc_hash, w, unnest(generate_series(1, len(w) - 2)) AS i FROM runs WHERE len(w) >= 3)),
+sizes AS (SELECT doc_hash, count(*) AS n FROM tri GROUP BY doc_hash),
+shared AS (SELECT a.doc_hash AS hash_a, b.doc_hash AS hash_b, count(*) AS c FROM tri a JOIN tri b ON a.t = b.t AND a.doc_hash < b.doc_hash GROUP BY ALL)
+SELECT hash_a, hash_b FROM shared JOIN sizes x ON x.doc_hash = hash_a JOIN sizes y ON y.doc_hash = hash_b WHERE c >= 0.7 * (x.n + y.n - c)
+"""
+
 DIM, FINGERPRINT = 96, "nebula-mini-96/mean-pool/p3"
 
 
@@ -133,6 +163,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_passages": p1_passages,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
@@ -144,4 +177,4 @@ QUERIES = {
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
 }
-SQL = {"p1_found": P1_SQL, "p4_found": P4_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
