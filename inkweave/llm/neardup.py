@@ -100,9 +100,9 @@ def document_counts(docs: DataFrame, text: str, width: int, bits: int) -> np.nda
     return out.ravel()
 
 
-def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, ratio: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose bitmaps differ in at most ratio x (both sizes) bits; rows are sorted by population count."""
-    n = len(pop)
+def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, least: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose bitmaps differ in no more bits than the similarity allows; rows are sorted by population count."""
+    n, ratio = len(pop), (1 - least) / (1 + least)
     starts = range(0, n, tile)
     most = [size[a : a + tile].max() for a in starts]
     for i, a in enumerate(starts):
@@ -119,21 +119,26 @@ def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, ratio: floa
             yield p[keep] + a, q[keep] + b
 
 
-def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, least: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of ids that share a token and whose bitmaps allow the similarity."""
+def _compare(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, narrow: np.ndarray, least: float, tile: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids that share a token, of which one is narrow at least, and whose sizes and bitmaps allow the similarity."""
     ratio = (1 - least) / (1 + least)
     pop = np.bitwise_count(maps).sum(1)
     order = np.lexsort((pop, token))
-    token, ids, size, maps, pop = token[order], ids[order], size[order].astype(np.float64), maps[order], pop[order]
-    n = len(token)
+    token, ids, size, maps, narrow, pop = token[order], ids[order], size[order].astype(np.float64), maps[order], narrow[order], pop[order].astype(np.int64)
     first = np.searchsorted(token, token)
     last = np.searchsorted(token, token, side="right")
     group = last - first
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(p: np.ndarray, q: np.ndarray) -> None:
+        ok = (narrow[p] | narrow[q]) & (np.minimum(size[p], size[q]) >= least * np.maximum(size[p], size[q]) - 1e-9)
+        pairs.append((ids[p[ok]], ids[q[ok]]))
+
     # large groups tile by tile
     for a in np.unique(first[group > 64]):
         b = last[a]
-        pairs += [(ids[p + a], ids[q + a]) for p, q in _tile_pairs(maps[a:b], pop[a:b], size[a:b], ratio, tile)]
+        for p, q in _tile_pairs(maps[a:b], pop[a:b], size[a:b], least, tile):
+            keep(p + a, q + a)
     # all small groups at once: every row with the d-th after it
     rows = np.flatnonzero((group > 1) & (group <= 64))
     for d in range(1, 64):
@@ -145,7 +150,28 @@ def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: n
         near = pop[other] - pop[rows] <= radius
         p, q, radius = rows[near], other[near], radius[near]
         near = np.bitwise_count(maps[p] ^ maps[q]).sum(1) <= radius
-        pairs.append((ids[p[near]], ids[q[near]]))
+        keep(p[near], q[near])
+    return pairs
+
+
+def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: list[bytes], least: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of ids that share a token and whose bitmaps allow the similarity.
+
+    Bitmaps grow with the record, by doublings; where two widths meet, the wider is folded to the narrower. Records whose
+    widths are further apart than the similarity allows sizes to be aren't compared.
+    """
+    width = np.array([len(m) // 8 for m in maps])
+    widths = [int(w) for w in np.unique(width)]
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in widths:
+        rows, folded = [], []
+        for v in widths:
+            if w <= v <= w * 2 ** math.ceil(math.log2(1 / least)):
+                rows.append(np.flatnonzero(width == v))
+                m = np.frombuffer(b"".join([maps[i] for i in rows[-1]]), np.uint64).reshape(len(rows[-1]), -1)
+                folded.append(np.bitwise_or.reduce(m.reshape(len(m), v // w, w), axis=1))
+        at = np.concatenate(rows)
+        pairs += _compare(token[at], ids[at], size[at], np.concatenate(folded), np.arange(len(at)) < len(rows[0]), least, tile)
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
@@ -154,7 +180,12 @@ def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: n
     return both[:, 0], both[:, 1]
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, words: int = 4, bits: int = 23, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def bitmap_words(n: int, widest: int = 64) -> int:
+    """64-bit words of the bitmap of n shingles: at least as many bits as shingles, a power of two."""
+    return min(widest, max(2, 1 << max(0, math.ceil(math.log2(max(n, 1) / 64)))))
+
+
+def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, bits: int = 23, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar pairs of distinct texts, and the records of each text.
 
     ``pairs``: a, b BIGINT (classes, a < b) and sim DOUBLE, the shingles of both texts divided by those of either, at least
@@ -162,19 +193,18 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     without a shingle (null, empty, under ``width`` words) form classes but have no pairs. Null keys are left out, repeated
     keys count once for each distinct text. Other columns are ignored.
 
-    ``words`` x 64 bits a bitmap; 2**``bits`` counters, one byte each, order shingles by rarity (they decide the amount of work, never
+    2**``bits`` counters, one byte each, order shingles by rarity (they decide the amount of work, never
     the result); a shingle of more than ``hot`` records is compared in pairs of slices, each its own group.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
     held = records.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key IS NOT NULL")
-    held = spread(held.withColumn("digest", F.sha2("text", 256)), "digest")
     # records with the same text are one class, named by its least id; most classes are of one record
-    texts = scratch.put(held.dropDuplicates(["digest", "key"]).withColumn("id", F.monotonically_increasing_id()), "records")
-    firsts = texts.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("digest", "class_id")
+    held = scratch.put(held.select("key", F.sha2("text", 256).alias("digest"), F.monotonically_increasing_id().alias("id"), "text"), "records")
+    firsts = held.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("digest", "class_id")
     firsts = scratch.put(firsts, "classes")
     hint = F.broadcast if firsts.count() <= SMALL else (lambda d: d)
-    own = texts.join(hint(firsts), "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    own = held.join(hint(firsts), "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     docs = scratch.put(own.where("id = class_id").select("class_id", "text"), "texts")
     docs = docs if docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else spread(docs)
 
@@ -197,7 +227,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
                 if not len(take):
                     continue
                 token, slices = h[take].view(np.int64), np.ceil(_DECODED[code[take]] / hot).astype(np.int64)
-                mine = bitmap(h, words).tobytes()
+                mine = bitmap(h, bitmap_words(n)).tobytes()
                 if slices.max() > 1:
                     at = i % slices
                     rows = np.repeat(np.arange(len(take)), slices)
@@ -214,8 +244,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     posted = docs.mapInArrow(post, "token bigint, id bigint, size int, map binary").withColumn("block", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
 
     def compare(t: pa.Table) -> pa.Table:
-        maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(-1, words)
-        a, b = compare_blocks(t.column("token").to_numpy(), t.column("id").to_numpy(), t.column("size").to_numpy(), maps, least)
+        a, b = compare_blocks(t.column("token").to_numpy(), t.column("id").to_numpy(), t.column("size").to_numpy(), t.column("map").to_pylist(), least)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     likely = posted.repartition(parts, "block").groupBy("block").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -243,9 +272,8 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
 
     pairs = likely.join(found.select(F.col("class_id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("class_id").alias("b"), F.col("set").alias("y")), "b")
     pairs = scratch.put(pairs.select("a", "b", "x", "y").mapInArrow(similarity, "a bigint, b bigint, sim double").where(F.col("sim") >= least), "pairs")
-    members = own.select(F.col("key").alias(key), "class_id", "text")
     runs = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return pairs, members.select(key, "class_id", (runs >= width).alias("has_shingles"))
+    return pairs, own.select(F.col("key").alias(key), "class_id", (runs >= width).alias("has_shingles")).distinct()
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame, key: str = "doc_hash") -> DataFrame:
