@@ -10,6 +10,7 @@ from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
 from inkweave.llm.neardup import near_duplicates, record_groups, record_pairs
 from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
+from inkweave.llm.sentences import sentences
 from inkweave.llm.splitting import split_items
 from inkweave.llm.tokens import token_counts
 from inkweave.operators.records import current_rows, latest_rows, live_records
@@ -160,6 +161,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_report(spark, sf_dir).where("capped").select("source").distinct()
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "sent_start", "sent_end")
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_passages": p1_passages,
@@ -176,5 +185,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_sentences": p9_sentences,
 }
 SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
