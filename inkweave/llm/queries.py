@@ -10,6 +10,7 @@ from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
 from inkweave.llm.neardup import near_duplicates, record_groups, record_pairs
 from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
+from inkweave.llm.pages import repair_pages, word_counts
 from inkweave.llm.sentences import sentences
 from inkweave.llm.splitting import split_items
 from inkweave.llm.tokens import token_counts
@@ -124,6 +125,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.select(F.col("key").alias("doc_hash"), F.col("right_number").alias("cluster_no")).distinct()
 
 
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live pdf record's text in whole paragraphs, and its faulty lines. Known words come from the other file types and the word list."""
+    live = live_records(table(spark, sf_dir, "document_records"), ["file_type", "title", "text"]).select("doc_hash", "file_type", "title", "text")
+    live = Scratch(spark, "p6").put(live, "live")
+    listed = table(spark, sf_dir, "word_list").select(F.col("entry").alias("text"), F.explode(F.array(F.lit(1), F.lit(2)))).select("text")
+    lexicon = word_counts(live.where("NOT file_type <=> 'pdf'").select("text").unionByName(listed))
+    return repair_pages(live.where("file_type = 'pdf'"), lexicon)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_repaired(spark, sf_dir).select("doc_hash", F.explode("faults").alias("f")).select("doc_hash", "f.line_no", "f.fault")
+
+
 def _sizes(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     """The token counts of all documents, written once: they are read for the histogram or totals, then for the items."""
     return Scratch(spark, name).put(token_counts(table(spark, sf_dir, "documents").select(*columns, "text")), "sizes")
@@ -179,6 +193,8 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
