@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkweave.config import SEARCH_STOPWORDS, STOPWORDS
+
 #: The characters of Unicode's White_Space property, as the inside of a character class.
 SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -24,3 +26,143 @@ def file_key(c: Column) -> Column:
     bare = F.regexp_replace(trim_all(c), r"(?s)[#?].*$", "")
     bare = F.regexp_replace(bare, r"^(?:\./)+|/+$", "")
     return F.lower(F.regexp_replace(bare, r"(?s)^.*[/\\]", ""))
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case words of 3 to 30 letters and digits, without pure numbers and stop words; null for null."""
+    words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
+    return F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 30) & ~w.rlike(r"^\d+$") & ~w.isin(*STOPWORDS))
+
+
+def words(c: Column) -> Column:
+    """Runs without white space."""
+    return F.filter(F.split(c, f"[{SPACES}]+"), lambda w: w != "")
+
+
+def collapse(c: Column) -> Column:
+    """White space collapsed to single spaces, none outside."""
+    return trim_all(F.regexp_replace(c, f"[{SPACES}]+", " "))
+
+
+def summary(c: Column, most: int = 200) -> Column:
+    """The collapsed text, cut to ``most`` characters with an ellipsis."""
+    flat = collapse(c)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, most), r" +$", ""), F.lit("…")))
+
+
+def clip(c: Column, most: int) -> Column:
+    """Cut at the last space beyond 60 % of the limit, else at the limit, with an ellipsis."""
+    head = F.substring(c, 1, most)
+    stem = F.regexp_extract(head, r"(?s)^(.*) ", 1)
+    cut = F.when(F.length(stem) > most * 0.6, stem).otherwise(head)
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit("…")))
+
+
+def base_name(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"\\", "/"), r"(?s)^.*/", "")
+
+
+def parent_dir(c: Column) -> Column:
+    """The folder of a path; null where there is none, or only the root."""
+    p = F.regexp_replace(c, r"\\", "/")
+    stem = F.regexp_extract(p, r"(?s)^(.+)/[^/]*$", 1)
+    return F.when(stem != "", stem)
+
+
+def strip_ext(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?i)\.[a-z0-9]{1,8}$", "")
+
+
+def title_case(c: Column) -> Column:
+    """The first character of each word upper-case, the rest as it is."""
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+
+
+def title_of_file(c: Column) -> Column:
+    """A title from a file name: no folder, no extension, dashes and underscores as spaces, words capitalised."""
+    base = base_name(c)
+    named = trim_all(F.regexp_replace(strip_ext(base), r"[-_]+", " "))
+    return F.when(named == "", base).otherwise(title_case(F.regexp_replace(named, r"\s+", " ")))
+
+
+#: File types by extension.
+FILE_TYPES = {"txt": "txt", "log": "txt", "md": "md", "mdx": "md", "htm": "html", "html": "html", "pdf": "pdf", "json": "json", "yaml": "yaml", "yml": "yaml", "csv": "csv", "docx": "docx", "docm": "docx", "pptx": "pptx", "pptm": "pptx", "xlsx": "xlsx", "xlsm": "xlsx"}
+
+
+def file_type(c: Column) -> Column:
+    """The file type by the extension; null without a known one (a name that begins or ends with its only dot has none)."""
+    ext = F.lower(F.regexp_extract(c, r"(?s)^.+\.([^.]+)$", 1))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv]), ext)
+
+
+def canonical_topic(c: Column) -> Column:
+    """Lower-case, white space, slashes, underscores, commas and dashes as single spaces."""
+    return trim_all(F.regexp_replace(F.lower(c), rf"[{SPACES}/\\_,-]+", " "))
+
+
+def truncate_bytes(c: Column, most: int) -> Column:
+    """The longest prefix of whole characters of at most ``most`` UTF-8 bytes."""
+    cut = F.substring(F.encode(c, "UTF-8"), 1, most)
+    # bytes of a character that was cut apart: up to three continuation bytes after their lead
+    tail = F.regexp_replace(F.hex(cut), r"(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-7](?:[89AB][0-9A-F]){0,2})$", "")
+    aligned = F.decode(F.unhex(F.when(F.length(tail) % 2 == 0, tail).otherwise(F.hex(cut))), "UTF-8")
+    return F.when(F.octet_length(c) <= most, c).otherwise(aligned)
+
+
+def retrieval_terms(c: Column) -> Column:
+    """Distinct search terms in the order they appear."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9][a-z0-9+#._-]*"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*SEARCH_STOPWORDS)))
+
+
+def normal(c: Column) -> Column:
+    return collapse(F.lower(c))
+
+
+def lexical_relevance(query: Column, text: Column, title: Column) -> Column:
+    """STRUCT<score DOUBLE, title_match BOOLEAN> of a passage for a query: coverage of its terms, with bonuses for the title and the exact phrase."""
+    terms, q, body, head = retrieval_terms(query), normal(query), normal(F.coalesce(text, F.lit(""))), normal(F.coalesce(title, F.lit("")))
+    n = F.size(terms)
+    share = lambda where: F.size(F.filter(terms, lambda t: F.contains(where, t))) / n
+    in_title = (head != "") & F.contains(head, q)
+    phrase = (F.length(q) > 2) & F.contains(body, q)
+    enough = in_title | phrase | (share(body) >= F.when(n == 1, F.lit(1.0)).otherwise(F.lit(0.4)))
+    score = share(body) + share(head) * 0.35 + F.when(phrase, 0.2).otherwise(0.0) + F.when(in_title, 0.35).otherwise(0.0)
+    ok = (n > 0) & enough
+    return F.struct(F.when(ok, score).otherwise(0.0).alias("score"), (ok & in_title).alias("title_match"))
+
+
+def keyword_evidence(text: Column, terms: Column, most: int) -> Column:
+    """A window of ``most`` characters around the first term found, a third of it before; the beginning where none is."""
+    low = F.lower(text)
+    at = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda i: i > 0))
+    start = F.greatest(F.coalesce(at, F.lit(1)) - F.floor(F.lit(0.3 * most)).cast("int"), F.lit(1))
+    return F.when(F.length(text) <= most, text).otherwise(F.substring(text, start, F.lit(most)))
+
+
+def time_ago(then_ms: Column, now_ms: Column) -> Column:
+    """How long ago, in the largest whole unit."""
+    hours = (now_ms - then_ms) / 3_600_000
+    out = F.when(hours < 1, F.lit("just now"))
+    for unit, size, above in (("hour", 1, 24), ("day", 24, 168), ("week", 168, 720), ("month", 720, 8760), ("year", 8760, None)):
+        n = F.floor(hours / size).cast("string")
+        label = F.concat(n, F.lit(f" {unit}"), F.when(n == "1", F.lit(" ago")).otherwise(F.lit("s ago")))
+        out = out.when(hours < above, label) if above else out.otherwise(label)
+    return F.when(then_ms.isNotNull(), out)
+
+
+def parse_model_json(c: Column, schema: str) -> Column:
+    """A model's JSON answer, with or without code fences; null where it is none."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    return F.coalesce(F.from_json(c, schema), F.from_json(F.nullif(fenced, F.lit("")), schema))
+
+
+def graph_id(path: Column, content: Column) -> Column:
+    """The identity of a file: a hash of its path and bytes."""
+    return F.sha2(F.concat(F.encode(path, "UTF-8"), F.unhex(F.lit("00")), content), 256)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Inner product of two vectors, accumulated in double precision; null where the sizes differ."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(a) == F.size(b), dot)
