@@ -123,7 +123,7 @@ def lexical_relevance(query: Column, text: Column, title: Column) -> Column:
     """STRUCT<score DOUBLE, title_match BOOLEAN> of a passage for a query: coverage of its terms, with bonuses for the title and the exact phrase."""
     terms, q, body, head = retrieval_terms(query), normal(query), normal(F.coalesce(text, F.lit(""))), normal(F.coalesce(title, F.lit("")))
     n = F.size(terms)
-    share = lambda where: F.size(F.filter(terms, lambda t: F.contains(where, t))) / n
+    share = lambda where: F.size(F.filter(terms, lambda t: F.contains(where, t))) / F.greatest(n, F.lit(1))
     in_title = (head != "") & F.contains(head, q)
     phrase = (F.length(q) > 2) & F.contains(body, q)
     enough = in_title | phrase | (share(body) >= F.when(n == 1, F.lit(1.0)).otherwise(F.lit(0.4)))
@@ -154,7 +154,8 @@ def time_ago(then_ms: Column, now_ms: Column) -> Column:
 def parse_model_json(c: Column, schema: str) -> Column:
     """A model's JSON answer, with or without code fences; null where it is none."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.nullif(fenced, F.lit("")), schema))
+    sound = F.when(F.try_parse_json(c).isNotNull(), c).when((fenced != "") & F.try_parse_json(fenced).isNotNull(), fenced)
+    return F.when(sound.rlike(r"^\s*[\[{]"), F.from_json(sound, schema))
 
 
 def graph_id(path: Column, content: Column) -> Column:

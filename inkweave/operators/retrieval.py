@@ -115,7 +115,7 @@ def search_metrics(results: DataFrame) -> DataFrame:
     good = F.transform(F.slice(ranked, 1, 10), lambda f: F.exists(expected, lambda w: F.lower(f).endswith(F.lower(w))))
     first = F.array_position(good, True)
     cases = results.select(
-        some.alias("some"), (found / F.size(expected)).alias("recall"), F.when(first > 0, 1 / first).otherwise(0.0).alias("rr"), (first == 1).cast("int").alias("top"),
+        some.alias("some"), (found / F.greatest(F.size(expected), F.lit(1))).alias("recall"), F.when(first > 0, 1 / first).otherwise(0.0).alias("rr"), (first == 1).cast("int").alias("top"),
         (some & F.coalesce("critical", F.lit(False))).alias("crit"), (found == F.size(expected)).cast("int").alias("all"), (~some & (F.size(ranked) > 0)).alias("fp"), "latency_ms",
     )
     mean = lambda c, where: F.coalesce(F.avg(F.when(F.col(where), F.col(c))), F.lit(0.0))
