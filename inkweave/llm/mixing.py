@@ -20,7 +20,7 @@ def source_key(c: Column) -> Column:
 def mix_rates(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens") -> DataFrame:
     """Per distinct row of ``targets`` (source STRING, target_share DOUBLE, max_repeats INT): what it can contribute.
 
-    Columns source, source_key, target_share, max_repeats, n_docs, tokens, target_tokens, copies (of each document, not above
+    ``sizes``: source and n_tokens (null: 0); other columns are ignored. Columns source, source_key, target_share, max_repeats, n_docs, tokens, target_tokens, copies (of each document, not above
     max_repeats), capped. The mixture is as large as all documents together. A source without documents has 0 tokens; a
     null share counts as 0, null max_repeats as 1. Of targets with the same source key, each counts by itself.
     """
@@ -63,4 +63,4 @@ def mix_report(mixture: DataFrame, rates: DataFrame) -> DataFrame:
     all_tokens = got.agg(F.sum("reached_tokens").alias("_all"))  # one row
     out = rates.join(got, "source", "left").join(F.broadcast(all_tokens))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select("source", "target_share", "max_repeats", "n_docs", "tokens", "target_tokens", zero("reached_tokens").alias("reached_tokens"), (zero("reached_tokens") / F.col("_all")).alias("reached_share"), zero("docs_used").alias("docs_used"), zero("most_copies").alias("most_copies"), "capped")
+    return out.select("source", "target_share", "max_repeats", "n_docs", "tokens", "target_tokens", zero("reached_tokens").alias("reached_tokens"), F.try_divide(zero("reached_tokens"), F.col("_all")).alias("reached_share"), zero("docs_used").alias("docs_used"), zero("most_copies").alias("most_copies"), "capped")

@@ -154,7 +154,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are: one row."""
     fill = container_fill(p7_containers(spark, sf_dir))
-    return fill.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("used").alias("used"), (F.sum("unused") / (F.count("*") * 2048)).alias("unused_share"))
+    return fill.agg(F.count("*").alias("n_containers"), F.sum("n_items").alias("n_items"), F.sum("used").alias("used"), F.try_divide(F.sum("unused"), F.count("*") * 2048).alias("unused_share"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

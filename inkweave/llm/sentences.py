@@ -126,7 +126,10 @@ def candidates(text: str, a: int, b: int) -> Iterator[tuple[int, str, str, str,
         else:
             token = token.lstrip("\"'“„«(「『").lower()
             key = _DIGITS.sub("0", token)
-            shape = "none" if not key else "single" if len(key) == 1 and key.isalpha() else "dots" if "." in key else "digits" if key[-1] == "0" else "short" if len(key) <= 3 else "long"
+            if key == "0":  # whether a number ends a sentence or is an ordinal, the word before tells
+                before = left.split()[-2:-1]
+                key = f"{before[0].lower()} 0" if before and len(left) > len(token) + len(before[0]) + 1 else key
+            shape = "none" if not key else "single" if len(key) == 1 and key.isalpha() else "dots" if "." in key else "digits" if token[-1].isdigit() else "short" if len(key) <= 3 else "long"
         mark = m[0][: e - s].replace(" ", "").replace(" ", "").replace(" ", "")
         mark = mark if len(mark) <= 4 else mark[:2] + mark[-2:]
         yield e, key + mark, mark + (_script(last) if last else ""), shape, _kind(text, p, b) if p < b else "end", p
