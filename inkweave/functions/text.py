@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,16 +121,25 @@ def normal(c: Column) -> Column:
     return collapse(F.lower(c))
 
 
-def lexical_relevance(query: Column, text: Column, title: Column) -> Column:
-    """STRUCT<score DOUBLE, title_match BOOLEAN> of a passage for a query: coverage of its terms, with bonuses for the title and the exact phrase."""
-    terms, q, body, head = retrieval_terms(query), normal(query), normal(F.coalesce(text, F.lit(""))), normal(F.coalesce(title, F.lit("")))
-    n = F.size(terms)
-    share = lambda where: F.size(F.filter(terms, lambda t: F.contains(where, t))) / F.greatest(n, F.lit(1))
-    in_title = (head != "") & F.contains(head, q)
-    phrase = (F.length(q) > 2) & F.contains(body, q)
-    enough = in_title | phrase | (share(body) >= F.when(n == 1, F.lit(1.0)).otherwise(F.lit(0.4)))
+def search_terms(query: str) -> list[str]:
+    """``retrieval_terms`` of a query that is known when the plan is made."""
+    found = (t for t in re.findall(r"[a-z0-9][a-z0-9+#._-]*", query.lower()) if len(t) > 1 and t not in SEARCH_STOPWORDS)
+    return list(dict.fromkeys(found))
+
+
+def lexical_relevance(query: str, body: Column, head: Column) -> Column:
+    """STRUCT<score DOUBLE, title_match BOOLEAN> of a passage for a query: coverage of its terms, with bonuses for the title and the exact phrase.
+
+    ``body`` and ``head`` are passage and title in the form of ``normal``, held in columns: they are read once for each term.
+    """
+    terms, q = search_terms(query), " ".join(query.lower().split())
+    if not terms:
+        return F.struct(F.lit(0.0).alias("score"), F.lit(False).alias("title_match"))
+    share = lambda where: sum((F.contains(where, F.lit(t)).cast("int") for t in terms), F.lit(0)) / len(terms)
+    in_title = (head != "") & F.contains(head, F.lit(q))
+    phrase = F.contains(body, F.lit(q)) if len(q) > 2 else F.lit(False)
+    ok = in_title | phrase | (share(body) >= (1.0 if len(terms) == 1 else 0.4))
     score = share(body) + share(head) * 0.35 + F.when(phrase, 0.2).otherwise(0.0) + F.when(in_title, 0.35).otherwise(0.0)
-    ok = (n > 0) & enough
     return F.struct(F.when(ok, score).otherwise(0.0).alias("score"), (ok & in_title).alias("title_match"))
 
 

@@ -207,7 +207,7 @@ def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top,
     return found.orderBy(F.col("score").desc(), "id").limit(top) if top else found
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, levels: int = 10, rounds: int = 12) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, levels: int = 6, rounds: int = 8) -> DataFrame:
     """Communities of high modularity: id, community (named by its least node). Nodes without edges are communities of their own.
 
     Louvain's moves, made for all nodes at once: each joins the neighbouring community with the greatest gain, only towards lower
@@ -230,7 +230,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, le
             loops = links.where("u = v").groupBy("u").agg((2 * F.sum("w")).alias("l"))
             strength = scratch.put(sides.groupBy("u").agg(F.sum("w").alias("k")).join(loops, "u", "full").select("u", (F.coalesce("k", F.lit(0.0)) + F.coalesce("l", F.lit(0.0))).alias("k")), f"k{level}")
             label = scratch.put(strength.select("u", F.col("u").alias("c"), "k"), f"c{level}-0")
-            moved_any, still = False, 0
+            moved_any, still, count = False, 0, label.count()
             for r in range(1, rounds + 1):
                 size = label.groupBy("c").agg(F.sum("k").alias("held"))
                 near = sides.join(label.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.sum("w").alias("w"))
@@ -245,7 +245,8 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, le
                 moves = nxt.where("moved").count()
                 label = nxt.drop("moved")
                 moved_any |= moves > 0
-                still = 0 if moves else still + 1
+                # the last few moves change little, and the next level makes up for them
+                still = 0 if moves > count / 200 else still + 1
                 if still == 2:
                     break
             member = scratch.put(member.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.config import D
-from inkweave.functions.text import clip, collapse, cosine, lexical_relevance, trim_all
+from inkweave.functions.text import clip, collapse, cosine, lexical_relevance, normal, trim_all
 
 RRF_K = 60
 
@@ -19,14 +19,15 @@ def passages(docs: DataFrame, key: str = "id", chunks: str = "chunk_texts", text
     meta = [*([F.col("summary")] if has("summary") else []), *(listed(c, x) for c, x in (("topics", "Topics"), ("entities", "Entities"), ("keywords", "Keywords")) if has(c))]
     about = F.nullif(F.concat_ws("\n", *meta), F.lit("")) if meta else F.lit(None).cast("string")
     whole = F.nullif(trim_all(F.coalesce(F.col(text), F.lit(""))), F.lit(""))
-    one = F.coalesce(whole, about)
-    chosen = F.when(F.size(chunked) > 0, chunked).when(one.isNotNull(), F.array(one))
-    return docs.select(F.col(key).alias("id"), "title", F.posexplode(chosen).alias("passage_index", "text"))
+    held = docs.select(F.col(key).alias("id"), "title", chunked.alias("_chunks"), F.coalesce(whole, about).alias("_one"))
+    chosen = F.when(F.size("_chunks") > 0, F.col("_chunks")).when(F.col("_one").isNotNull(), F.array("_one"))
+    return held.select("id", "title", F.posexplode(chosen).alias("passage_index", "text"))
 
 
 def lexical_candidates(found: DataFrame, query: str, max_chars: int = 3000) -> DataFrame:
     """Passages with a lexical score above 0: id, title, passage_index, text, lexical_score, title_match."""
-    scored = found.withColumn("_l", lexical_relevance(F.lit(query), F.col("text"), F.col("title"))).where("_l.score > 0")
+    held = found.withColumns({"_body": normal(F.coalesce("text", F.lit(""))), "_head": normal(F.coalesce("title", F.lit("")))})
+    scored = held.withColumn("_l", lexical_relevance(query, F.col("_body"), F.col("_head"))).where("_l.score > 0")
     return scored.select("id", "title", "passage_index", F.substring("text", 1, max_chars).alias("text"), F.round("_l.score", 9).alias("lexical_score"), F.col("_l.title_match").alias("title_match"))
 
 

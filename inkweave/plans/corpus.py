@@ -10,14 +10,14 @@ from inkweave.functions import text as X
 from inkweave.operators import chat, chunking, graph, lexical, links, retrieval, semantic, topics
 from inkweave.operators.components import connected_components
 from inkweave.operators.records import current_rows, live_records
-from inkweave.runtime import Scratch, table
+from inkweave.runtime import Scratch, parallel, table
 
 NOW_MS = 1_760_000_000_000
 QUERY = "capacity limit of the migration service"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return parallel(table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -46,9 +46,11 @@ def test_scalar(spark, f, given, want):
 
 
 def test_relevance(spark):
-    df = spark.createDataFrame([("deploy guide", "how to deploy", "Deploy Guide"), ("zebra", "nothing", "x"), ("", "a", "b")], "q string, t string, h string")
-    got = [tuple(r.r) for r in df.select(X.lexical_relevance(F.col("q"), F.col("t"), F.col("h")).alias("r")).collect()]
-    assert got[0] == pytest.approx((0.5 + 0.35 + 0.35, True)) and got[1] == (0.0, False) and got[2] == (0.0, False)
+    df = spark.createDataFrame([("how to deploy", "deploy guide"), ("nothing", "x"), ("", "")], "b string, h string")
+    score = lambda q: [tuple(r.r) for r in df.select(X.lexical_relevance(q, F.col("b"), F.col("h")).alias("r")).collect()]
+    assert score("Deploy  guide")[:2] == [pytest.approx((0.5 + 0.35 + 0.35, True)), (0.0, False)]
+    assert score("zebra") == score("") == [(0.0, False)] * 3
+    assert X.search_terms("What is the C++ retry-policy of retry-policy?") == ["c++", "retry-policy"]
 
 
 def test_time_ago_and_json(spark):
