@@ -14,8 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.llm.tokens import parallel
-from inkweave.runtime import Scratch, spread_count
+from inkweave.runtime import Scratch, parallel, spread_count
 
 UNIT = "space string, key string, vec binary"
 #: Rows of a small side up to which it is broadcast.

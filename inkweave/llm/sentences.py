@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.splitting import SPACES
-from inkweave.llm.tokens import parallel
+from inkweave.runtime import parallel
 
 _LINE = re.compile(r"[^\n]*\n?")
 _MARKED = re.compile(r"\s*(?:#{1,6}|[-*•+–·◦▪]|\(?\d{1,4}[.)])\s+\S")

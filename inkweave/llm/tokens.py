@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from inkweave.runtime import spread
+from inkweave.runtime import parallel
 
 VOCABULARY = os.environ.get("INKWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pattern that cuts text before the merges of the vocabulary.
@@ -47,11 +47,6 @@ def count_tokens(texts: list[str | None], ranks: bytes, pattern: str = PATTERN)
     return [0 if not t else len(enc.encode_ordinary(t)) if len(t) < 5000 else sum(len(enc.encode_ordinary(p)) for p in _parts(t)) for t in texts]
 
 
-def parallel(df: DataFrame) -> DataFrame:
-    """``df`` itself where it has a partition a core, else spread over as many."""
-    return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else spread(df)
-
-
 def token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``df`` with the tokens of ``text`` (null: 0) in place of it, as ``out``; a column named ``out`` gives way.
 
