@@ -267,3 +267,21 @@ def modularity(edges: DataFrame, community: DataFrame, resolution: float = 1.0)
     total, inside = both.agg(F.sum("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0))).first()
     sums = both.select(F.explode(F.array("a", "b")).alias("c"), "w").groupBy("c").agg(F.sum("w").alias("k")).agg(F.sum(F.pow(F.col("k"), 2))).first()[0]
     return inside / total - resolution * sums / (2 * total) ** 2
+
+
+def visible_edges(edges: DataFrame, min_weight: float = 0.0, topics: bool = True) -> DataFrame:
+    """Edges at or above the weight floor, with or without those to topics."""
+    heavy = edges.where(F.col("weight") >= min_weight)
+    return heavy if topics else doc_edges(heavy)
+
+
+def navigator_order(nodes: DataFrame) -> DataFrame:
+    """Documents before topics, then by title without regard to case and accents: id, title, kind, sort_key. Ordered by (kind, sort_key, id)."""
+    plain = F.regexp_replace(F.lower(F.col("title")), r"\p{M}", "")
+    return nodes.select("id", "title", "kind", F.coalesce(plain, F.lit("")).alias("sort_key")).orderBy("kind", "sort_key", "id")
+
+
+def cluster_members(nodes: DataFrame) -> DataFrame:
+    """Each cluster's documents as rows, with the cluster's size: cluster, id, n."""
+    own = nodes.where("kind = 'document' AND cluster >= 0").select("cluster", "id")
+    return own.join(own.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")

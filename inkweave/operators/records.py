@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.runtime import Scratch, spread
+from inkweave.runtime import Scratch
 
 
 def current_rows(df: DataFrame, key: str, version: str, columns: list[str], first: str | None = None) -> DataFrame:
     """One row a key: that with the latest ``version``; of equally late rows (copies) any one.
 
     Rows without a key are no record and are left out; a null version counts as the earliest. ``first`` names an extra
-    column for the key's earliest version. Only ``columns`` are read. One exchange, by the key.
+    column for the key's earliest version. Only ``columns`` are read. An aggregation: of a key with very many rows each
+    task sends one, so that no task ever holds them all.
     """
-    extra = [c for c in dict.fromkeys([key, version, *columns])]
-    rows = spread(df.select(*extra).where(F.col(key).isNotNull()), key)
-    w = Window.partitionBy(key)
-    if first:
-        rows = rows.withColumn(first, F.min(version).over(w))
-    ranked = rows.withColumn("_rank", F.row_number().over(w.orderBy(F.col(version).desc_nulls_last())))
-    return ranked.where("_rank = 1").select(*extra, *([first] if first else []))
+    names = [c for c in dict.fromkeys([key, version, *columns])]
+    late = F.struct(F.col(version).isNotNull(), F.col(version))
+    latest = F.max_by(F.struct(*(c for c in names if c != key)), late).alias("_row")
+    earliest = [F.min(version).alias(first)] if first else []
+    rows = df.select(*names).where(F.col(key).isNotNull()).groupBy(key).agg(latest, *earliest)
+    return rows.select(*(F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in names), *([first] if first else []))
 
 
 def live_records(records: DataFrame, columns: list[str], first: str | None = None) -> DataFrame:

@@ -129,3 +129,28 @@ def accept_change(before: DataFrame, after: DataFrame) -> DataFrame:
     ok = (F.col("recall_at_5") >= F.col("a_recall_at_5")) & (F.col("critical_accuracy") >= F.col("a_critical_accuracy"))
     better = (F.col("mrr_at_10") > F.col("a_mrr_at_10")) | (F.col("top_accuracy") > F.col("a_top_accuracy"))
     return a.join(F.broadcast(b)).select((ok & better).alias("accepted"))
+
+
+def search_corpus(docs: DataFrame, vectors: DataFrame, probe: Column, query: str, limit: int = D.search_limit, least: float = D.search_min_score) -> DataFrame:
+    """The search of the corpus: one passage a document, scores relative to the best, a snippet of 140 characters.
+
+    ``docs``: id, title, chunk_texts, text; ``vectors``: id, passage_index, vector; ``probe``: the query's vector. Columns id, title, score, match_kind, snippet.
+    """
+    hits = fuse(lexical_candidates(passages(docs), query, 500), semantic_candidates(vectors, probe, least), limit, 1)
+    best = F.max("fused_score").over(Window.partitionBy(F.lit(0)))  # over at most ``limit`` rows
+    return hits.select("id", "title", (F.col("fused_score") / best).alias("score"), "match_kind", clip(collapse(F.col("text")), 140).alias("snippet"))
+
+
+def retrieve_for_answer(docs: DataFrame, vectors: DataFrame, probe: Column, query: str) -> DataFrame:
+    """The passages an answer is built from: eight at most, two a document, 1,500 characters each."""
+    return fuse(lexical_candidates(passages(docs), query, 1500), semantic_candidates(vectors, probe, 0.3), 8, 2)
+
+
+def label_ranking(docs: DataFrame, semantic: DataFrame, query: str, least: float = D.search_min_score) -> DataFrame:
+    """The older ranking of documents: 1 for a title that holds the query, 0.8 for a topic, entity or keyword that does, else the best passage's similarity: id, score."""
+    q = F.lit(query.strip().lower())
+    best = semantic.groupBy("id").agg(F.max("semantic_score").alias("s"))
+    labels = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("topics", "entities", "keywords")])
+    labelled = F.exists(labels, lambda x: F.contains(F.lower(x), q))
+    score = F.when(F.contains(F.lower("title"), q), 1.0).when(labelled, 0.8).when(F.col("s") >= least, F.col("s"))
+    return docs.join(best, "id", "left").select("id", score.alias("score")).where("score IS NOT NULL")

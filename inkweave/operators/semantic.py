@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,3 +128,22 @@ def extend_pairs(known: DataFrame, pairs_of_new: DataFrame, gone: DataFrame) ->
     """Similar pairs after an update: the known ones without departed documents, and those of new documents (a, b, sim)."""
     left = known.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti")
     return left.select("a", "b", "sim").unionByName(pairs_of_new.select("a", "b", "sim")).distinct()
+
+
+def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str = "id", text: str = "text", batch: int = 8, prefix: str = "") -> DataFrame:
+    """Vectors of length 1 by an injected model (texts to a matrix of rows): key, vector. Null and blank texts have none.
+
+    The model is shipped to the tasks and called once a batch; ``prefix`` stands before every text (for queries).
+    """
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [i for i, t in enumerate(b.column(text).to_pylist()) if t and t.strip()]
+            held = [prefix + b.column(text)[i].as_py().strip() for i in rows]
+            parts = [np.asarray(embedder(held[i : i + batch]), np.float32) for i in range(0, len(held), batch)]
+            x = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(list(x), pa.list_(pa.float32()))], names=[key, "vector"])
+
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<float>")
