@@ -70,7 +70,7 @@ def plan_containers(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> li
     return out
 
 
-def pack_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, buckets: int = 64) -> DataFrame:
+def pack_containers(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 2048, buckets: int = 128) -> DataFrame:
     """Every item's container: key, piece_no, n_pieces, item_start, item_size, bucket, container_id.
 
     An item larger than ``capacity`` is divided into full pieces and a rest, others never. Items of size null or 0 take no room
