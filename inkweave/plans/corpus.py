@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkweave.config import STOPWORDS
 from inkweave.functions import text as X
-from inkweave.operators import chat, chunking, graph, lexical, links, retrieval, semantic, topics
+from inkweave.operators import chat, chunking, context, graph, lexical, links, retrieval, semantic, tools, topics
 from inkweave.operators.components import connected_components
 from inkweave.operators.records import current_rows, live_records
 from inkweave.runtime import Scratch, parallel, table
@@ -191,6 +191,14 @@ QUERIES = {
     "unreferenced_docs": _unreferenced,
     "corpus_hash": _corpus_hash,
     "manifest_diff": lambda s, d: manifest_diff(*_manifests(s, d)),
+    "visible_edges": lambda s, d: graph.visible_edges(edges(s, d), 9.0),
+    "navigator": lambda s, d: graph.navigator_order(nodes(s, d)).select("id", "kind", "sort_key"),
+    "cluster_members": lambda s, d: graph.cluster_members(nodes(s, d)),
+    "search_lines": lambda s, d: tools.search_lines(docs(s, d), "restore").groupBy("id", "line_no", "line").count(),
+    "id_sets": lambda s, d: tools.id_sets(records(s, d).select("id"), doc_nodes(s, d).select("id")),
+    "contexts": lambda s, d: context.document_contexts(docs(s, d), question=QUERY, most=8000),
+    "label_ranking": lambda s, d: retrieval.label_ranking(doc_nodes(s, d), s.createDataFrame([], "id string, semantic_score double"), "capacity"),
+    "snapshots_newest": lambda s, d: table(s, d, "snapshots").select("snapshot_id", "name", "saved_at").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.year("saved_at")).orderBy(F.col("saved_at").desc(), "snapshot_id"))),
     "chat_turns": lambda s, d: chat.history_turns(_chat(s, d)),
     "transcripts": lambda s, d: chat.transcripts(_chat(s, d)).select("conv_id", F.md5("transcript").alias("digest")),
 }
@@ -346,6 +354,13 @@ SELECT cluster, name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER
     "doc_cache": f"WITH live AS ({_LIVE}), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_hash ORDER BY saved_at DESC NULLS LAST) AS rn FROM embedding_records) WHERE rn = 1) SELECT live.id, coalesce(e.fingerprint = 'nebula-mini-96/mean-pool/p3' AND len(e.chunk_vectors) = e.n_chunks * 96, false) AS has_vectors FROM live LEFT JOIN e ON live.id = e.doc_hash",
     "unreferenced_docs": f"SELECT DISTINCT doc_hash AS id FROM document_records WHERE doc_hash IS NOT NULL AND doc_hash NOT IN (SELECT lower({_TRIM('h')}) FROM (SELECT unnest(doc_hashes) AS h FROM snapshots) WHERE h IS NOT NULL)",
     "corpus_hash": f"WITH s AS (SELECT DISTINCT snapshot_id, saved_at, doc_hashes FROM snapshots) SELECT snapshot_id, sha256(array_to_string(list_sort(list_distinct(list_filter(list_transform(doc_hashes, lambda h: lower({_TRIM('h')})), lambda h: h <> ''))), '')) AS corpus_hash FROM s",
+    "visible_edges": f"{_EDGES} SELECT source, target, kind, weight FROM edges WHERE weight >= 9.0",
+    "navigator": f"WITH cur AS ({_CUR}) SELECT id, kind, coalesce(regexp_replace(lower(title), '\\p{{M}}', '', 'g'), '') AS sort_key FROM cur",
+    "cluster_members": f"WITH cur AS ({_CUR}) SELECT cluster, id, count(*) OVER (PARTITION BY cluster) AS n FROM cur WHERE kind = 'document' AND cluster >= 0",
+    "search_lines": f"WITH p AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), u AS (SELECT id, unnest(generate_series(1, len(ls))) AS line_no, unnest(ls) AS raw FROM p) SELECT id, line_no, substring({_TRIM('raw')}, 1, 500) AS line, 1 AS count FROM u WHERE contains(raw, 'restore')",
+    "id_sets": f"WITH cur AS ({_CUR}), live AS ({_LIVE}), n AS (SELECT id FROM cur WHERE kind = 'document') SELECT coalesce(live.id, n.id) AS id, CASE WHEN live.id IS NULL THEN 'right' WHEN n.id IS NULL THEN 'left' ELSE 'both' END AS place FROM live FULL JOIN n ON live.id = n.id",
+    "label_ranking": f"WITH cur AS ({_CUR}), dn AS (SELECT * FROM cur WHERE kind = 'document') SELECT * FROM (SELECT id, CAST(CASE WHEN contains(lower(title), 'capacity') THEN 1.0 WHEN len(list_filter(list_concat(list_concat(topics, entities), keywords), lambda x: contains(lower(x), 'capacity'))) > 0 THEN 0.8 END AS DOUBLE) AS score FROM dn) WHERE score IS NOT NULL",
+    "snapshots_newest": "WITH s AS (SELECT DISTINCT snapshot_id, name, saved_at FROM snapshots) SELECT *, row_number() OVER (PARTITION BY year(saved_at) ORDER BY saved_at DESC, snapshot_id) AS rank FROM s",
     "chat_turns": f"""{_CHAT}, u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM m WHERE role <> 'system' AND NOT (role = 'assistant' AND (coalesce(is_error, false) OR text LIKE 'Error:%'))),
 l AS (SELECT conv_id, turn, text, CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END AS role FROM u WHERE r <= 8),
 a AS (SELECT *, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM l), k AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS nw FROM a WHERE asked = 1),

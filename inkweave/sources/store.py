@@ -151,3 +151,46 @@ def load_snapshot(spark: SparkSession, path: str, snapshot_id: int) -> tuple[Dat
 
 def newest_first(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.col("saved_at").desc(), "snapshot_id")
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = 4096) -> DataFrame:
+    """A graph as one JSON object of version 1: one row, json. The format holds ``max_nodes`` nodes: a larger graph is refused; see ``write_graph``."""
+    if nodes.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"a graph of more than {max_nodes} nodes doesn't fit one object")
+    n = nodes.agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
+    e = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("edges"))
+    return n.join(F.broadcast(e)).select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit("inkweave").alias("generator"), "nodes", "edges")).alias("json"))
+
+
+def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshots below a folder, newest first; those deleted don't count."""
+    return newest_first(spark.read.parquet(f"{path}/*/about"))
+
+
+def _paths(spark: SparkSession, *paths: str):
+    jvm = spark.sparkContext._jvm
+    got = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return got[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), got
+
+
+def delete_snapshot(spark: SparkSession, path: str, snapshot_id: int) -> bool:
+    fs, (at,) = _paths(spark, f"{path}/snapshot_id={snapshot_id}")
+    return bool(fs.delete(at, True))
+
+
+def rename_snapshot(spark: SparkSession, path: str, snapshot_id: int, name: str) -> None:
+    at = f"{path}/snapshot_id={snapshot_id}/about"
+    about = spark.createDataFrame(spark.read.parquet(at).withColumn("name", F.lit(name)).toArrow())  # one row
+    about.write.mode("overwrite").parquet(at)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a table beside its place and swaps it in when it is complete: readers see the old or the new one."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}.next")
+    fs, (now, nxt, old) = _paths(spark, path, f"{path}.next", f"{path}.old")
+    fs.delete(old, True)
+    if fs.exists(now):
+        fs.rename(now, old)
+    fs.rename(nxt, now)
+    fs.delete(old, True)
