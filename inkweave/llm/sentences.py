@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from inkweave.llm.splitting import SPACES
 from inkweave.runtime import parallel
 
-_LINE = re.compile(r"[^\n]*\n?")
 _MARKED = re.compile(r"\s*(?:#{1,6}|[-*•+–·◦▪]|\(?\d{1,4}[.)])\s+\S")
 _CLOSE = r"(?:[  ]?»|[\"”’'“)\]」』）])*"
 _CANDIDATE = re.compile(
@@ -30,6 +29,8 @@ _THAI_GAP = re.compile("(?<=[฀-๿])[   -  ]+(?=[฀-๿])")
 _QUOTES = re.compile("[\"“”„«»「」『』()（）]")
 #: What closes what.
 _CLOSES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）"}
+_NUMBERED = re.compile(r"\s*\(?\d")
+_LINE_ENDED = re.compile(r"[.!?…:;。！？؟।]" + _CLOSE + "$")
 _DIGITS = re.compile(r"\d+")
 _FILE = re.compile(r"\w[\w-]*\.\w|\w+[-_]\w+[-_.]\w|\w*\d")
 _RIGHT_AFTER = re.compile(f"[{SPACES}]*")
@@ -44,7 +45,8 @@ def units(text: str) -> Iterator[tuple[int, int, bool, int]]:
         stop = n if stop < 0 else stop
         line = text[at:stop]
         bare = line.strip(SPACES)
-        if not bare or _MARKED.match(line):
+        # a number at the beginning of a line that goes on with a sentence is no item's
+        if not bare or _MARKED.match(line) and not (start >= 0 and _NUMBERED.match(line) and not _LINE_ENDED.search(text, max(start, end - 8), end)):
             if start >= 0:
                 yield start, end, True, para
                 start = -1

@@ -67,3 +67,5 @@ def test_quotations(text, spans):
 def test_units():
     text = "# h\nrun\non\n\n* x\r\n1. y"
     assert [(text[a:b], r) for a, b, r, _ in units(text)] == [("# h", False), ("run\non", True), ("* x", False), ("1. y", False)]
+    text = "Es war am\n3. Mai so. Dann:\n1. eins\n2. zwei\n- drei"
+    assert [(text[a:b], r) for a, b, r, _ in units(text)] == [("Es war am\n3. Mai so. Dann:", True), ("1. eins", False), ("2. zwei", False), ("- drei", False)]
