@@ -313,6 +313,10 @@ SELECT doc_hash, round(max(v) FILTER (pos = 0), 6) AS v_first, round(max(v) FILT
     "mention_edges": f"WITH live AS ({_LIVE}), {_MENTION_CTES} SELECT source, target, kind FROM mn",
     "reference_edges": f"""WITH {_LINK_CTES}, {_MENTION_CTES}, u AS (SELECT source, target, CAST(1 AS DOUBLE) AS w FROM lk UNION ALL SELECT source, target, 0.85 FROM mn)
 SELECT least(source, target) AS source, greatest(source, target) AS target, CAST(max(w) AS DOUBLE) AS weight, 'reference' AS kind FROM u GROUP BY least(source, target), greatest(source, target)""",
+    "resolved_links": rf"""WITH cur AS ({_CUR}), live AS ({_LIVE}), l AS (SELECT DISTINCT id AS source, u.url AS url FROM (SELECT id, unnest(doc_links) AS u FROM live)), dn AS (SELECT * FROM cur WHERE kind = 'document'),
+k AS (SELECT source, url, CASE WHEN NOT regexp_matches(regexp_replace(url, '^{_WS}', ''), '^(?i)((https?|mailto|tel|ftp):|//)') THEN {_KEY("url")} END AS k FROM l WHERE url IS NOT NULL),
+bf AS (SELECT {_KEY("path")} AS k, min(id) AS id FROM dn WHERE path IS NOT NULL GROUP BY 1 HAVING {_KEY("path")} <> ''), bt AS (SELECT lower({_TRIM("title")}) AS k, min(id) AS id FROM dn WHERE title IS NOT NULL GROUP BY 1 HAVING lower({_TRIM("title")}) <> '')
+SELECT source, url, coalesce(bf.id, bt.id) AS doc_id FROM k LEFT JOIN bf ON k.k = bf.k LEFT JOIN bt ON regexp_replace(k.k, '(?i)\.[a-z0-9]{{1,8}}$', '') = bt.k""",
     "passages": f"{_PASS} SELECT id, passage_index, md5(text) AS digest FROM pas",
     "lexical_search": f"""{_PASS}, {_lex("pas")}, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY lexical_score DESC, passage_index) AS r FROM lex)
 SELECT id, passage_index, lexical_score, title_match, row_number() OVER (ORDER BY lexical_score DESC, id, passage_index) AS rank FROM best WHERE r = 1 ORDER BY rank LIMIT 12""",
