@@ -53,7 +53,8 @@ def summary(c: Column, most: int = 200) -> Column:
 
 
 def clip(c: Column, most: int) -> Column:
-    """Cut at the last space beyond 60 % of the limit, else at the limit, with an ellipsis."""
+    """The trimmed text, cut at the last space beyond 60 % of the limit, else at the limit, with an ellipsis."""
+    c = trim_all(c)
     head = F.substring(c, 1, most)
     stem = F.regexp_extract(head, r"(?s)^(.*) ", 1)
     cut = F.when(F.length(stem) > most * 0.6, stem).otherwise(head)
@@ -144,11 +145,11 @@ def lexical_relevance(query: str, body: Column, head: Column) -> Column:
 
 
 def keyword_evidence(text: Column, terms: Column, most: int) -> Column:
-    """A window of ``most`` characters around the first term found, a third of it before; the beginning where none is."""
+    """A window of ``most`` characters around the first term found, three tenths of it before; the beginning where none is."""
     low = F.lower(text)
     at = F.array_min(F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda i: i > 0))
     start = F.greatest(F.coalesce(at, F.lit(1)) - F.floor(F.lit(0.3 * most)).cast("int"), F.lit(1))
-    return F.when(F.length(text) <= most, text).otherwise(F.substring(text, start, F.lit(most)))
+    return trim_all(F.substring(text, start, F.lit(most)))
 
 
 def time_ago(then_ms: Column, now_ms: Column) -> Column:

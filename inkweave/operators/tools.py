@@ -27,16 +27,17 @@ def id_sets(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 
 
 def clean_name(c: Column, most: int = 80) -> Column:
-    """A collection's name: collapsed white space, at most ``most`` characters, null for nothing."""
-    return F.nullif(trim_all(F.substring(collapse(c), 1, most)), F.lit(""))
+    """A collection's name: collapsed white space, at most ``most`` characters; ``Untitled corpus`` for nothing."""
+    return F.coalesce(F.nullif(F.substring(collapse(c), 1, most), F.lit("")), F.lit("Untitled corpus"))
 
 
 def inferred_name(docs: DataFrame, path: str = "path", title: str = "title") -> DataFrame:
-    """The name a collection gets: its single root folder's, else its single document's title, else null. One row: name."""
-    root = F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"^/?([^/]+)/", 1)
-    seen = docs.agg(F.count("*").alias("n"), F.count_distinct(root).alias("roots"), F.min(root).alias("root"), F.count_if(F.col(path).isNull() | (root == "")).alias("bare"), F.first(title, ignorenulls=True).alias("title"))
-    name = F.when((F.col("roots") == 1) & (F.col("bare") == 0), F.col("root")).when(F.col("n") == 1, F.col("title"))
-    return seen.select(clean_name(name).alias("name"))
+    """The name a collection gets: its single root folder's, else its single document's title, else ``My corpus``. One row: name. Documents without a path have no root."""
+    p = F.regexp_replace(path, r"\\", "/")
+    root = F.nullif(F.regexp_extract(p, r"^([^/]*)", 1), F.lit(""))
+    seen = docs.agg(F.count("*").alias("n"), F.count_distinct(root).alias("roots"), F.min(root).alias("root"), F.count_if(F.contains(p, F.lit("/"))).alias("nested"), F.first(title, ignorenulls=True).alias("title"))
+    name = F.when((F.col("roots") == 1) & (F.col("nested") > 0), clean_name(F.col("root"))).when(F.col("n") == 1, clean_name(F.col("title"))).otherwise("My corpus")
+    return seen.select(name.alias("name"))
 
 
 def only_demo(docs: DataFrame, manifest: DataFrame, path: str = "path", modified: str = "last_modified") -> DataFrame:

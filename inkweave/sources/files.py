@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkweave.functions.text import base_name, file_type, graph_id
 
 #: Folders that aren't read.
-IGNORED_FOLDERS = ["node_modules", "dist", "build", "out", "target", "vendor", "__pycache__", "venv", "coverage"]
+IGNORED_FOLDERS = ["node_modules", ".git", ".svn", ".hg", "dist", "build", "__pycache__", ".next", ".venv", "venv"]
 
 
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
@@ -20,7 +20,7 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     stem = root.rstrip("/").rsplit("/", 1)
     rel = F.regexp_replace("path", rf"^.*?\Q{stem[0]}/\E" if len(stem) == 2 else "^", "")
     rows = files.select(rel.alias("path"), F.unix_millis("modificationTime").alias("_ms"), F.col("length").alias("size"), "content")
-    hidden = F.col("path").rlike(r"(^|/)\.") | F.col("path").rlike("/(" + "|".join(IGNORED_FOLDERS) + ")/")
+    hidden = F.col("path").rlike(r"(^|/)\.") | F.col("path").rlike("/(" + "|".join(f.replace(".", r"\.") for f in IGNORED_FOLDERS) + ")/")
     named = rows.where(~hidden).withColumn("name", base_name(F.col("path"))).withColumn("file_type", file_type(F.col("name"))).where("file_type IS NOT NULL")
     return named.select("path", "name", "file_type", "size", F.when(F.col("_ms") > 0, F.col("_ms")).alias("last_modified"), "content", graph_id(F.col("path"), F.col("content")).alias("id"))
 

@@ -53,6 +53,13 @@ def test_relevance(spark):
     assert X.search_terms("What is the C++ retry-policy of retry-policy?") == ["c++", "retry-policy"]
 
 
+def test_evidence(spark):
+    text = "0123456789 the needle lies here and so on"
+    df = spark.createDataFrame([(text, ["lies", "needle"]), (text, ["none"]), (text, [])], "t string, w array<string>")
+    got = [r.x for r in df.select(X.keyword_evidence(F.col("t"), F.col("w"), 20).alias("x")).collect()]
+    assert got == ["9 the needle lies he", "0123456789 the needl", "0123456789 the needl"]
+
+
 def test_time_ago_and_json(spark):
     hour = 3_600_000
     df = spark.createDataFrame([(0,), (hour,), (50 * hour,), (24 * 400 * hour,), (None,)], "d bigint")

@@ -21,7 +21,7 @@ def test_sets_and_names(spark):
     assert {tuple(r) for r in tools.id_sets(a, b).collect()} == {("x", "left"), ("y", "both"), ("z", "right")}
     name = lambda rows: tools.inferred_name(spark.createDataFrame(rows, "path string, title string")).first().name
     assert name([("root/a.md", "A"), ("root\\b.md", "B")]) == "root" and name([(None, " One  doc ")]) == "One doc"
-    assert name([("r/a", "A"), ("s/b", "B")]) is None and name([]) is None
+    assert name([("r/a", "A"), ("s/b", "B")]) == "My corpus" == name([]) and name([("r/a", "A"), (None, "B")]) == "r" and name([("a.md", None)]) == "Untitled corpus"
 
 
 def test_demo(spark):
