@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.config import D
 from inkweave.functions.text import file_key, is_external, strip_ext, trim_all
+from inkweave.runtime import spread
 
 
 def link_edges(docs: DataFrame, key: str = "id", file_name: str = "file_name", targets: str = "md_link_targets") -> DataFrame:
@@ -35,6 +36,8 @@ def mention_edges(docs: DataFrame, key: str = "id", title: str = "title", file_n
     rarest = needles.select("needle", F.explode(runs(F.col("needle"))).alias("word")).distinct().join(df, "word", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("m")).where("m.df > 0").select("needle", F.col("m.word").alias("word"))
     anchored = needles.join(rarest, "needle")
     meet = words.join(anchored, "word").where("source <> target").groupBy("source").agg(F.collect_list(F.struct("target", "kind", "needle")).alias("needles"))
+    # the comparison is the work: it keeps a task a core even where the lists are small
+    meet = spread(meet, "source")
     boundary = lambda n: F.concat(F.lit("(?<![a-z0-9_])\\Q"), F.regexp_replace(n, r"\\E", ""), F.lit("\\E(?![a-z0-9_])"))
     inside = F.filter("needles", lambda n: F.contains(F.col("body"), n["needle"]) & F.regexp_like(F.col("body"), boundary(n["needle"])))
     hits = body.join(meet, "source").select("source", F.explode(inside).alias("h")).select("source", "h.target", "h.kind")

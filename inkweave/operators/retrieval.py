@@ -26,8 +26,10 @@ def passages(docs: DataFrame, key: str = "id", chunks: str = "chunk_texts", text
 
 def lexical_candidates(found: DataFrame, query: str, max_chars: int = 3000) -> DataFrame:
     """Passages with a lexical score above 0: id, title, passage_index, text, lexical_score, title_match."""
-    held = found.withColumns({"_body": normal(F.coalesce("text", F.lit(""))), "_head": normal(F.coalesce("title", F.lit("")))})
-    scored = held.withColumn("_l", lexical_relevance(query, F.col("_body"), F.col("_head"))).where("_l.score > 0")
+    # generated, so that the filter isn't pushed below and the normal forms aren't computed again for every term in it
+    forms = F.explode(F.array(F.struct(normal(F.coalesce("text", F.lit(""))).alias("body"), normal(F.coalesce("title", F.lit(""))).alias("head"))))
+    held = found.withColumn("_n", forms)
+    scored = held.withColumn("_l", lexical_relevance(query, F.col("_n.body"), F.col("_n.head"))).where("_l.score > 0")
     return scored.select("id", "title", "passage_index", F.substring("text", 1, max_chars).alias("text"), F.round("_l.score", 9).alias("lexical_score"), F.col("_l.title_match").alias("title_match"))
 
 

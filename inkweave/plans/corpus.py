@@ -20,24 +20,27 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return parallel(table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
 
 
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["kind", "title", "file_type", "path", "folder_key", "topics", "entities", "keywords", "word_count", "cluster_no", "degree", "status", "last_modified"]
-    cur = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", cols)
-    return cur.withColumnRenamed("node_id", "id").withColumn("cluster", F.coalesce("cluster_no", F.lit(-1)))
+def nodes(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Current nodes; with ``cols`` only these beside id and kind."""
+    every = ["title", "file_type", "path", "folder_key", "topics", "entities", "keywords", "word_count", "cluster_no", "degree", "status", "last_modified"]
+    cur = current_rows(table(spark, d, "nodes"), "node_id", "updated_at", ["kind", *(cols or every)]).drop("updated_at").withColumnRenamed("node_id", "id")
+    return cur.withColumn("cluster", F.coalesce("cluster_no", F.lit(-1))) if "cluster_no" in cur.columns else cur
 
 
-def doc_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nodes(spark, d).where("kind = 'document'")
+def doc_nodes(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    return nodes(spark, d, *cols).where("kind = 'document'")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Document pairs that share two entities or more, none capped."""
-    p = lexical.shared_pairs(doc_nodes(spark, d).select("id", "entities"), "id", "entities")
+    p = lexical.shared_pairs(doc_nodes(spark, d, "entities"), "id", "entities")
     return p.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("entity").alias("kind"), F.col("score").alias("weight"))
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    return live_records(table(spark, d, "document_records"), ["path", "file_name", "file_type", "title", "text", "md_link_targets", "doc_links", "chunk_texts", "last_modified"]).withColumnRenamed("doc_hash", "id")
+def records(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """Live records; with ``cols`` only these beside id."""
+    every = ["path", "file_name", "file_type", "title", "text", "md_link_targets", "doc_links", "chunk_texts", "last_modified"]
+    return live_records(table(spark, d, "document_records"), list(cols or every)).withColumnRenamed("doc_hash", "id")
 
 
 def unit(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +58,7 @@ def _chat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _search_docs(spark: SparkSession, d: str) -> DataFrame:
-    return doc_nodes(spark, d).select("id", "topics", "entities", "keywords", "title").join(records(spark, d).select("id", "text", "chunk_texts"), "id", "left")
+    return doc_nodes(spark, d, "topics", "entities", "keywords", "title").drop("kind").join(parallel(Scratch(spark, "texts").put(records(spark, d, "text", "chunk_texts").select("id", "text", "chunk_texts"), "records")), "id", "left")
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +75,7 @@ def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     all_ = table(spark, d, "document_records").where("path IS NOT NULL")
     old = all_.groupBy("path").agg(F.min(F.struct("saved_at", F.length(F.coalesce("text", F.lit(""))).alias("size"), "last_modified", "doc_hash")).alias("m"))
     old = old.select("path", "m.size", "m.last_modified", F.col("m.doc_hash").alias("doc_id"))
-    new = records(spark, d).where("path IS NOT NULL").groupBy("path").agg(F.min(F.struct(F.col("id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), "last_modified")).alias("m"))
+    new = records(spark, d, "path", "text", "last_modified").where("path IS NOT NULL").groupBy("path").agg(F.min(F.struct(F.col("id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), "last_modified")).alias("m"))
     return old, new.select("path", "m.size", "m.last_modified", F.col("m.id").alias("doc_id"))
 
 
@@ -85,11 +88,11 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def reference_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.link_edges(records(spark, d).select("id", "file_name", "md_link_targets")).select("source", "target")
+    return links.link_edges(records(spark, d, "file_name", "md_link_targets")).select("source", "target")
 
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return links.mention_edges(records(spark, d).select("id", "title", "file_name", "text"))
+    return links.mention_edges(parallel(Scratch(spark, "mentions").put(records(spark, d, "title", "file_name", "text"), "records")))
 
 
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +105,7 @@ def _cache(spark: SparkSession, d: str) -> DataFrame:
     """Live records with their vectors where these are usable: of the current fingerprint and the right size."""
     e = current_rows(table(spark, d, "embedding_records"), "doc_hash", "saved_at", ["fingerprint", "chunk_vectors", "n_chunks"])
     ok = (F.col("fingerprint") == "nebula-mini-96/mean-pool/p3") & (F.size("chunk_vectors") == F.col("n_chunks") * 96)
-    return records(spark, d).select("id").join(e.select(F.col("doc_hash").alias("id"), ok.alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("has_vectors"))
+    return records(spark, d, "file_name").select("id").join(e.select(F.col("doc_hash").alias("id"), ok.alias("ok")), "id", "left").select("id", F.coalesce("ok", F.lit(False)).alias("has_vectors"))
 
 
 def _unreferenced(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +127,12 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
-    return topics.topic_groups(doc_nodes(spark, d).select("id", "topics"))
+    return topics.topic_groups(doc_nodes(spark, d, "topics"))
 
 
 def _viewer_links(spark: SparkSession, d: str) -> DataFrame:
     """Labelled links, and targets that no labelled link has, without text."""
-    r = records(spark, d)
+    r = records(spark, d, "doc_links", "md_link_targets")
     labelled = r.select("id", F.explode("doc_links").alias("l")).select("id", "l.url", F.coalesce("l.text", F.lit("")).alias("text"))
     bare = r.select("id", F.explode("md_link_targets").alias("url")).where("url IS NOT NULL").distinct().join(labelled.select("id", "url"), ["id", "url"], "left_anti")
     return labelled.unionByName(bare.withColumn("text", F.lit(""))).groupBy("id", "url", "text").count()
@@ -140,14 +143,14 @@ QUERIES = {
     "tfidf_top_keywords": lambda s, d: lexical.top_keywords(docs(s, d), "id", "text"),
     "word_counts": lambda s, d: docs(s, d).select("id", F.size(X.words(F.col("text"))).alias("n_words")),
     "doc_summary": lambda s, d: docs(s, d).select("id", X.summary(F.col("text")).alias("summary")),
-    "path_parts": lambda s, d: nodes(s, d).where("path IS NOT NULL").select("id", X.base_name(F.col("path")).alias("base"), X.parent_dir(F.col("path")).alias("dir"), X.file_type(X.base_name(F.col("path"))).alias("ftype"), X.title_of_file(F.col("path")).alias("file_title")),
-    "link_keys": lambda s, d: records(s, d).select("id", F.explode("md_link_targets").alias("target")).where("target IS NOT NULL").select("id", "target", X.file_key(F.col("target")).alias("k"), X.is_external(F.col("target")).alias("external")).distinct(),
+    "path_parts": lambda s, d: nodes(s, d, "path").where("path IS NOT NULL").select("id", X.base_name(F.col("path")).alias("base"), X.parent_dir(F.col("path")).alias("dir"), X.file_type(X.base_name(F.col("path"))).alias("ftype"), X.title_of_file(F.col("path")).alias("file_title")),
+    "link_keys": lambda s, d: records(s, d, "md_link_targets").select("id", F.explode("md_link_targets").alias("target")).where("target IS NOT NULL").select("id", "target", X.file_key(F.col("target")).alias("k"), X.is_external(F.col("target")).alias("external")).distinct(),
     "retrieval_terms": lambda s, d: docs(s, d).select("id", F.array_join(X.retrieval_terms(F.col("title")), " ").alias("terms")),
     "entities_top12": lambda s, d: lexical.top_entities(docs(s, d), "id", "text"),
-    "entity_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d).select("id", "entities"), "id", "entities"),
-    "keyword_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d).select("id", "keywords"), "id", "keywords", "smooth"),
-    "entity_edges": lambda s, d: lexical.entity_edges(doc_nodes(s, d).select("id", "entities")),
-    "keyword_edges": lambda s, d: lexical.keyword_edges(doc_nodes(s, d).select("id", "keywords")),
+    "entity_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d, "entities"), "id", "entities"),
+    "keyword_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d, "keywords"), "id", "keywords", "smooth"),
+    "entity_edges": lambda s, d: lexical.entity_edges(doc_nodes(s, d, "entities")),
+    "keyword_edges": lambda s, d: lexical.keyword_edges(doc_nodes(s, d, "keywords")),
     "boilerplate_lines": lambda s, d: lexical.boilerplate_lines(docs(s, d), "id", "text", fraction=0.0, min_docs=2),
     "stripped_docs": lambda s, d: lexical.strip_boilerplate(docs(s, d), "id", "text", lexical.boilerplate_lines(docs(s, d), "id", "text", fraction=0.0, min_docs=2)).select("id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
     "exact_dup_docs": lambda s, d: lexical.exact_duplicates(docs(s, d), "id", "text"),
@@ -161,43 +164,43 @@ QUERIES = {
     "reference_links": reference_links,
     "mention_edges": mentions,
     "reference_edges": lambda s, d: links.reference_edges(reference_links(s, d), mentions(s, d)),
-    "resolved_links": lambda s, d: links.resolve_links(records(s, d).select(F.col("id").alias("source"), F.explode("doc_links").alias("l")).select("source", "l.url").where("url IS NOT NULL").distinct(), nodes(s, d).where("kind = 'document'").select("id", "path", "title")),
+    "resolved_links": lambda s, d: links.resolve_links(records(s, d, "doc_links").select(F.col("id").alias("source"), F.explode("doc_links").alias("l")).select("source", "l.url").where("url IS NOT NULL").distinct(), doc_nodes(s, d, "path", "title")),
     "viewer_links": _viewer_links,
     "passages": lambda s, d: retrieval.passages(_search_docs(s, d)).select("id", "passage_index", F.md5("text").alias("digest")),
     "lexical_search": lambda s, d: retrieval.lexical_search(_search_docs(s, d), QUERY).select("id", "passage_index", "lexical_score", "title_match", "rank"),
     "hybrid_search": _hybrid,
     "extractive_answer": lambda s, d: retrieval.extractive_answer(retrieval.lexical_candidates(retrieval.passages(_search_docs(s, d)), QUERY).withColumnRenamed("lexical_score", "score")),
-    "stale_docs": lambda s, d: graph.stale_docs(nodes(s, d), NOW_MS),
-    "facet_counts": lambda s, d: graph.facets(nodes(s, d)),
-    "corpus_counts": lambda s, d: graph.corpus_counts(nodes(s, d)),
-    "degrees": lambda s, d: graph.degrees(doc_nodes(s, d), edges(s, d)),
+    "stale_docs": lambda s, d: graph.stale_docs(nodes(s, d, "last_modified"), NOW_MS),
+    "facet_counts": lambda s, d: graph.facets(nodes(s, d, "file_type", "cluster_no")),
+    "corpus_counts": lambda s, d: graph.corpus_counts(nodes(s, d, "cluster_no")),
+    "degrees": lambda s, d: graph.degrees(doc_nodes(s, d, "status"), edges(s, d)),
     "adjacency": lambda s, d: graph.adjacency(edges(s, d)).select("id", F.size("neighbours").alias("n"), F.array_join("neighbours", ",").alias("listed")),
-    "orphans": lambda s, d: graph.orphans(nodes(s, d), edges(s, d)),
-    "cluster_edges": lambda s, d: graph.cluster_edges(doc_nodes(s, d).select("id", "cluster"), edges(s, d)),
-    "neighbours_of_pdf": lambda s, d: graph.neighbours(nodes(s, d), edges(s, d), doc_nodes(s, d).where("file_type = 'pdf'")),
-    "emphasis": lambda s, d: graph.with_neighbours(edges(s, d), doc_nodes(s, d).where("file_type = 'csv'")),
-    "filtered_graph": lambda s, d: graph.filter_graph(doc_nodes(s, d), edges(s, d), ["md", "pdf"], min_degree=2, min_weight=6.0).select("id"),
-    "nodes_removed": lambda s, d: graph.remove_nodes(doc_nodes(s, d), edges(s, d), doc_nodes(s, d).where("status <> 'ok'"))[1],
+    "orphans": lambda s, d: graph.orphans(nodes(s, d, "status"), edges(s, d)),
+    "cluster_edges": lambda s, d: graph.cluster_edges(doc_nodes(s, d, "cluster_no").select("id", "cluster"), edges(s, d)),
+    "neighbours_of_pdf": lambda s, d: graph.neighbours(nodes(s, d, "title"), edges(s, d), doc_nodes(s, d, "file_type").where("file_type = 'pdf'")),
+    "emphasis": lambda s, d: graph.with_neighbours(edges(s, d), doc_nodes(s, d, "file_type").where("file_type = 'csv'")),
+    "filtered_graph": lambda s, d: graph.filter_graph(doc_nodes(s, d, "file_type", "degree"), edges(s, d), ["md", "pdf"], min_degree=2, min_weight=6.0).select("id"),
+    "nodes_removed": lambda s, d: graph.remove_nodes(doc_nodes(s, d, "status"), edges(s, d), doc_nodes(s, d, "status").where("status <> 'ok'"))[1],
     "shortest_path_len": _paths,
     "components": lambda s, d: connected_components(edges(s, d), "source", "target"),
-    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d), edges(s, d), least=0.0, pivots=16),
-    "communities": lambda s, d: graph.communities(doc_nodes(s, d), edges(s, d)),
+    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d), least=0.0, pivots=16),
+    "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d)),
     "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs"),
-    "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d).select("id", "cluster")),
+    "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d, "cluster_no").select("id", "cluster")),
     "topic_edges": lambda s, d: topics.topic_edges(_folded(s, d)),
-    "cluster_names": lambda s, d: topics.cluster_names(doc_nodes(s, d).select("id", "cluster", "keywords", "topics")),
-    "cluster_topics": lambda s, d: topics.cluster_topics(doc_nodes(s, d)),
+    "cluster_names": lambda s, d: topics.cluster_names(doc_nodes(s, d, "cluster_no", "keywords", "topics")),
+    "cluster_topics": lambda s, d: topics.cluster_topics(doc_nodes(s, d, "cluster_no", "topics")),
     "doc_cache": _cache,
     "unreferenced_docs": _unreferenced,
     "corpus_hash": _corpus_hash,
     "manifest_diff": lambda s, d: manifest_diff(*_manifests(s, d)),
     "visible_edges": lambda s, d: graph.visible_edges(edges(s, d), 9.0),
-    "navigator": lambda s, d: graph.navigator_order(nodes(s, d)).select("id", "kind", "sort_key"),
-    "cluster_members": lambda s, d: graph.cluster_members(nodes(s, d)),
+    "navigator": lambda s, d: graph.navigator_order(nodes(s, d, "title")).select("id", "kind", "sort_key"),
+    "cluster_members": lambda s, d: graph.cluster_members(nodes(s, d, "cluster_no")),
     "search_lines": lambda s, d: tools.search_lines(docs(s, d), "restore").groupBy("id", "line_no", "line").count(),
-    "id_sets": lambda s, d: tools.id_sets(records(s, d).select("id"), doc_nodes(s, d).select("id")),
+    "id_sets": lambda s, d: tools.id_sets(records(s, d, "file_name"), doc_nodes(s, d, "status")),
     "contexts": lambda s, d: context.document_contexts(docs(s, d), question=QUERY, most=8000),
-    "label_ranking": lambda s, d: retrieval.label_ranking(doc_nodes(s, d), s.createDataFrame([], "id string, semantic_score double"), "capacity"),
+    "label_ranking": lambda s, d: retrieval.label_ranking(doc_nodes(s, d, "title", "topics", "entities", "keywords"), s.createDataFrame([], "id string, semantic_score double"), "capacity"),
     "snapshots_newest": lambda s, d: table(s, d, "snapshots").select("snapshot_id", "name", "saved_at").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.year("saved_at")).orderBy(F.col("saved_at").desc(), "snapshot_id"))),
     "chat_turns": lambda s, d: chat.history_turns(_chat(s, d)),
     "transcripts": lambda s, d: chat.transcripts(_chat(s, d)).select("conv_id", F.md5("transcript").alias("digest")),
