@@ -352,8 +352,8 @@ def repair(text: str, title: str | None, lexicon: Lexicon) -> tuple[str, list[tu
     return "\n\n".join(p for p in paras if p), sorted(set(faults))
 
 
-def word_counts(texts: DataFrame, text: str = "text", share: float = 5e-7) -> dict[str, int]:
-    """How often words occur, over all rows; kept are those of two occurrences that make up ``share`` of all (at most 1 / share)."""
+def word_counts(texts: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often words occur, over all rows; kept are those of two occurrences or more, however large the collection."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
@@ -367,11 +367,8 @@ def word_counts(texts: DataFrame, text: str = "text", share: float = 5e-7) -> di
                 n.clear()
         yield out()
 
-    got = texts.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    total = got.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    kept = {r.word: r.n for r in got.where(F.col("n") >= max(2, math.ceil(share * total))).collect()}
-    got.unpersist()
-    return kept
+    got = texts.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").toArrow()
+    return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
 
 
 def repair_pages(records: DataFrame, lexicon: dict[str, int], key: str = "doc_hash", text: str = "text", title: str = "title") -> DataFrame:

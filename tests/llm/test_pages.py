@@ -115,3 +115,9 @@ def test_table(spark):
     counts = word_counts(spark.createDataFrame([("a b a 12 34",), (None,), ("b.",), ("once",)], "text string"))
     assert counts == {"a": 2, "b": 2, "00": 2} and tokens("(a) b, 7x") == ["a", "b", "0x"]
     assert word_counts(spark.createDataFrame([], "text string")) == {}
+
+
+def test_listed_words_stay_known_in_a_large_collection(spark):
+    common = spark.range(500).selectExpr("repeat('the folder moved to archive ', 2000) AS text")
+    listed = spark.createDataFrame([("bulletin",), ("bulletin",)], "text string")
+    assert word_counts(common.unionByName(listed)) == {**dict.fromkeys(("the", "folder", "moved", "to", "archive"), 1_000_000), "bulletin": 2}
