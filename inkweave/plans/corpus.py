@@ -183,7 +183,7 @@ QUERIES = {
     "nodes_removed": lambda s, d: graph.remove_nodes(doc_nodes(s, d, "status"), edges(s, d), doc_nodes(s, d, "status").where("status <> 'ok'"))[1],
     "shortest_path_len": _paths,
     "components": lambda s, d: connected_components(edges(s, d), "source", "target"),
-    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d), least=0.0, pivots=16),
+    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d), least=0.0),
     "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d)),
     "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs"),
     "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d, "cluster_no").select("id", "cluster")),

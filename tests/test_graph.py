@@ -7,6 +7,7 @@ import pytest
 
 from inkweave.operators import graph, lexical
 from inkweave.operators.components import connected_components
+from inkweave.plans import corpus
 
 EDGE = "source string, target string, kind string, weight double"
 
@@ -28,6 +29,26 @@ def test_bridges_of_a_path_and_a_star(spark):
     assert graph.bridges(nodes(spark, "ab"), edges(spark, [("a", "b")])).collect() == []
 
 
+def node_table(spark, folder, entities):
+    """A folder with the table of nodes that have these entities."""
+    rows = [(i, "document", "ok", e) for i, e in entities.items()]
+    df = spark.createDataFrame(rows, "node_id string, kind string, status string, entities array<string>")
+    df.selectExpr("*", "TIMESTAMP '2024-01-01' AS updated_at").write.parquet(f"{folder}/nodes.parquet")
+    return str(folder)
+
+
+def test_registered_bridges_are_exact_above_sixteen_documents(spark, tmp_path):
+    # a centre with nine arms of two: 19 documents, each edge two entities of its own
+    arms = [("c", f"m{i}") for i in range(9)] + [(f"m{i}", f"t{i}") for i in range(9)]
+    entities = {}
+    for k, (a, b) in enumerate(arms):
+        for x in (a, b):
+            entities.setdefault(x, []).extend([f"e{k}", f"f{k}"])
+    got = {r.id: r.score for r in corpus.QUERIES["bridges"](spark, node_table(spark, tmp_path, entities)).collect()}
+    # of 153 pairs of others the centre lies between all but the 9 within an arm, a middle between its tip and 17
+    assert got == pytest.approx({"c": 144 / 153, **{f"m{i}": 17 / 153 for i in range(7)}})
+
+
 def test_paths(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d")])
     assert graph.shortest_path(e, "a", "d") == ["a", "b", "c", "d"]
