@@ -118,12 +118,15 @@ class Lexicon:
         """
         s = "".join(parts)
         n = len(s)
-        edges = {0}
+        edges, begun = {0}, {}
         for p in parts:
+            begun[max(edges) + len(p)] = max(edges)
             edges.add(max(edges) + len(p))
         best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
         for j in range(1, n + 1):
-            for i in range(max(0, j - 32), j):
+            far = max(0, j - 32)
+            # a whole token is a candidate at any length, so every window's end is reached
+            for i in ([begun[j]] if begun.get(j, far) < far else []) + list(range(far, j)):
                 if best[i][0] == math.inf:
                     continue
                 piece = s[i:j]

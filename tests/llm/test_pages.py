@@ -100,6 +100,14 @@ def test_decoding():
     assert lex.reading("fo1der") is not None and lex.reading("qqqqq") is None
 
 
+def test_tokens_beyond_the_longest_word_are_kept():
+    lex = Lexicon(lexicon())
+    url = "https://" + "xq7z/" * 18 + "zz"
+    assert len(url) == 100 and lex.decode(["the", url, "was"]) == (["the", url, "was"], [False] * 3)
+    text = f"The archive was moved to the {url} folder before the review."
+    assert repair(text, None, lex) == (text, [])
+
+
 def test_paragraphs_by_dynamic_programming():
     bare = ["The first line of a paragraph that runs", "to its end.", "A second begins here and it is long en", "ough to go on.", "- item one", "- item two"]
     assert paragraph_starts(bare, list(range(6)), [False] * 6, [False] * 6) == [True, False, True, False, True, True]
