@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkweave.config import STOPWORDS
+from inkweave.config import STOPWORDS, D
 from inkweave.functions import text as X
 from inkweave.operators import chat, chunking, context, graph, lexical, links, retrieval, semantic, tools, topics
 from inkweave.operators.components import connected_components
@@ -31,9 +31,12 @@ def doc_nodes(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     return nodes(spark, d, *cols).where("kind = 'document'")
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Document pairs that share two entities or more, none capped."""
-    p = lexical.shared_pairs(doc_nodes(spark, d, "entities"), "id", "entities")
+def edges(spark: SparkSession, d: str, most_df: int | None = D.pairing_df) -> DataFrame:
+    """Document pairs that share two entities or more, of any number a document.
+
+    Entities of more than ``most_df`` documents pair nothing, as in the queries' SQL; with None all pair.
+    """
+    p = lexical.shared_pairs(doc_nodes(spark, d, "entities"), "id", "entities", most_df=most_df)
     return p.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("entity").alias("kind"), F.col("score").alias("weight"))
 
 
@@ -183,8 +186,8 @@ QUERIES = {
     "nodes_removed": lambda s, d: graph.remove_nodes(doc_nodes(s, d, "status"), edges(s, d), doc_nodes(s, d, "status").where("status <> 'ok'"))[1],
     "shortest_path_len": _paths,
     "components": lambda s, d: connected_components(edges(s, d), "source", "target"),
-    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d), least=0.0),
-    "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d)),
+    "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d, None), least=0.0),
+    "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d, None)),
     "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs"),
     "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d, "cluster_no").select("id", "cluster")),
     "topic_edges": lambda s, d: topics.topic_edges(_folded(s, d)),

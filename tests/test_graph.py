@@ -49,6 +49,16 @@ def test_registered_bridges_are_exact_above_sixteen_documents(spark, tmp_path):
     assert got == pytest.approx({"c": 144 / 153, **{f"m{i}": 17 / 153 for i in range(7)}})
 
 
+def test_frequent_entities_join_documents_in_queries_without_sql(spark, tmp_path):
+    # two groups of 151 documents share two entities each; one more document belongs to both
+    entities = {f"{g}{i:03}": [f"{g}e", f"{g}f"] for g in "ab" for i in range(151)} | {"z": ["ae", "af", "be", "bf"]}
+    d = node_table(spark, tmp_path, entities)
+    assert corpus.edges(spark, d).count() == 0 and corpus.edges(spark, d, None).count() == 2 * 152 * 151 // 2
+    assert [r.id for r in corpus.QUERIES["bridges"](spark, d).collect()][0] == "z"
+    by = {r.id: r.community for r in corpus.QUERIES["communities"](spark, d).collect()}
+    assert len({by[f"a{i:03}"] for i in range(151)}) == len({by[f"b{i:03}"] for i in range(151)}) == 1
+
+
 def test_paths(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d")])
     assert graph.shortest_path(e, "a", "d") == ["a", "b", "c", "d"]
