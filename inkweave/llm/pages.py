@@ -1,8 +1,8 @@
 """Repair of text from scanned pages.
 
 Page furniture is found by page numbers, running titles and what stands beside them. The lines that remain are taken as one
-stream of characters and decoded into known words: a word may have been split, run together with its neighbour, misread by
-usual confusions or divided at a line's end. Paragraph boundaries are chosen by dynamic programming over the lines. The known
+stream of characters, without line ends, and decoded into known words by one dynamic programme: a word may have been split, run
+together with its neighbour, misread by usual confusions or divided at a line's end. Paragraph boundaries are chosen by dynamic programming over the lines. The known
 words come from the collection's trusted texts.
 """
 
@@ -23,14 +23,18 @@ from inkweave.llm.splitting import SPACES
 from inkweave.runtime import spread
 
 STRIP = ".,;:!?()[]{}\"“”„«»‹›…*#|•·>"
-_DIVIDED = re.compile(r"(\S+?)[-‐‑­¬][ \t]*$")
+HYPHENS = "-‐‑\xad¬"
+_DIVIDED = re.compile(rf"\S[{HYPHENS}]$")
+#: Marks that a misread letter never looks like, and the others that it may look like.
+_MARKS = ".,;:!?\"“”„«»…"
+_LETTERS = "([{)]}*#|"
 _NUMBER = re.compile(r"[+-]?[.,]?\d+(?:[.,:/x×-]\d+)*[%°]?")
 _UNSPACED = re.compile("[฀-๿぀-ヿ㐀-鿿가-힯]")
 #: What is read for what; each pair (read, meant).
 CONFUSIONS = [
     ("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("lo", "b"), ("i'", "r"), ("li", "h"), ("ln", "in"), ("in", "m"), ("nn", "m"), ("ni", "m"), ("tl", "d"), ("fi", "h"), ("ij", "y"),
     ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("I", "l"), ("l", "I"), ("0", "o"), ("0", "O"), ("O", "0"), ("o", "0"), ("5", "s"), ("5", "S"), ("$", "S"), ("$", "s"), ("9", "g"), ("6", "b"), ("8", "B"), ("3", "e"),
-    ("á", "a"), ("f", "t"), ("t", "f"), ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("(", "c"), ("{", "c"), ("u", "n"), ("n", "u"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("l", "1"), ("I", "1"), ("l", "t"), ("v", "y"), ("q", "g"), ("6", "é"), ("a", "o"), ("o", "a"), ("m", "rn"), ("d", "cl"), ("w", "vv"),
+    ("á", "a"), ("f", "t"), ("t", "f"), ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"), ("(", "c"), ("{", "c"), ("2", "z"), ("2", "Z"), ("ii", "ü"), ("u", "n"), ("n", "u"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("l", "1"), ("I", "1"), ("l", "t"), ("v", "y"), ("q", "g"), ("6", "é"), ("a", "o"), ("o", "a"), ("m", "rn"), ("d", "cl"), ("w", "vv"),
 ]
 _MEANT: dict[str, list[str]] = {}
 for _read, _word in CONFUSIONS:
@@ -72,10 +76,13 @@ class Lexicon:
             w = re.sub(r"\d", "0", w)
             c = self.cost.get(w)
         low = w.lower() if c is None else w
+        # in another case it costs a little more
         if c is None and low != w and (w[1:] == low[1:] or w.isupper()):
             c = self.cost.get(low)
+            c = None if c is None else c + 1
         if c is None and low == w:
             c = self.cost.get(w.capitalize())
+            c = None if c is None else c + 1
         return c
 
     def reading(self, s: str) -> tuple[float, str] | None:
@@ -90,13 +97,13 @@ class Lexicon:
             first = self._changed(s)
             for v in first:
                 c = self.known(v)
-                if c is not None and (best is None or c + 6 < best[0]):
+                if c is not None and (best is None or (c + 6, v) < best):
                     best = (c + 6, v)
             if best is None:
                 for v in first:
                     for u in self._changed(v):
                         c = self.known(u)
-                        if c is not None and (best is None or c + 12 < best[0]):
+                        if c is not None and (best is None or (c + 12, u) < best):
                             best = (c + 12, u)
         self.read[s] = best
         return best
@@ -110,53 +117,82 @@ class Lexicon:
                     out.add(s[:i] + meant + s[i + k :])
         return out
 
-    def decode(self, parts: list[str]) -> tuple[list[str], list[bool]]:
-        """Words of the characters of some neighbouring tokens, spaces between them being doubtful; and which tokens are changed.
-
-        Dynamic programming over all cuts: a word may span tokens (they were split) or end within one (they were run together).
-        Misread words are considered where a word's ends are token ends.
+    def spanning(self, left: str, right: str) -> tuple[float, str, bool]:
+        """The cheapest word of what stands before and after a hyphen at a line's end, and whether the hyphen is dropped."""
+        joined, kept = self.reading(left + right), self.known(f"{left}-{right}")
+        found = [(joined[0] + 1, joined[1], True)] if joined else []
+        if kept is not None:
+            found.append((kept, f"{left}-{right}", False))
+        halves = self.known(left), self.known(right)
+        if None not in halves and not right[:1].isdigit():
+            found.append((sum(halves) + 3, f"{left}-{right}", False))  # type: ignore[arg-type]
+        if not found:
+            r = self.reading(f"{left}-{right}")
+            if r is not None:
+                found.append((r[0], r[1], False))
+        lower = right[:1].islower()
+        found.append((self.rare + 4 * len(left + right), left + ("" if lower else "-") + right, lower))
+        return min(found)
+
+    def decode(self, parts: list[str], joints: str) -> list[tuple[int, int, str, bool, bool]]:
+        """The cheapest words of a stretch of the de-lined text: (from, to, word, known, hyphen dropped), in characters of all parts.
+
+        ``joints`` has one mark for each joint of two parts: a space, a newline, a hyphen (at a line's end) or ``|``, which no word may span. One
+        dynamic programme over all cuts weighs every move: a word may span spaces and line ends (it was split), a hyphen (it was
+        divided), end within a part (words were run together), or be read for another. Misread words are considered where a
+        word's ends are part ends.
         """
         s = "".join(parts)
         n = len(s)
-        edges, begun = {0}, {}
-        for p in parts:
-            begun[max(edges) + len(p)] = max(edges)
-            edges.add(max(edges) + len(p))
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
+        joint: dict[int, str] = {}
+        at, begun = 0, {}
+        for k, p in enumerate(parts):
+            begun[at + len(p)] = at
+            at += len(p)
+            if k < len(joints):
+                joint[at] = joints[k]
+        ends = {0, n, *joint}
+        # sums over joints up to each place: what spanning them costs, and the last hyphen and barrier
+        spanned, hyphen, barrier = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for e in range(1, n + 1):
+            m = joint.get(e)
+            spanned[e] = spanned[e - 1] + {" ": 4, "\n": 6}.get(m or "", 0)
+            hyphen[e] = e if m == "-" else hyphen[e - 1]
+            barrier[e] = e if m == "|" else barrier[e - 1]
+        best: list[tuple[float, int, str, bool, bool]] = [(0.0, 0, "", True, False)] + [(math.inf, 0, "", False, False)] * n
         for j in range(1, n + 1):
-            far = max(0, j - 32)
-            # a whole token is a candidate at any length, so every window's end is reached
-            for i in ([begun[j]] if begun.get(j, far) < far else []) + list(range(far, j)):
+            far = max(0, j - 32, barrier[j - 1])
+            # a whole part is a candidate at any length, so every stretch's end is reached
+            for i in [*([begun[j]] if begun.get(j, far) < far else []), *range(far, j)]:
                 if best[i][0] == math.inf:
                     continue
-                piece = s[i:j]
-                whole = i in edges and j in edges
-                if whole:
+                whole = i in ends and j in ends
+                cut = hyphen[j - 1] if hyphen[j - 1] > i else 0
+                if cut and (not whole or hyphen[cut - 1] > i):
+                    continue
+                piece, known, dropped = s[i:j], True, False
+                if cut:
+                    cost, word, dropped = self.spanning(s[i:cut], s[cut:j])
+                    known = cost < self.rare
+                elif whole:
                     r = self.reading(piece)
+                    known = r is not None
                     cost, word = r if r else (self.rare + 4 * len(piece), piece)
                 else:
-                    k = self.known(piece) if len(piece) > 1 or piece.isalnum() else None
-                    if k is None:
+                    c = self.known(piece) if len(piece) > 1 or piece.isalnum() else None
+                    if c is None:
                         continue
-                    cost, word = k, piece
-                inner = sum(i < e < j for e in edges)
-                cost += 4 * inner + (0 if j in edges or j == n else 5) + (0 if len(piece) > 1 else 2)
+                    cost, word = c, piece
+                cost += spanned[j - 1] - spanned[i] + (0 if j in ends else 5) + (0 if len(piece) > 1 else 2) + (10 if joint.get(j) == "-" else 0)
                 if best[i][0] + cost < best[j][0]:
-                    best[j] = (best[i][0] + cost, i, word)
-        words: list[str] = []
-        cuts = [n]
-        while cuts[-1]:
-            _, i, word = best[cuts[-1]]
-            words.append(word)
-            cuts.append(i)
-        words.reverse()
-        cuts.reverse()
-        changed, at = [], 0
-        as_read = {(a, b): w for a, b, w in zip(cuts, cuts[1:], words)}
-        for p in parts:
-            changed.append(as_read.get((at, at + len(p))) != p)
-            at += len(p)
-        return words, changed
+                    best[j] = (best[i][0] + cost, i, word, known, dropped)
+        out = []
+        j = n
+        while j:
+            _, i, word, known, dropped = best[j]
+            out.append((i, j, word, known, dropped))
+            j = i
+        return out[::-1]
 
 
 def _value(s: str) -> int | None:
@@ -263,86 +299,104 @@ def repair(text: str, title: str | None, lexicon: Lexicon) -> tuple[str, list[tu
     out = furniture(lines, title)
     faults: list[tuple[int, str]] = [(i, "furniture") for i in sorted(out)]
     running = [i for i, x in enumerate(bare) if x and i not in out]
-    words: list[list[str]] = [bare[i].split() for i in running]
-    # divided words: the rest of the next line's first word moves up
-    for k in range(len(running) - 1):
-        m = _DIVIDED.search(bare[running[k]])
-        if not m or not words[k] or not words[k + 1] or len(m[1].strip(STRIP)) == 0:
-            continue
-        head, rest = m[1], words[k + 1][0]
-        a, b = head.lstrip(STRIP), rest.rstrip(STRIP)
-        if not b or not (b[0].isalpha() or b[0] in "$(0123456789"):
+    # the running text as one stream of tokens, without line ends
+    heading = title.strip(SPACES) if title else None
+    stream: list[tuple[str, str, str, int]] = []  # what stands before the word, the word, what stands after it, its line
+    joints: list[str] = []
+    odd: list[bool] = []
+    for k, i in enumerate(running):
+        row = bare[i].split()
+        rest = bare[i] + (bare[running[k + 1]] if k + 1 < len(running) else "")
+        divided = bool(_DIVIDED.search(bare[i])) and k + 1 < len(running)
+        if heading is not None and bare[i].lstrip("# ") == heading:  # a title is no running text
+            stream.append(("", bare[i], "", k))
+            odd.append(False)
+            joints.append("|")
             continue
-        joined, kept = lexicon.reading(a + b), lexicon.known(f"{a}-{b}")
-        if kept is not None and (lexicon.known(a + b) is None):
-            word = f"{head}-{rest}"
-        elif joined is not None:
-            faults.append((running[k], "hyphen"))
-            if joined[1] != a + b and lexicon.known(a + b) is None:
-                same = len(difflib.SequenceMatcher(None, a + b, joined[1]).find_longest_match()) and sum(1 for x, y in zip(a, joined[1]) if x == y) == len(a)
-                faults.append((running[k + 1] if same else running[k], "chars"))
-            word = head[: len(head) - len(a)] + joined[1] + rest[len(b) :]
-        else:
-            r = lexicon.reading(f"{a}-{b}")
-            lower = b[0].islower()
-            if r is None and lower:
-                faults.append((running[k], "hyphen"))
-            if r is not None:
-                faults.append((running[k], "chars"))
-            word = head + rest if r is None and lower else f"{head}-{rest}"
-        words[k][-1] = word
-        words[k + 1] = words[k + 1][1:]
-    # every stretch of unknown tokens is decoded with its neighbours
-    repaired: list[list[str]] = []
-    noisy = len(out) > 0 or any(f == "hyphen" for _, f in faults)
-    for k, row in enumerate(words):
-        cores = [w.strip(STRIP) for w in row]
-        odd = [bool(c) and any(x.isalnum() for x in c) and lexicon.known(c) is None and not _UNSPACED.search(c) for c in cores]
-        # a title line is no running text
-        if not any(odd) or (title and bare[running[k]].lstrip("# ") == title.strip(SPACES)):
-            repaired.append(row)
+        for w in row:
+            core, outer = w.strip(STRIP), STRIP
+            if w[0] in _LETTERS and ")" not in rest and lexicon.known(core) is None or w[-1:] in _LETTERS:
+                # a misread letter may look like punctuation: then the token with it is a known word
+                c = w.strip(_MARKS)
+                if c != core and lexicon.reading(c) is not None and lexicon.known(core) is None:
+                    core, outer = c, _MARKS
+            lead = w[: w.find(core)] if core else w
+            stream.append((lead, core, w[len(lead) + len(core) :], k))
+            odd.append(bool(core) and any(x.isalnum() for x in core) and lexicon.known(core) is None and not _UNSPACED.search(core))
+            joints.append(" " if core and not stream[-1][2] else "|")
+        lead, core, tail, _ = stream[-1]
+        cut = core.rstrip(HYPHENS)
+        if divided and cut and not tail:
+            stream[-1] = (lead, cut, core[len(cut) :], k)
+            joints[-1] = "-"
+        elif joints[-1] == " ":
+            joints[-1] = "\n"
+    for q in range(1, len(stream)):
+        if (stream[q][0] or not stream[q][1]) and joints[q - 1] != "-":
+            joints[q - 1] = "|"
+        elif joints[q - 1] == "-" and (stream[q][0] or not stream[q][1] or not (stream[q][1][0].isalpha() or stream[q][1][0] in "$(0123456789")):
+            joints[q - 1] = "|"
+        elif joints[q - 1] == "-":
+            odd[q - 1] = True
+        elif joints[q - 1] != "|" and not odd[q - 1] and not odd[q]:
+            # two known words may be one that was split, where the one is far likelier
+            one = lexicon.cost.get(stream[q - 1][1] + stream[q][1])
+            if one is not None and one + (4 if joints[q - 1] == " " else 6) + 2.5 < lexicon.known(stream[q - 1][1]) + lexicon.known(stream[q][1]):
+                odd[q - 1] = odd[q] = True
+    # every stretch of odd tokens is decoded with its neighbours
+    repaired: list[list[str]] = [[] for _ in running]
+    doubtful: list[tuple[int, str]] = []
+    q = 0
+    while q < len(stream):
+        a = q
+        while q < len(stream) and (odd[q] or (q > a and joints[q - 1] == "-") or (q > a and q + 1 < len(stream) and odd[q + 1] and joints[q - 1] != "|" and q - a < 8)):
+            q += 1
+        if q == a:
+            lead, core, tail, k = stream[q]
+            repaired[k].append(lead + core + tail)
+            q += 1
             continue
-        done: list[str] = []
-        i, fault = 0, False
-        while i < len(row):
-            if not odd[i]:
-                done.append(row[i])
-                i += 1
-                continue
-            # a misread letter may look like punctuation: then the token with it is a known word
-            c = row[i].strip(".,;:!?\"“”„«»…")
-            if c != cores[i] and (r := lexicon.reading(c)) is not None and lexicon.reading(cores[i]) is None:
-                done.append(row[i].replace(c, r[1]))
-                fault = True
-                i += 1
-                continue
-            a = i
-            while i < len(row) and (odd[i] or (i + 1 < len(row) and odd[i + 1] and i - a < 4)):
-                i += 1
-            lo = a - 1 if a and cores[a - 1] == row[a - 1] and cores[a - 1] and done else a
-            hi = i + 1 if i < len(row) and cores[i] and row[i].startswith(cores[i]) and row[i - 1].endswith(cores[i - 1]) else i
-            window = cores[lo:hi]
-            if len(window) > 10:
-                lo, hi = a, i
-                window = cores[lo:hi]
-            got, changed = lexicon.decode(window)
-            sound = all(lexicon.known(w) is not None for w in got)
-            if lo < a and not changed[0]:
-                got = got[1:]
-            elif lo < a:
-                done.pop()
-            lead = row[lo if lo == a or changed[0] else a]
-            core = lead.strip(STRIP)
-            last = row[hi - 1]
-            if got:
-                got[0] = lead[: lead.find(core)] + got[0] if core else got[0]
-                got[-1] += last[len(last.rstrip(STRIP)) :]
-            done += got
-            fault |= sound or noisy
-            i = hi
-        repaired.append(done)
-        if fault:
-            faults.append((running[k], "chars"))
+        plain = q - a == 2 and joints[a] == "-" and lexicon.known(stream[a][1] + stream[a + 1][1]) is not None
+        if not plain:
+            if a and joints[a - 1] in " \n" and repaired[stream[a - 1][3]] and repaired[stream[a - 1][3]][-1] == stream[a - 1][0] + stream[a - 1][1]:
+                a -= 1
+                repaired[stream[a][3]].pop()
+            if q < len(stream) and joints[q - 1] in " \n":
+                q += 1
+        window = stream[a:q]
+        places = np.cumsum([0, *(len(w[1]) for w in window)])
+        of = lambda c: int(np.searchsorted(places, c, side="right")) - 1
+        sound, found = True, []
+        for i, j, word, known, dropped in lexicon.decode([w[1] for w in window], "".join(joints[a : q - 1])):
+            first, last = of(i), of(j - 1)
+            sound &= known
+            lead = window[first][0] if i == places[first] else ""
+            tail = window[last][2] if j == places[last + 1] else ""
+            repaired[window[first][3]].append(lead + word + tail)
+            line = running[window[first][3]]
+            hyphens = [r for r in range(first, last) if joints[a + r] == "-"]
+            if dropped:
+                found.append((running[window[hyphens[0]][3]], "hyphen"))
+            as_read = "".join(w[1] for w in window[first : last + 1])[i - places[first] : j - places[first]]
+            same = word if dropped or not hyphens else word.replace("-", "", 1)
+            if as_read != same and as_read != word:
+                alike = next((r for r, (x, y) in enumerate(zip(as_read, same)) if x != y), min(len(as_read), len(same)) - 1)
+                found.append((running[window[of(min(i + alike, j - 1))][3]], "chars"))
+            elif i != places[first] or j != places[last + 1]:
+                found.append((line, "chars"))
+            for r in range(first, last):
+                if joints[a + r] != "-":
+                    found.append((running[window[r][3]], "chars"))
+            if not known and not dropped and any(odd[a + r] for r in range(first, last + 1)):
+                found.append((line, "unknown"))
+        for line, fault in found:
+            if fault == "hyphen" or (fault == "chars" and sound):
+                faults.append((line, fault))
+            else:
+                doubtful.append((line, "chars"))
+    # words that nothing explains are faults where the page shows others
+    if out or any(f == "hyphen" for _, f in faults):
+        faults += doubtful
     gaps = [False] + [any(not bare[j] for j in range(a + 1, b)) for a, b in zip(running, running[1:])]
     page = [False] + [any(j in out for j in range(a + 1, b)) or "\f" in lines[b] for a, b in zip(running, running[1:])]
     starts = paragraph_starts(bare, running, gaps, page)

@@ -92,18 +92,48 @@ def test_numbers_in_the_text_are_no_page_numbers():
     assert furniture([], None) == set() and furniture(["", " "], "x") == set()
 
 
+def words(lex, parts, joints):
+    return [w[2] for w in lex.decode(parts, joints)]
+
+
 def test_decoding():
     lex = Lexicon(lexicon())
-    assert lex.decode(["per", "rnission"]) == (["permission"], [True, True])
-    assert lex.decode(["nobodytested"]) == (["nobody", "tested"], [True])
-    assert lex.decode(["folder"]) == (["folder"], [False])
+    assert words(lex, ["per", "rnission"], " ") == ["permission"]
+    assert words(lex, ["nobodytested"], "") == ["nobody", "tested"]
+    assert words(lex, ["folder"], "") == ["folder"]
     assert lex.reading("fo1der") is not None and lex.reading("qqqqq") is None
+    # one lattice has all moves: divided, misread, split, split at a line's end without a hyphen; none spans punctuation
+    assert words(lex, ["docu", "rnents", "archive"], "- ") == ["documents", "archive"]
+    assert words(lex, ["capa", "ci", "ty"], "- ") == ["capacity"]
+    assert words(lex, ["migra", "tion", "was"], "\n ") == ["migration", "was"]
+    assert words(lex, ["migra", "tion"], "|") == ["migra", "tion"]
+    assert words(lex, ["read", "only"], "-") == ["read-only"]
+
+
+def test_words_broken_at_a_line_end_without_a_hyphen():
+    lex = Lexicon(lexicon())
+    fixed, faults = repair("The archive was moved during win\nter because the folder migra\ntion was clear.", None, lex)
+    assert "during winter because" in fixed and "folder migration was" in fixed
+    assert faults == [(0, "chars"), (1, "chars")]
+
+
+def test_a_split_into_two_known_words():
+    lex = Lexicon(lexicon() | {"for": 100, "mat": 1, "format": 100, "on": 100, "a": 100})
+    fixed, faults = repair("The for mat of a folder was clear, for a restore. The mat was on the folder.", None, lex)
+    assert fixed == "The format of a folder was clear, for a restore. The mat was on the folder."
+    assert faults == [(0, "chars")]
+
+
+def test_punctuation_between_odd_words_stays():
+    lex = Lexicon(lexicon())
+    fixed, _ = repair("The arch1ve, perrnission. Nobody tcsted (the folder) in winter.", None, lex)
+    assert fixed.startswith("The archive, permission. Nobody tested (the folder)")
 
 
 def test_tokens_beyond_the_longest_word_are_kept():
     lex = Lexicon(lexicon())
     url = "https://" + "xq7z/" * 18 + "zz"
-    assert len(url) == 100 and lex.decode(["the", url, "was"]) == (["the", url, "was"], [False] * 3)
+    assert len(url) == 100 and words(lex, ["the", url, "was"], "  ") == ["the", url, "was"]
     text = f"The archive was moved to the {url} folder before the review."
     assert repair(text, None, lex) == (text, [])
 
