@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.config import D
+from inkweave.operators import compact
+from inkweave.operators.compact import ONE_TASK_EDGES, in_one_task
 from inkweave.runtime import Scratch
 
+#: Rounds of distributed moves before communities become nodes; what is left is moved on the next level.
+ROUNDS = 8
 #: The kinds of edges.
 EDGE_KINDS = ["reference", "semantic", "keyword", "entity", "topic"]
 
@@ -120,39 +126,52 @@ def sanitise_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = D.max_no
 
 
 def merge_edges(*edges: DataFrame) -> DataFrame:
-    """The union of edge lists, earlier lists first: of edges with the same ends and kind the first stays."""
+    """The union of edge lists, earlier lists first: of edges with the same ends and kind the first stays. With ``evidence`` where a list has it (else null)."""
+    none = F.lit(None).cast("array<string>")
     both = None
     for i, e in enumerate(edges):
-        e = e.select("source", "target", "kind", "weight", F.lit(i).alias("_p"))
+        e = e.select("source", "target", "kind", "weight", (F.col("evidence") if "evidence" in e.columns else none).alias("evidence"), F.lit(i).alias("_p"))
         both = e if both is None else both.unionByName(e)
     w = Window.partitionBy("source", "target", "kind").orderBy("_p", F.col("weight").desc())
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_p")
 
 
-def path_lengths(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+def path_lengths(edges: DataFrame, start: DataFrame, small: int = ONE_TASK_EDGES) -> DataFrame:
     """Edges on the shortest path from the nodes ``start`` (id) to every node they reach: id, hops. Topic edges don't count.
 
-    Level by level; each level is written out, and the search ends with the first that reaches nothing new.
+    Up to ``small`` edges in one task; beyond, level by level, each written out, until one reaches nothing new.
     """
     scratch = Scratch(edges.sparkSession, "paths")
     steps = scratch.put(ends(doc_edges(edges)).select("node", "other").distinct(), "steps")
-    seen = scratch.put(start.select("id").distinct().withColumn("hops", F.lit(0)), "l0")
-    front = seen
-    for i in range(1, most + 1):
+    begin = start.select("id").where("id IS NOT NULL").distinct()
+    if steps.count() <= 2 * small:
+        known = begin.join(steps.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), F.col("id").alias("other"))
+
+        def run(t: pa.Table) -> pa.Table:
+            a, b = t.column("node").to_pylist(), t.column("other").to_pylist()
+            g = compact.Arrays(a, b)
+            far = compact.hops(g, np.searchsorted(g.names, np.array([x for x, y in zip(a, b) if x == y], dtype=object)))
+            there = np.flatnonzero(far > 0)
+            return pa.table({"id": pa.array(g.names[there], pa.string()), "hops": pa.array(far[there].astype(np.int32))})
+
+        return begin.withColumn("hops", F.lit(0)).unionByName(in_one_task(steps.where("node <> other").unionByName(known), run, "id string, hops int"))
+    seen = scratch.put(begin.withColumn("hops", F.lit(0)), "l0")
+    front, i = seen, 0
+    while True:
+        i += 1
         new = front.select(F.col("id").alias("node")).join(steps, "node").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(i))
         front = scratch.put(new, f"l{i}")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, most: int = 100) -> list[str] | None:
+def shortest_path(edges: DataFrame, a: str, b: str) -> list[str] | None:
     """The nodes of a shortest path, ties by the least id; None where there is none. The path itself is the only thing collected."""
     spark = edges.sparkSession
     if a == b:
         return [a]
-    lengths = path_lengths(edges, spark.createDataFrame([(a,)], "id string"), most)
+    lengths = path_lengths(edges, spark.createDataFrame([(a,)], "id string"))
     hit = lengths.where(F.col("id") == b).first()
     if hit is None:
         return None
@@ -163,12 +182,12 @@ def shortest_path(edges: DataFrame, a: str, b: str, most: int = 100) -> list[str
     return path[::-1]
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top, least: float = D.bridge_min, pivots: int = D.bridge_pivots, most: int = 100) -> DataFrame:
+def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top, least: float = D.bridge_min, pivots: int = D.bridge_pivots, small: int = ONE_TASK_EDGES) -> DataFrame:
     """Documents on many shortest paths: id, score, highest first (ties by id).
 
     Betweenness by dependency accumulation, from all documents or, above ``pivots``, from that many chosen by hash, scaled up.
-    All sources advance together, a level at a time, as rows (source, node, paths); nothing of the graph leaves the executors.
-    Documents of less than two neighbours are no bridges; below three documents there are none.
+    Up to ``small`` edges in one task; beyond, all sources advance together, a level at a time, as rows (source, node, paths);
+    nothing of the graph leaves the executors. Documents of less than two neighbours are no bridges; below three documents there are none.
     """
     scratch = Scratch(nodes.sparkSession, "bridges")
     docs = scratch.put(nodes.where("kind = 'document'").select("id").distinct(), "docs")
@@ -179,9 +198,23 @@ def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top,
     count = max(1, min(n, pivots))
     scale = (n / count / 2) / max((n - 1) * (n - 2) / 2, 1)
     sources = docs if n <= pivots else docs.orderBy(F.xxhash64("id"), "id").limit(count)
+    wide = pairs.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree")).where("degree >= 2").select("id")
+    if n >= 3 and pairs.count() <= 2 * small:
+        marked = pairs.where("node < other").unionByName(sources.select(F.col("id").alias("node"), F.lit(None).cast("string").alias("other")))
+
+        def run(t: pa.Table) -> pa.Table:
+            a, b = t.column("node").to_pylist(), t.column("other").to_pylist()
+            g = compact.Arrays([x for x, y in zip(a, b) if y is not None], [y for y in b if y is not None])
+            from_ = np.array(sorted(x for x, y in zip(a, b) if y is None), dtype=object)
+            from_ = np.flatnonzero(np.isin(g.names, from_)) if len(g.names) else np.zeros(0, np.int64)
+            return pa.table({"id": pa.array(g.names, pa.string()), "score": pa.array(compact.betweenness(g, from_) * scale)})
+
+        found = in_one_task(marked, run, "id string, score double").where(F.col("score") >= least).join(wide, "id", "left_semi").select("id", "score")
+        return found.orderBy(F.col("score").desc(), "id").limit(top) if top else found
     front = scratch.put(sources.select(F.col("id").alias("s"), F.col("id").alias("node"), F.lit(1.0).alias("sigma")), "l0")
-    levels, seen = [front], front.select("s", "node")
-    for i in range(1, most + 1):
+    levels, seen, i = [front], front.select("s", "node"), 0
+    while True:
+        i += 1
         new = front.join(pairs, "node").groupBy("s", F.col("other").alias("node")).agg(F.sum("sigma").alias("sigma")).join(seen, ["s", "node"], "left_anti")
         front = scratch.put(new, f"l{i}")
         if front.isEmpty():
@@ -201,18 +234,18 @@ def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top,
         total = part if total is None else total.unionByName(part)
     if total is None or n < 3:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    wide = pairs.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("degree")).where("degree >= 2").select("id")
     score = total.groupBy(F.col("node").alias("id")).agg((F.sum("delta") * scale).alias("score"))
     found = score.where(F.col("score") >= least).join(wide, "id", "left_semi").select("id", "score")
     return found.orderBy(F.col("score").desc(), "id").limit(top) if top else found
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, levels: int = 6, rounds: int = 8) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, small: int = ONE_TASK_EDGES) -> DataFrame:
     """Communities of high modularity: id, community (named by its least node). Nodes without edges are communities of their own.
 
     Louvain's moves, made for all nodes at once: each joins the neighbouring community with the greatest gain, only towards lower
-    numbers in even rounds and higher ones in odd rounds (so that two nodes never swap); then communities become nodes. Weights
-    of parallel edges add up, a null weight counts as 0.5. Every round is a join and two aggregations.
+    numbers in even rounds and higher ones in odd rounds (so that two nodes never swap); then communities become nodes. Once
+    ``small`` edges or less are left, one task makes the remaining moves, a node at a time. Weights of parallel edges add up, a
+    null weight counts as 0.5. Every distributed round is a join and two aggregations.
     """
     scratch = Scratch(nodes.sparkSession, "communities")
     w = F.coalesce("weight", F.lit(0.5))
@@ -224,14 +257,27 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, le
     if total > 0:
         links = pair.join(ids.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(ids.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
         links = scratch.put(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"), "g0")
-        for level in range(levels):
+        level = -1
+        while True:
+            level += 1
+            if links.count() <= small:
+
+                def run(t: pa.Table) -> pa.Table:
+                    g = compact.Arrays(t.column("u").to_pylist(), t.column("v").to_pylist(), t.column("w").to_numpy())
+                    names = g.names.astype(np.int64)
+                    return pa.table({"c": pa.array(names), "n": pa.array(names[compact.louvain(g, resolution)])})
+
+                last = in_one_task(links.select("u", "v", "w"), run, "c bigint, n bigint")
+                member = scratch.put(member.join(last, "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")
+                break
             sides = links.where("u <> v").select("u", "v", "w").unionByName(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
             sides = scratch.put(sides.groupBy("u", "v").agg(F.sum("w").alias("w")), f"s{level}")
             loops = links.where("u = v").groupBy("u").agg((2 * F.sum("w")).alias("l"))
             strength = scratch.put(sides.groupBy("u").agg(F.sum("w").alias("k")).join(loops, "u", "full").select("u", (F.coalesce("k", F.lit(0.0)) + F.coalesce("l", F.lit(0.0))).alias("k")), f"k{level}")
             label = scratch.put(strength.select("u", F.col("u").alias("c"), "k"), f"c{level}-0")
-            moved_any, still, count = False, 0, label.count()
-            for r in range(1, rounds + 1):
+            moved_any, still, count, r = False, 0, label.count(), 0
+            while True:
+                r += 1
                 size = label.groupBy("c").agg(F.sum("k").alias("held"))
                 near = sides.join(label.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.sum("w").alias("w"))
                 near = near.unionByName(label.select("u", F.col("c").alias("cv"), F.lit(0.0).alias("w"))).groupBy("u", "cv").agg(F.sum("w").alias("w"))
@@ -247,7 +293,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, le
                 moved_any |= moves > 0
                 # the last few moves change little, and the next level makes up for them
                 still = 0 if moves > count / 200 else still + 1
-                if still == 2:
+                if still == 2 or r == ROUNDS:
                     break
             member = scratch.put(member.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")
             if not moved_any:
