@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.config import STOPWORDS, D
 from inkweave.functions.text import tokens, trim_all
-from inkweave.runtime import Scratch
+from inkweave.operators.compact import ONE_TASK_EDGES, in_one_task
+from inkweave.runtime import SMALL, Scratch
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -78,41 +80,66 @@ def shared_pairs(docs: DataFrame, key: str, items: str, weight: str = "add", min
     return pairs.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("n_shared")).where(F.col("n_shared") >= min_shared)
 
 
-def capped_edges(pairs: DataFrame, cap: int, rounds: int = 200) -> DataFrame:
+def capped_edges(pairs: DataFrame, cap: int, small: int = ONE_TASK_EDGES) -> DataFrame:
     """The pairs that a greedy choice by (score descending, a, b) keeps when no document may have more than ``cap``.
 
-    Each round accepts the pairs whose rank is within the remaining capacity at both ends and drops those at full documents:
-    the best pair left is always among them, so the result is that of the greedy loop.
+    Up to ``small`` pairs in one task. Beyond, each round accepts the pairs whose rank is within the remaining capacity at both ends and drops those at full documents:
+    the best pair left is always among them, so the result is that of the greedy loop, and the rounds end when none is left.
     """
     scratch = Scratch(pairs.sparkSession, "capped")
     left = scratch.put(pairs.select("a", "b", "score", "n_shared"), "left0")
-    used = None
-    kept: list[DataFrame] = []
-    for i in range(1, rounds + 1):
+    if left.count() <= small:
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("score", "descending"), ("a", "ascending"), ("b", "ascending")])
+            room: dict = {}
+            take = []
+            for x, y in zip(t.column("a").to_pylist(), t.column("b").to_pylist()):
+                ok = room.get(x, cap) > 0 and room.get(y, cap) > 0
+                if ok:
+                    room[x], room[y] = room.get(x, cap) - 1, room.get(y, cap) - 1
+                take.append(ok)
+            return t.filter(pa.array(take))
+
+        return in_one_task(left, run, ", ".join(f"{n} {t}" for n, t in left.dtypes))
+    used = kept = None
+    i = 0
+    while True:
+        i += 1
         ends = left.select("a", "b", "score", F.col("a").alias("doc")).unionByName(left.select("a", "b", "score", F.col("b").alias("doc")))
         place = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("score").desc(), "a", "b"))
-        ends = ends.withColumn("place", place)
+        # what is beyond the cap itself never fits: only the first of each document are ranked
+        ends = ends.withColumn("place", place).where(F.col("place") <= cap)
         if used is not None:
             ends = ends.join(used, "doc", "left")
         fits = ends.where(F.col("place") <= cap - (F.coalesce("n_used", F.lit(0)) if used is not None else F.lit(0)))
-        taken = scratch.put(fits.groupBy("a", "b").count().where("count = 2").join(left, ["a", "b"]).select("a", "b", "score", "n_shared"), f"kept{i}")
+        taken = scratch.put(fits.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("score").alias("score")).where("n = 2").select("a", "b", "score"), f"kept{i}")
         if taken.isEmpty():
             break
-        kept.append(taken)
-        both = kept[0]
-        for k in kept[1:]:
-            both = both.unionByName(k)
-        used = both.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_used"))
+        kept = taken if kept is None else kept.unionByName(taken)
+        fresh = taken.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_used"))
+        used = scratch.put(fresh if used is None else used.unionByName(fresh).groupBy("doc").agg(F.sum("n_used").alias("n_used")), f"used{i}")
         full = used.where(F.col("n_used") >= cap).select("doc")
         rest = left.join(taken.select("a", "b"), ["a", "b"], "left_anti")
         rest = rest.join(full.withColumnRenamed("doc", "a"), "a", "left_anti").join(full.withColumnRenamed("doc", "b"), "b", "left_anti")
         left = scratch.put(rest.select("a", "b", "score", "n_shared"), f"left{i}")
-        if left.isEmpty():
-            break
-    out = kept[0] if kept else left
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out
+    shared = pairs.select("a", "b", "n_shared")
+    return kept.join(shared, ["a", "b"]) if kept is not None else left
+
+
+def with_evidence(edges: DataFrame, docs: DataFrame, key: str, items: str, wording: str, most: int = 4) -> DataFrame:
+    """Adds ``evidence``: the ``most`` rarest items that both ends of an edge (a, b) share, by documents, then name.
+
+    Each document is joined with its edges, so that nothing but the items of the edges kept is looked at.
+    """
+    held = docs.select(F.col(key).alias("doc"), F.array_distinct(items).alias("items"))
+    df = held.select(F.explode("items").alias("item")).where("item IS NOT NULL AND item <> ''").groupBy("item").agg(F.count("*").alias("df"))
+    both = edges.select("a", "b").join(held.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+    shared = both.select("a", "b", F.explode(F.array_intersect("x", "y")).alias("item")).join(df, "item")
+    first = F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "item"))
+    rare = shared.withColumn("_r", first).where(F.col("_r") <= most).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("_r", "item"))).alias("_l"))
+    named = F.array_join(F.transform("_l", lambda x: F.concat(F.lit("'"), x["item"], F.lit("'"))), ", ")
+    return edges.join(rare.select("a", "b", F.array(F.concat(F.lit(f"{wording}: "), named)).alias("evidence")), ["a", "b"], "left")
 
 
 def scaled_weight(edges: DataFrame, low: float, high: float) -> DataFrame:
@@ -122,18 +149,19 @@ def scaled_weight(edges: DataFrame, low: float, high: float) -> DataFrame:
     return edges.join(F.broadcast(span)).withColumn("weight", low + (high - low) * ratio).drop("lo", "hi")
 
 
-def shared_edges(docs: DataFrame, key: str, items: str, kind: str, cap: int, low: float, high: float, weight: str, most_df: int | None = D.pairing_df) -> DataFrame:
-    """Edges from shared items, at most ``cap`` a document: source, target, kind, weight."""
+def shared_edges(docs: DataFrame, key: str, items: str, kind: str, cap: int, low: float, high: float, weight: str, wording: str, most_df: int | None = D.pairing_df) -> DataFrame:
+    """Edges from shared items, at most ``cap`` a document: source, target, kind, weight, evidence."""
     kept = scaled_weight(capped_edges(shared_pairs(docs, key, items, weight, most_df=most_df), cap), low, high)
-    return kept.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(kind).alias("kind"), "weight")
+    kept = with_evidence(kept, docs, key, items, wording)
+    return kept.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(kind).alias("kind"), "weight", "evidence")
 
 
-def entity_edges(docs: DataFrame, key: str = "id", items: str = "entities", cap: int = D.entity_edges_per_doc) -> DataFrame:
-    return shared_edges(docs, key, items, "entity", cap, 0.35, 0.9, "add")
+def entity_edges(docs: DataFrame, key: str = "id", items: str = "entities", cap: int = D.entity_edges_per_doc, most_df: int | None = D.pairing_df) -> DataFrame:
+    return shared_edges(docs, key, items, "entity", cap, 0.35, 0.9, "add", "shared identifiers", most_df)
 
 
-def keyword_edges(docs: DataFrame, key: str = "id", items: str = "keywords", cap: int = D.keyword_edges_per_doc) -> DataFrame:
-    return shared_edges(docs, key, items, "keyword", cap, 0.30, 0.85, "smooth")
+def keyword_edges(docs: DataFrame, key: str = "id", items: str = "keywords", cap: int = D.keyword_edges_per_doc, most_df: int | None = D.pairing_df) -> DataFrame:
+    return shared_edges(docs, key, items, "keyword", cap, 0.30, 0.85, "smooth", "shared keywords", most_df)
 
 
 def line_form(c: Column) -> Column:
@@ -148,10 +176,18 @@ def boilerplate_lines(docs: DataFrame, key: str, text: str, fraction: float = 0.
     return df.where((F.col("n_docs") >= min_docs) & (F.col("df") >= F.greatest(F.lit(min_docs), F.ceil(fraction * F.col("n_docs"))))).select("line", "df")
 
 
-def strip_boilerplate(docs: DataFrame, key: str, text: str, boilerplate: DataFrame) -> DataFrame:
-    """Each document's text without its boilerplate lines: key, text. Null texts stay null."""
+def strip_boilerplate(docs: DataFrame, key: str, text: str, boilerplate: DataFrame, salts: int = 16) -> DataFrame:
+    """Each document's text without its boilerplate lines: key, text. Null texts stay null.
+
+    Boilerplate lines are the most frequent keys there are: up to ``SMALL`` of them are broadcast, more are joined in ``salts`` parts.
+    """
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("at", "raw")).withColumn("line", line_form(F.col("raw")))
-    kept = lines.join(boilerplate.select("line"), "line", "left_anti")
+    known = boilerplate.select("line").distinct()
+    if known.limit(SMALL + 1).count() <= SMALL:
+        kept = lines.join(F.broadcast(known), "line", "left_anti")
+    else:
+        salted = lines.withColumn("_s", F.pmod(F.xxhash64(key, "at"), F.lit(salts)))
+        kept = salted.join(known.select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("_s")), ["line", "_s"], "left_anti")
     joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "\n").alias("_text"))
     return docs.select(key, F.col(text).alias("_raw")).join(joined, key, "left").select(key, F.when(F.col("_raw").isNotNull(), F.coalesce("_text", F.lit(""))).alias(text))
 

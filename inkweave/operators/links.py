@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,14 @@ from inkweave.config import D
 from inkweave.functions.text import file_key, is_external, strip_ext, trim_all
 from inkweave.runtime import spread
 
+try:
+    import ahocorasick
+except ImportError:  # then mentions are found by joins alone
+    ahocorasick = None
+
+#: Needles that may be broadcast as one automaton; they are counted first.
+FEW_NEEDLES = 50_000
+
 
 def link_edges(docs: DataFrame, key: str = "id", file_name: str = "file_name", targets: str = "md_link_targets") -> DataFrame:
     """Explicit links by file key: source (the linking document), target, evidence. External links, empty keys and links to oneself don't count; all documents of a key match."""
@@ -19,35 +30,95 @@ def link_edges(docs: DataFrame, key: str = "id", file_name: str = "file_name", t
     return joined.groupBy("source", "target").agg(F.concat(F.lit("links to '"), F.min("_file"), F.lit("'")).alias("evidence"))
 
 
-def mention_edges(docs: DataFrame, key: str = "id", title: str = "title", file_name: str = "file_name", text: str = "text", min_len: int = D.min_mention_len) -> DataFrame:
-    """Mentions of other documents' titles or file names in a text, between word boundaries: source, target, kind (title before file).
-
-    An equi-join on the needle's rarest word, then a comparison in place: no text meets a needle that doesn't hold that word,
-    and each text is read once for all the needles it meets. Needles without any word character aren't looked for.
-    """
+def _needles(docs: DataFrame, key: str, title: str, file_name: str, min_len: int) -> DataFrame:
+    """What mentions are looked for: target, kind (0 title, 1 file), label, needle (lower-case). Needles without any word character aren't."""
     named = docs.select(F.col(key).alias("target"), trim_all(F.coalesce(F.col(title), F.lit(""))).alias("t"), trim_all(F.coalesce(F.col(file_name), F.lit(""))).alias("f"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("label")), F.when(F.lower("f") != F.lower("t"), F.struct(F.lit(1).alias("kind"), F.col("f").alias("label"))))
-    needles = named.select("target", F.explode(both).alias("n")).where("n IS NOT NULL").select("target", "n.kind", F.lower("n.label").alias("needle")).where(F.length("needle") >= min_len)
-    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9_]+"), F.lit(0)))
+    flat = named.select("target", F.explode(both).alias("n")).where("n IS NOT NULL").select("target", "n.kind", "n.label", F.lower("n.label").alias("needle"))
+    return flat.where((F.length("needle") >= min_len) & F.col("needle").rlike("[a-z0-9_]"))
+
+
+def _scanned(body: DataFrame, needles: list[tuple[str, str, int, str]]) -> DataFrame:
+    """Hits of a broadcast list of (needle, target, kind, label) in texts (source, body), by one automaton: every text is read once."""
+    spark = body.sparkSession
+    shared = spark.sparkContext.broadcast(needles)
+    kind = dict(body.dtypes)["source"]
+    edge = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: dict[str, list[int]] = {}
+        for i, n in enumerate(shared.value):
+            owners.setdefault(n[0], []).append(i)
+        machine = ahocorasick.Automaton()
+        for n, own in owners.items():
+            machine.add_word(n, (len(n), own))
+        machine.make_automaton()
+        for b in batches:
+            at: list[int] = []
+            hit: list[int] = []
+            for row, t in enumerate(b.column("body").to_pylist()):
+                seen: set[int] = set()
+                for end, (size, own) in machine.iter(t):
+                    a = end - size + 1
+                    if (a == 0 or t[a - 1] not in edge) and (end + 1 == len(t) or t[end + 1] not in edge):
+                        seen.update(own)
+                at += [row] * len(seen)
+                hit += sorted(seen)
+            take = pa.array(at, pa.int64())
+            held = [shared.value[i] for i in hit]
+            yield pa.RecordBatch.from_arrays([b.column("source").take(take), pa.array([h[1] for h in held], pa.string()), pa.array([h[2] for h in held], pa.int32()), pa.array([h[3] for h in held], pa.string())], names=["source", "target", "kind", "label"])
+
+    return body.mapInArrow(run, f"source {kind}, target string, kind int, label string").where("source <> target")
+
+
+def mentions(docs: DataFrame, key: str = "id", title: str = "title", file_name: str = "file_name", text: str = "text", min_len: int = D.min_mention_len, few: int = FEW_NEEDLES) -> DataFrame:
+    """Mentions of other documents' titles or file names in a text, between word boundaries: source, target, kind (0 title before 1 file), label.
+
+    Up to ``few`` needles are broadcast and each text is read once by an automaton of them. Beyond, an equi-join on the
+    needle's rarest word, then a comparison in place: no text meets a needle that doesn't hold that word.
+    """
+    needles = _needles(docs, key, title, file_name, min_len)
     body = docs.select(F.col(key).alias("source"), F.lower(text).alias("body")).where("body IS NOT NULL")
-    words = body.select("source", F.explode(runs(F.col("body"))).alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    # a word that no text has finds nothing: its needle drops out
-    rarest = needles.select("needle", F.explode(runs(F.col("needle"))).alias("word")).distinct().join(df, "word", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("m")).where("m.df > 0").select("needle", F.col("m.word").alias("word"))
-    anchored = needles.join(rarest, "needle")
-    meet = words.join(anchored, "word").where("source <> target").groupBy("source").agg(F.collect_list(F.struct("target", "kind", "needle")).alias("needles"))
-    # the comparison is the work: it keeps a task a core even where the lists are small
-    meet = spread(meet, "source")
-    boundary = lambda n: F.concat(F.lit("(?<![a-z0-9_])\\Q"), F.regexp_replace(n, r"\\E", ""), F.lit("\\E(?![a-z0-9_])"))
-    inside = F.filter("needles", lambda n: F.contains(F.col("body"), n["needle"]) & F.regexp_like(F.col("body"), boundary(n["needle"])))
-    hits = body.join(meet, "source").select("source", F.explode(inside).alias("h")).select("source", "h.target", "h.kind")
-    return hits.groupBy("source", "target").agg(F.min("kind").alias("kind"))
+    held = needles.select("needle", "target", "kind", "label").limit(few + 1).toArrow() if ahocorasick is not None and dict(body.dtypes)["source"] == "string" else None
+    if held is not None and held.num_rows <= few:
+        hits = _scanned(body, list(zip(*(c.to_pylist() for c in held.columns)))) if held.num_rows else body.select("source", F.lit("").alias("target"), F.lit(0).alias("kind"), F.lit("").alias("label")).limit(0)
+    else:
+        runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9_]+"), F.lit(0)))
+        words = body.select("source", F.explode(runs(F.col("body"))).alias("word"))
+        df = words.groupBy("word").agg(F.count("*").alias("df"))
+        # a word that no text has finds nothing: its needle drops out
+        rarest = needles.select("needle", F.explode(runs(F.col("needle"))).alias("word")).distinct().join(df, "word", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("m")).where("m.df > 0").select("needle", F.col("m.word").alias("word"))
+        meet = words.join(needles.join(rarest, "needle"), "word").where("source <> target").select("source", "target", "kind", "label", "needle")
+        # a text's needles in batches, so that no row holds those of all documents
+        meet = meet.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(64))).groupBy("source", "part").agg(F.collect_list(F.struct("target", "kind", "label", "needle")).alias("needles"))
+        # the comparison is the work: it keeps a task a core even where the lists are small
+        meet = spread(meet, "source")
+        boundary = lambda n: F.concat(F.lit("(?<![a-z0-9_])\\Q"), F.regexp_replace(n, r"\\E", ""), F.lit("\\E(?![a-z0-9_])"))
+        inside = F.filter("needles", lambda n: F.contains(F.col("body"), n["needle"]) & F.regexp_like(F.col("body"), boundary(n["needle"])))
+        hits = body.join(meet, "source").select("source", F.explode(inside).alias("h")).select("source", "h.target", "h.kind", "h.label")
+    best = F.min(F.struct("kind", "label"))
+    return hits.groupBy("source", "target").agg(best.alias("_m")).select("source", "target", "_m.kind", "_m.label")
+
+
+def mention_edges(docs: DataFrame, **names: str) -> DataFrame:
+    """``mentions`` without their labels: source, target, kind."""
+    return mentions(docs, **names).drop("label")
 
 
 def reference_edges(links: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Links (weight 1) and mentions (0.85) merged: source < target, kind reference, the greater weight."""
-    both = links.select("source", "target", F.lit(1.0).alias("weight")).unionByName(mentions.select("source", "target", F.lit(0.85).alias("weight")))
-    return both.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max("weight").alias("weight")).withColumn("kind", F.lit("reference"))
+    """Links (weight 1) and mentions (0.85) merged: source < target, kind reference, the greater weight, evidence.
+
+    ``evidence`` has the links' own first, then ``mentions '...'`` where mentions have a label, each once: links by the linking
+    document, mentions by the mentioned one.
+    """
+    said = F.concat(F.lit("mentions '"), F.col("label"), F.lit("'")) if "label" in mentions.columns else F.lit(None).cast("string")
+    linked = F.col("evidence") if "evidence" in links.columns else F.lit(None).cast("string")
+    both = links.select("source", "target", F.lit(1.0).alias("weight"), F.struct(F.lit(0).alias("o"), F.col("source").alias("by"), linked.alias("e")).alias("why"))
+    both = both.unionByName(mentions.select("source", "target", F.lit(0.85).alias("weight"), F.struct(F.lit(1).alias("o"), F.col("target").alias("by"), said.alias("e")).alias("why")))
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("why.e").isNotNull(), F.col("why")))), lambda x: x["e"]))
+    # of two documents at most four rows meet here
+    merged = both.groupBy(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).agg(F.max("weight").alias("weight"), listed.alias("evidence"))
+    return merged.withColumn("kind", F.lit("reference")).select("source", "target", "weight", "kind", "evidence")
 
 
 def resolve_links(links: DataFrame, docs: DataFrame, url: str = "url", key: str = "id", path: str = "path", title: str = "title", order: str = "id") -> DataFrame:
@@ -60,3 +131,10 @@ def resolve_links(links: DataFrame, docs: DataFrame, url: str = "url", key: str
     k = F.when(~is_external(F.col(url)), file_key(F.col(url)))
     keyed = links.withColumn("_fk", k).withColumn("_tk", strip_ext(k))
     return keyed.join(files, "_fk", "left").join(names, "_tk", "left").withColumn("doc_id", F.coalesce("_by_file", "_by_title")).drop("_fk", "_tk", "_by_file", "_by_title")
+
+
+def viewer_links(docs: DataFrame, key: str = "id", labelled: str = "doc_links", targets: str = "md_link_targets") -> DataFrame:
+    """The links a viewer shows: labelled ones, and targets that no labelled link has, without text: key, url, text, count."""
+    named = docs.select(key, F.explode(labelled).alias("l")).select(key, "l.url", F.coalesce("l.text", F.lit("")).alias("text"))
+    bare = docs.select(key, F.explode(targets).alias("url")).where("url IS NOT NULL").distinct().join(named.select(key, "url"), [key, "url"], "left_anti")
+    return named.unionByName(bare.withColumn("text", F.lit(""))).groupBy(key, "url", "text").count()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.runtime import Scratch
+from inkweave.functions.text import trim_all
+from inkweave.runtime import SMALL, Scratch
 
 
 def current_rows(df: DataFrame, key: str, version: str, columns: list[str], first: str | None = None) -> DataFrame:
@@ -28,17 +29,23 @@ def live_records(records: DataFrame, columns: list[str], first: str | None = Non
     return current_rows(records, "doc_hash", "saved_at", ["removed_at", *columns], first).where("removed_at IS NULL")
 
 
-def latest_rows(df: DataFrame, key: str, version: str, columns: list[str], small: int = 200_000) -> DataFrame:
-    """As ``current_rows``, for wide rows of which few are superseded; equally late copies all stay.
+def latest_rows(df: DataFrame, key: str, version: str, columns: list[str], small: int = SMALL) -> DataFrame:
+    """As ``current_rows``, for wide rows of which few are superseded: keys and versions are shuffled first, wide rows only where a key has several.
 
-    Only keys and versions are shuffled, where the keys with several rows are at most ``small`` and can be broadcast; else this
-    is ``current_rows``.
+    One row a key, whatever the number of keys with several rows (up to ``small`` of them are broadcast). Of equally late rows any one.
     """
-    spark = df.sparkSession
-    several = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.max(version).alias("_latest")).where("_n > 1").select("_key", "_latest")
-    several = Scratch(spark, "latest").put(several, "several")
-    if several.count() > small:
-        return current_rows(df, key, version, columns)
     names = [c for c in dict.fromkeys([key, version, *columns])]
-    joined = df.select(*names).where(F.col(key).isNotNull()).join(F.broadcast(several), F.col(key) == F.col("_key"), "left")
-    return joined.where(F.col("_key").isNull() | F.col(version).eqNullSafe(F.col("_latest"))).select(*names)
+    rows = df.select(*names).where(F.col(key).isNotNull())
+    several = Scratch(df.sparkSession, "latest").put(rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "several")
+    if several.limit(small + 1).count() > small:
+        return current_rows(df, key, version, columns)
+    known = F.broadcast(several)
+    once = rows.join(known, F.col(key) == F.col("_key"), "left_anti")
+    again = rows.join(known, F.col(key) == F.col("_key"), "left_semi")
+    return once.unionByName(current_rows(again, key, version, columns).select(*names))
+
+
+def unreferenced(docs: DataFrame, snapshots: DataFrame, key: str = "id", listed: str = "doc_hashes") -> DataFrame:
+    """Documents that no snapshot lists (listed ids are trimmed and lower-cased): key."""
+    used = snapshots.select(F.explode(listed).alias("h")).select(F.lower(trim_all(F.col("h"))).alias(key))
+    return docs.select(key).distinct().join(used, key, "left_anti")

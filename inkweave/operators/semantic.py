@@ -29,11 +29,12 @@ def flat_vectors(df: DataFrame, key: str, flat: str, n: str, dim: int) -> DataFr
     return ok.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.slice(F.col(flat), i * dim + 1, dim))).alias("no", "vector"))
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, pivots: int = 64, sample: int = 4096, seed: int = 3) -> DataFrame:
+def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, cell_rows: int = 4096, sample: int = 16_384, seed: int = 3) -> DataFrame:
     """Every pair of unit vectors with an inner product of ``least`` or more: a < b, sim. Exact.
 
-    Vectors are assigned to the nearest of some pivots; by the triangle inequality on angles only pairs of cells that can
-    hold such a pair are compared, as matrix products. Null vectors and those of another size than the first row's are left out.
+    Vectors are assigned to the nearest of some pivots, sampled by hash, about one for ``cell_rows`` vectors (``sample`` / 16 at
+    most); by the triangle inequality on angles only pairs of cells that can hold such a pair are compared, as matrix
+    products, in tiles of ``cell_rows`` where a cell is larger. Null vectors and those of another size than most are left out.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
@@ -42,8 +43,10 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, pivot
     if not head.n:
         return spark.createDataFrame([], f"a {kind}, b {kind}, sim double")
     rows = rows.where(F.size("v") == head.dim)
-    k = int(min(pivots, max(1, head.n // 256)))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, head.n // sample))) == 0).limit(sample).select("v").collect()
+    k = int(min(sample // 16, max(1, head.n // min(cell_rows, 256 if head.n < 16 * cell_rows else cell_rows))))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-head.n // sample)))) == 0).orderBy(F.xxhash64("id"), "id").select("v").collect()
+    if not some:  # of few rows none may have such a hash
+        some = rows.orderBy(F.xxhash64("id"), "id").limit(1).select("v").collect()
     x = np.array([r.v for r in some], np.float64)
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -63,30 +66,37 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, pivot
 
     vtype = dict(rows.dtypes)["v"]
     placed = rows.mapInArrow(place, f"id {kind}, v {vtype}, cell int, angle double")
-    radius = {r.cell: r.r for r in placed.groupBy("cell").agg(F.max("angle").alias("r")).collect()}  # at most ``pivots`` rows
+    about = placed.groupBy("cell").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect()  # a row a pivot
+    radius = {r.cell: r.r for r in about}
+    tiles = {r.cell: -(-r.n // cell_rows) for r in about}
     apart = np.arccos(np.clip(c @ c.T, -1, 1))
     reach = np.arccos(np.clip(least, -1, 1)) + 1e-6
-    meets: dict[int, list[str]] = {}
+    meets: dict[tuple[int, int], list[str]] = {}
     for i in radius:
         for j in radius:
             if i <= j and (i == j or apart[i, j] - radius[i] - radius[j] <= reach):
-                for m in {i, j}:
-                    meets.setdefault(m, []).append(f"{i},{j}")
-    lookup = F.create_map(*[e for m, ps in meets.items() for e in (F.lit(m), F.array(*[F.lit(p) for p in ps]))])
+                for p in range(tiles[i]):
+                    for q in range(p if i == j else 0, tiles[j]):
+                        for m, tile in {(i, p), (j, q)}:
+                            meets.setdefault((m, tile), []).append(f"{i},{p},{j},{q}")
+    to = spark.createDataFrame([(m, tile, p) for (m, tile), ps in meets.items() for p in ps], "cell int, tile int, pair string")
+    count = spark.createDataFrame([(m, n) for m, n in tiles.items()], "cell int, tiles int")
 
     def compare(t: pa.Table) -> pa.Table:
         ids = np.array(t.column("id").to_pylist(), dtype=object)
         y = np.array(t.column("v").to_pylist(), np.float64)
         cell = t.column("cell").to_numpy()
-        i, j = (int(p) for p in t.column("pair")[0].as_py().split(","))
-        left, right = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
+        i, p, j, q = (int(x) for x in t.column("pair")[0].as_py().split(","))
+        tile = t.column("tile").to_numpy()
+        left, right = np.flatnonzero((cell == i) & (tile == p)), np.flatnonzero((cell == j) & (tile == q))
+        same = (i, p) == (j, q)
         a, b, s = [], [], []
         for at in range(0, len(left), 1024):
             part = left[at : at + 1024]
             sims = y[part] @ y[right].T
-            p, q = np.nonzero(sims >= least - 1e-9)
-            u, w, sim = part[p], right[q], sims[p, q]
-            keep = (u < w) if i == j else np.ones(len(u), bool)
+            x, z = np.nonzero(sims >= least - 1e-9)
+            u, w, sim = part[x], right[z], sims[x, z]
+            keep = (u < w) if same else np.ones(len(u), bool)
             u, w = ids[u[keep]], ids[w[keep]]
             less = u < w
             a += np.where(less, u, w).tolist()
@@ -94,7 +104,9 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, pivot
             s += sim[keep].tolist()
         return pa.table({"a": pa.array(a, t.schema.field("id").type), "b": pa.array(b, t.schema.field("id").type), "sim": pa.array(s, pa.float64())})
 
-    sent = placed.select("id", "v", "cell", F.explode(lookup[F.col("cell")]).alias("pair")).repartition(2 * spread_count(spark), "pair")
+    # a row a pair of tiles that can hold a pair of vectors: cells x cells at most, whatever the number of rows
+    tiled = placed.join(F.broadcast(count), "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    sent = tiled.join(F.broadcast(to), ["cell", "tile"]).select("id", "v", "cell", "tile", "pair").repartition(2 * spread_count(spark), "pair")
     return sent.groupBy("pair").applyInArrow(compare, f"a {kind}, b {kind}, sim double").where(F.col("sim") >= least)
 
 
@@ -106,10 +118,10 @@ def top_neighbours(pairs: DataFrame, k: int = D.sim_top_k) -> DataFrame:
 
 
 def semantic_edges(top: DataFrame, threshold: float = D.sim_threshold) -> DataFrame:
-    """Edges of documents that are among each other's nearest: source < target, kind, sim, weight (0.25 to 1)."""
+    """Edges of documents that are among each other's nearest: source < target, kind, sim, weight (0.25 to 1), evidence."""
     pair = top.groupBy(F.least("id", "other").alias("source"), F.greatest("id", "other").alias("target")).agg(F.count("*").alias("n"), F.max("sim").alias("sim")).where("n = 2")
     weight = F.least(F.lit(1.0), 0.25 + 0.75 * (F.col("sim") - threshold) / (1 - threshold))
-    return pair.select("source", "target", F.lit("semantic").alias("kind"), "sim", weight.alias("weight"))
+    return pair.select("source", "target", F.lit("semantic").alias("kind"), "sim", weight.alias("weight"), F.array(F.concat(F.lit("semantic similarity "), F.format_string("%.2f", "sim"))).alias("evidence"))
 
 
 def duplicate_pairs(pairs: DataFrame, threshold: float = D.duplicate_threshold, most: int = D.max_duplicates) -> DataFrame:

@@ -43,7 +43,7 @@ def topic_hubs(groups: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def topic_edges(groups: DataFrame, weight: float = 0.5) -> DataFrame:
-    return groups.select(F.explode("docs").alias("source"), F.concat(F.lit("topic:"), "topic_key").alias("target"), F.lit("topic").alias("kind"), F.lit(weight).alias("weight"))
+    return groups.select(F.explode("docs").alias("source"), F.concat(F.lit("topic:"), "topic_key").alias("target"), F.lit("topic").alias("kind"), F.lit(weight).alias("weight"), F.array(F.concat(F.lit('Shared topic: "'), F.col("label"), F.lit('"'))).alias("evidence"))
 
 
 def canonical_topics(docs: DataFrame, key: str, topics: str, mapping: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from inkweave.config import STOPWORDS, D
 from inkweave.functions import text as X
 from inkweave.operators import chat, chunking, context, graph, lexical, links, retrieval, semantic, tools, topics
 from inkweave.operators.components import connected_components
-from inkweave.operators.records import current_rows, live_records
+from inkweave.operators.records import current_rows, live_records, unreferenced
 from inkweave.runtime import Scratch, parallel, table
+from inkweave.sources.files import manifest_diff
 
 NOW_MS = 1_760_000_000_000
 QUERY = "capacity limit of the migration service"
@@ -82,14 +83,6 @@ def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new.select("path", "m.size", "m.last_modified", F.col("m.id").alias("doc_id"))
 
 
-def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """What changed between two folder states (path, size, last_modified, doc_id): path, change (added, removed, changed), old_id, new_id."""
-    o = old.select("path", F.col("size").alias("s0"), F.col("last_modified").alias("m0"), F.col("doc_id").alias("old_id"))
-    n = new.select("path", F.col("size").alias("s1"), F.col("last_modified").alias("m1"), F.col("doc_id").alias("new_id"))
-    change = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").when(~F.col("s0").eqNullSafe(F.col("s1")) | ~F.col("m0").eqNullSafe(F.col("m1")), "changed")
-    return o.join(n, "path", "full").select("path", change.alias("change"), "old_id", "new_id").where("change IS NOT NULL")
-
-
 def reference_links(spark: SparkSession, d: str) -> DataFrame:
     return links.link_edges(records(spark, d, "file_name", "md_link_targets")).select("source", "target")
 
@@ -112,8 +105,8 @@ def _cache(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unreferenced(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "snapshots").select(F.explode("doc_hashes").alias("h")).select(F.lower(X.trim_all(F.col("h"))).alias("id"))
-    return table(spark, d, "document_records").where("doc_hash IS NOT NULL").select(F.col("doc_hash").alias("id")).distinct().join(used, "id", "left_anti")
+    every = table(spark, d, "document_records").where("doc_hash IS NOT NULL").select(F.col("doc_hash").alias("id"))
+    return unreferenced(every, table(spark, d, "snapshots"))
 
 
 def _corpus_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -133,14 +126,6 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
     return topics.topic_groups(doc_nodes(spark, d, "topics"))
 
 
-def _viewer_links(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled links, and targets that no labelled link has, without text."""
-    r = records(spark, d, "doc_links", "md_link_targets")
-    labelled = r.select("id", F.explode("doc_links").alias("l")).select("id", "l.url", F.coalesce("l.text", F.lit("")).alias("text"))
-    bare = r.select("id", F.explode("md_link_targets").alias("url")).where("url IS NOT NULL").distinct().join(labelled.select("id", "url"), ["id", "url"], "left_anti")
-    return labelled.unionByName(bare.withColumn("text", F.lit(""))).groupBy("id", "url", "text").count()
-
-
 QUERIES = {
     "token_df": lambda s, d: lexical.document_frequencies(lexical.term_counts(docs(s, d), "id", "text")),
     "tfidf_top_keywords": lambda s, d: lexical.top_keywords(docs(s, d), "id", "text"),
@@ -166,9 +151,9 @@ QUERIES = {
     "duplicates_of_one": lambda s, d: semantic.duplicates_of(unit(s, d), "vec_id", "embedding", unit(s, d).where("vec_id = 0"), 0.25).select("id", F.round("sim", 6).alias("sim")),
     "reference_links": reference_links,
     "mention_edges": mentions,
-    "reference_edges": lambda s, d: links.reference_edges(reference_links(s, d), mentions(s, d)),
+    "reference_edges": lambda s, d: links.reference_edges(reference_links(s, d), mentions(s, d)).drop("evidence"),
     "resolved_links": lambda s, d: links.resolve_links(records(s, d, "doc_links").select(F.col("id").alias("source"), F.explode("doc_links").alias("l")).select("source", "l.url").where("url IS NOT NULL").distinct(), doc_nodes(s, d, "path", "title")),
-    "viewer_links": _viewer_links,
+    "viewer_links": lambda s, d: links.viewer_links(records(s, d, "doc_links", "md_link_targets")),
     "passages": lambda s, d: retrieval.passages(_search_docs(s, d)).select("id", "passage_index", F.md5("text").alias("digest")),
     "lexical_search": lambda s, d: retrieval.lexical_search(_search_docs(s, d), QUERY).select("id", "passage_index", "lexical_score", "title_match", "rank"),
     "hybrid_search": _hybrid,
@@ -190,7 +175,7 @@ QUERIES = {
     "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d, None)),
     "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs"),
     "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d, "cluster_no").select("id", "cluster")),
-    "topic_edges": lambda s, d: topics.topic_edges(_folded(s, d)),
+    "topic_edges": lambda s, d: topics.topic_edges(_folded(s, d)).drop("evidence"),
     "cluster_names": lambda s, d: topics.cluster_names(doc_nodes(s, d, "cluster_no", "keywords", "topics")),
     "cluster_topics": lambda s, d: topics.cluster_topics(doc_nodes(s, d, "cluster_no", "topics")),
     "doc_cache": _cache,

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a side that may be broadcast; they are counted first.
+SMALL = 200_000
+
+
 def spread_count(spark: SparkSession) -> int:
     """Partitions for a stage that runs Python: at least one a core, else what the session asks for."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -23,16 +27,25 @@ def spread(df: DataFrame, *keys: str | Column, count: int | None = None) -> Data
 
 
 def parallel(df: DataFrame) -> DataFrame:
-    """``df`` itself where it has a partition a core, else spread over as many."""
+    """``df``, a table as it was read, itself where it has a partition a core, else spread over as many.
+
+    Asked only of scans: to count the partitions of a table behind a shuffle would run what is before it.
+    """
     return df if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism else spread(df)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``. Only a local session gets a folder of its own where it is unset; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="inkweave-")
+        master = spark.sparkContext.master
+        if held.isDefined():
+            root = held.get()
+        elif master == "local" or master.startswith("local["):
+            root = "file://" + tempfile.mkdtemp(prefix="inkweave-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

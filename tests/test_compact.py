@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from inkweave.operators import graph
+from inkweave.operators import graph, lexical, links
 from inkweave.operators.components import connected_components
 
 EDGE = "source string, target string, kind string, weight double"
@@ -53,3 +53,26 @@ def test_communities(spark, tangle):
     ids = spark.createDataFrame([(i, "document") for i in "abcdefghijkl"], "id string, kind string")
     for small in (0, 10, 1000):
         assert {r.community for r in graph.communities(ids, e, small=small).collect()} == {"a", "e", "i"}
+
+
+def test_capped_edges(spark):
+    rng = random.Random(2)
+    pairs = [(a, b, float(rng.randrange(4)), 2) for a, b in itertools.combinations("abcdefghijkl", 2) if rng.random() < 0.6]
+    df = spark.createDataFrame(pairs, "a string, b string, score double, n_shared int")
+    assert rows(lexical.capped_edges(df, 2)) == sorted(tuple(r[c] for c in ("a", "b", "score", "n_shared")) for r in lexical.capped_edges(df, 2, small=0).collect())
+
+
+def test_mentions_by_automaton_and_by_join(spark):
+    docs = [
+        ("a", "Deploy Notes", "deploy.md", "See the weekly plan, and xdeploy.md or deploy.mdx; DEPLOY NOTES."),
+        ("b", "Weekly Plan", "plan.txt", "deploy.md says: deploy notes (weekly plan) apply."),
+        ("c", "Weekly", "weekly.csv", "nothing but plan.txt here, Weekly Plans"),
+        ("d", None, None, None),
+        ("e", "++++++", "e.e.e.", "a \\E b [weekly.csv] e.e.e."),
+    ]
+    df = spark.createDataFrame(docs, "id string, title string, file_name string, text string")
+    got = rows(links.mentions(df))
+    assert got == rows(links.mentions(df, few=0))
+    assert ("b", "a", 0, "Deploy Notes") in got and ("e", "c", 0, "Weekly") in got and ("c", "b", 1, "plan.txt") in got
+    assert ("a", "b", 0, "Weekly Plan") in got and not any(g[0] == "a" and g[2] == 1 for g in got)
+    assert rows(links.mentions(df.limit(0))) == []

@@ -17,3 +17,10 @@ def test_live(spark):
     rows = [("a", 1, None, "old"), ("a", 2, 5, "gone"), ("b", 1, 4, "back"), ("b", 2, None, "here")]
     df = spark.createDataFrame(rows, "doc_hash string, saved_at int, removed_at int, text string")
     assert [(r.doc_hash, r.text) for r in live_records(df, ["text"]).collect()] == [("b", "here")]
+
+
+def test_copies_come_once_at_any_size(spark):
+    rows = [("a", 2, "x"), ("a", 2, "x"), ("a", 1, "o"), ("b", 1, "y"), ("b", 1, "y")]
+    df = spark.createDataFrame(rows, "k string, v int, t string")
+    for small in (0, 1, 100):
+        assert sorted((r.k, r.t) for r in latest_rows(df, "k", "v", ["t"], small=small).collect()) == [("a", "x"), ("b", "y")]
