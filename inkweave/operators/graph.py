@@ -102,9 +102,25 @@ def stale_docs(nodes: DataFrame, now_ms: int, days: int = D.stale_days) -> DataF
 
 
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the ids of ``gone`` and whatever touches them."""
-    left = edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti")
-    return nodes.join(gone.select("id"), "id", "left_anti"), left.select(*edges.columns)
+    """Nodes and edges without the ids of ``gone`` and whatever touches them; nodes with a ``degree`` get their new one."""
+    left = edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti").select(*edges.columns)
+    kept = nodes.join(gone.select("id"), "id", "left_anti")
+    if "degree" in nodes.columns:
+        kept = kept.drop("degree").join(degrees(kept.select("id").distinct(), left), "id").select(*nodes.columns)
+    return kept, left
+
+
+EMPHASIS = ["hover", "selection", "search", "filter"]
+
+
+def emphasis(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """What is shown emphasised: id, why. Of focused ids (id, why) those of the first cause present count (hover, selection, search, filter), with their neighbours."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in EMPHASIS]), F.col("why"))
+    known = focus.select("id", "why", rank.alias("_r")).where("_r > 0")
+    first = known.agg(F.min("_r").alias("_r"))  # one row
+    own = known.join(F.broadcast(first), "_r", "left_semi").select("id", "why").distinct()
+    near = ends(edges).join(own.select(F.col("id").alias("node"), "why"), "node").select(F.col("other").alias("id"), "why")
+    return own.union(near).distinct()
 
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,8 +129,11 @@ def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where("source <> target").join(side("source"), "source", "left_semi").join(side("target"), "target", "left_semi").select(*edges.columns)
 
 
-def sanitise_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = D.max_nodes, order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
-    """An untrusted graph made sound: of nodes with the same id the first, at most ``max_nodes`` (a limit of the format); edges between them, first of each id, weights from 0 to 1."""
+def sanitise_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = D.max_nodes, order: str = "ordinal", max_edges: int = 8 * D.max_nodes) -> tuple[DataFrame, DataFrame]:
+    """An untrusted graph made sound: of nodes with the same id the first, at most ``max_nodes``; edges between them, first of each id, at most ``max_edges``, weights from 0 to 1.
+
+    Both are limits of the format of a single-object export, not of the graphs of this package.
+    """
     first = F.row_number().over(Window.partitionBy("id").orderBy(order))
     kept = nodes.where("id IS NOT NULL AND id <> ''").withColumn("_r", first).where("_r = 1").drop("_r")
     kept = kept.orderBy(order).limit(max_nodes)
@@ -122,7 +141,7 @@ def sanitise_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int = D.max_no
     kind = F.when(F.col("kind").isin(*EDGE_KINDS), F.col("kind")).otherwise("reference")
     sound = valid_edges(kept, edges.where("id IS NOT NULL").withColumn("weight", w).withColumn("kind", kind))
     one = sound.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(order))).where("_r = 1").drop("_r")
-    return kept, one
+    return kept, one.orderBy(order).limit(max_edges)
 
 
 def merge_edges(*edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.config import D
 from inkweave.functions.text import clip, collapse, cosine, lexical_relevance, normal, trim_all
+from inkweave.runtime import Scratch, spread_count
 
 RRF_K = 60
 
@@ -44,17 +45,31 @@ def with_doc_vectors(chunk_vectors: DataFrame, doc_vectors: DataFrame) -> DataFr
     return chunk_vectors.select("id", "passage_index", "vector").unionByName(alone)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str, most: int = 100_000) -> DataFrame:
+    """Adds ``name``, each row's place from 1 in an order; above ``most`` rows (a written table's, counted) numbers come from sorted ranges and their offsets."""
+    if rows.count() <= most:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    scratch = Scratch(rows.sparkSession, "numbered")
+    parts = spread_count(rows.sparkSession)
+    # the lower 33 bits of the id count within a partition, the others number the partitions
+    cut = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    cut = scratch.put(cut.withColumn("_p", F.shiftright("_m", 33)), "cut")
+    size = cut.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = size.withColumn("_b", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))  # a row a partition
+    place = F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return cut.join(F.broadcast(before), "_p").withColumn(name, place).drop("_m", "_p", "_b")
+
+
 def fuse(lexical: DataFrame, semantic: DataFrame, limit: int = D.search_limit, per_document: int = 1, depth: int = 100_000) -> DataFrame:
     """Both candidate lists by reciprocal-rank fusion, at most ``per_document`` passages a document, ``limit`` in all.
 
-    Ties are ordered by (id, passage_index). Ranks are numbered to ``depth`` in each list, which bounds the rows that one task
-    numbers; what is deeper would add less than 1 / ``depth`` to a score.
+    Ties are ordered by (id, passage_index). All candidates are ranked; ``depth`` is what one task numbers, longer lists are numbered in ranges.
     """
-    lexical = lexical.orderBy(F.col("lexical_score").desc(), "id", "passage_index").limit(depth)
-    semantic = semantic.orderBy(F.col("semantic_score").desc(), "id", "passage_index").limit(depth)
-    both = lexical.select("id", "passage_index", "title", "text", "lexical_score", "title_match").join(semantic.select("id", "passage_index", "semantic_score"), ["id", "passage_index"], "full")
-    place = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), "id", "passage_index")))
-    ranked = both.withColumn("lexical_rank", place("lexical_score")).withColumn("semantic_rank", place("semantic_score"))
+    scratch = Scratch(lexical.sparkSession, "fuse")
+    by = lambda c: [F.col(c).desc(), F.col("id"), F.col("passage_index")]
+    lexical = numbered(scratch.put(lexical.select("id", "passage_index", "title", "text", "lexical_score", "title_match"), "lexical"), by("lexical_score"), "lexical_rank", depth)
+    semantic = numbered(scratch.put(semantic.select("id", "passage_index", "semantic_score"), "semantic"), by("semantic_score"), "semantic_rank", depth)
+    ranked = lexical.join(semantic, ["id", "passage_index"], "full")
     part = lambda c: F.when(F.col(c).isNotNull(), 1 / (RRF_K + F.col(c))).otherwise(0.0)
     ranked = ranked.withColumn("fused_score", F.round(part("semantic_rank") + part("lexical_rank"), 12))
     own = Window.partitionBy("id").orderBy(F.col("fused_score").desc(), "passage_index")

@@ -14,6 +14,11 @@ def search_lines(docs: DataFrame, needle: str, key: str = "id", text: str = "tex
     return lines.where(F.contains("raw", F.lit(needle))).select(key, (F.col("at") + 1).alias("line_no"), F.substring(trim_all(F.col("raw")), 1, chars).alias("line"))
 
 
+def list_files(docs: DataFrame, prefix: str = "", path: str = "path", limit: int = 1000) -> DataFrame:
+    """The first ``limit`` paths (a report, in path order) below a prefix: path."""
+    return docs.where(F.col(path).isNotNull() & F.startswith(F.col(path), F.lit(prefix))).select(F.col(path).alias("path")).distinct().orderBy("path").limit(limit)
+
+
 def read_lines(docs: DataFrame, start: int, count: int = 400, key: str = "id", text: str = "text") -> DataFrame:
     """``count`` lines of each text from line ``start`` (from 1): key, lines."""
     return docs.select(key, F.array_join(F.slice(F.split(text, "\n"), start, count), "\n").alias("lines"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.functions.text import base_name, file_type, graph_id
@@ -26,17 +29,26 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def admit_files(files: DataFrame, max_file: int = 64 << 20, max_total: int = 512 << 20) -> DataFrame:
-    """Adds ``admission``: ``ignored`` for files above ``max_file``, ``deferred`` for those beyond ``max_total`` in path order, else ``taken``.
+    """Adds ``admission``: ``ignored`` for files above ``max_file``, ``deferred`` for those that don't fit into ``max_total`` any more, else ``taken``.
 
-    The running total counts ``taken`` and ``deferred`` files alike, where a file by file choice would let a smaller later file pass.
+    Files are taken in path order; a deferred file uses no room, so a smaller later one may still fit. That choice is
+    sequential: one task reads paths and sizes, sorted, and holds one number.
     """
-    small = files.where(F.col("size") <= max_file)
-    total = F.sum("size").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    # file sizes only: names and numbers of one drop, not their contents
-    sized = small.select("path", "size").withColumn("_total", total)
-    late = sized.where(F.col("_total") > max_total).select(F.col("path").alias("_late"))
-    kind = F.when(F.col("size") > max_file, "ignored").when(F.col("_late").isNotNull(), "deferred").otherwise("taken")
-    return files.join(late, F.col("path") == F.col("_late"), "left").withColumn("admission", kind).drop("_late")
+    kind = files.schema["size"].dataType.simpleString()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = max_total
+        for b in batches:
+            late = []
+            for size in b.column("size").to_pylist():
+                late.append(size > room)
+                room -= 0 if late[-1] else size
+            yield pa.RecordBatch.from_arrays([b.column("path").filter(pa.array(late, pa.bool_()))], names=["_late"])
+
+    small = files.where(F.col("size") <= max_file).select("path", F.col("size").cast("bigint").alias("size")).where("path IS NOT NULL")
+    late = small.repartition(1).sortWithinPartitions("path", "size").mapInArrow(choose, "_late string").distinct()
+    fits = F.when(F.col("size").isNull() | (F.col("size") > F.lit(max_file).cast(kind)), "ignored").when(F.col("_late").isNotNull(), "deferred").otherwise("taken")
+    return files.join(late, F.col("path") == F.col("_late"), "left").withColumn("admission", fits).drop("_late")
 
 
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -122,7 +121,7 @@ class _Page(HTMLParser):
     HIDDEN = {"script", "style", "noscript", "head"}
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.parts: list[str] = []
         self.title: list[str] = []
         self.hidden: list[str] = []
@@ -165,6 +164,12 @@ class _Page(HTMLParser):
         elif self.open and self.open[-1][0] == tag and (text := _squeeze("".join(self.open.pop()[1]))):
             self.headings.append(text)
 
+    def handle_entityref(self, name: str) -> None:
+        self.handle_data(decode_entities(f"&{name};"))
+
+    def handle_charref(self, name: str) -> None:
+        self.handle_data(decode_entities(f"&#{name};"))
+
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title.append(data)
@@ -185,9 +190,34 @@ def parse_html(content: bytes, name: str) -> Parsed:
     return Parsed(_squeeze("".join(page.title)) or file_title(name), text, page.headings, page.targets, page.links)
 
 
+#: The named character references that are decoded.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def _referred(m: re.Match) -> str:
+    if m["name"]:
+        return ENTITIES.get(m["name"].lower(), m[0])
+    code = int(m["hex"], 16) if m["hex"] else int(m["n"])
+    return chr(code) if code <= 0x10FFFF else ""
+
+
 def decode_entities(text: str) -> str:
-    """Named and numeric character references; unknown ones stay."""
-    return unescape(text)
+    """Six named and all numeric character references; other names stay as they are, numbers beyond Unicode vanish."""
+    return re.sub(r"&(?:#[xX](?P<hex>[0-9a-fA-F]+)|#(?P<n>\d+)|(?P<name>[a-zA-Z]+));", _referred, text)
+
+
+def csv_rows(files: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """The rows of CSV texts: key, row_no (from 0), cells ARRAY<STRING>. Ragged rows stay ragged; a null text has none."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(text).to_pylist()):
+                rows = parse_csv(t) if t else []
+                take = pa.array([i] * len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(key).take(take), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=[key, "row_no", "cells"])
+
+    return files.select(key, text).mapInArrow(run, f"`{key}` {kind}, row_no bigint, cells array<string>")
 
 
 def parse_csv(text: str) -> list[list[str]]:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkweave.operators.graph import sanitise_graph
+from inkweave.config import D
+from inkweave.operators.graph import EDGE_KINDS, sanitise_graph
 
 NODE = "id string, kind string, title string, fileType string, path string, folderKey string, summary string, topics array<string>, entities array<string>, keywords array<string>, wordCount int, cluster int, degree int, status string, warning string, lastModified bigint"
 EDGE = "id string, source string, target string, kind string, weight double, evidence array<string>"
@@ -64,6 +65,14 @@ def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return sanitise_graph(nodes, edges)
 
 
+def import_extras(spark: SparkSession, path: str, nodes: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """The vectors (id, vector) and cluster names (cluster, name) of an export; vectors of another size, or of no node, are left out."""
+    raw = spark.read.option("multiLine", True).schema("version int, embeddings map<string, string>, clusterNames map<string, string>").json(path).where("version = 1")
+    vectors = raw.select(F.explode("embeddings").alias("id", "b")).select("id", base64_to_vector("b").alias("vector")).where(F.size("vector") == dim)
+    names = raw.select(F.explode("clusterNames").alias("c", "name")).select(F.col("c").try_cast("int").alias("cluster"), F.substring("name", 1, 200).alias("name")).where("cluster IS NOT NULL AND name <> ''")
+    return vectors.join(nodes.select("id"), "id", "left_semi"), names
+
+
 def _struct(fields: str) -> str:
     """A column list as the inside of a struct type."""
     return ", ".join(f.strip().replace(" ", ": ", 1) for f in fields.split(","))
@@ -90,6 +99,8 @@ def encode_share(graph: dict) -> str:
 
 def decode_share(text: str) -> dict:
     """The graph of a link; ValueError for anything else, or if it unpacks beyond its limit."""
+    if len(text) > -(-MAX_SHARE_BYTES * 4 // 3):
+        raise ValueError("the link is too long")
     try:
         raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
         with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:
@@ -101,10 +112,27 @@ def decode_share(text: str) -> dict:
         raise ValueError("not a shared graph") from e
     if not isinstance(graph, dict) or graph.get("version") != 1:
         raise ValueError("not a shared graph")
-    for n in graph.get("nodes", []):
-        for c in SHARED_OUT:
-            n.pop(c, None)
-    return graph
+    return _sound(graph)
+
+
+def _sound(graph: dict) -> dict:
+    """The rules of ``sanitise_graph`` for the few nodes of a link, which is as untrusted as a file; times and places are left out."""
+    text = lambda x: x if isinstance(x, str) else ""
+    short = lambda x: [t[:200] for t in x[:64] if isinstance(t, str)] if isinstance(x, list) else []
+    listed = lambda k: [x for x in graph.get(k) or [] if isinstance(x, dict) and text(x.get("id"))] if isinstance(graph.get(k), list) else []
+    nodes: dict[str, dict] = {}
+    for n in listed("nodes"):
+        if n["id"] not in nodes and len(nodes) < D.max_nodes:
+            lists = {k: short(n[k]) for k in ("topics", "entities", "keywords") if k in n}
+            nodes[n["id"]] = {k: v for k, v in n.items() if k not in SHARED_OUT} | lists
+    edges: dict[str, dict] = {}
+    for e in listed("edges"):
+        a, b, w = text(e.get("source")), text(e.get("target")), e.get("weight")
+        if a not in nodes or b not in nodes or a == b or e["id"] in edges or len(edges) >= 8 * D.max_nodes:
+            continue
+        number = isinstance(w, (int, float)) and not isinstance(w, bool) and np.isfinite(w)
+        edges[e["id"]] = e | {"weight": min(1.0, max(0.0, float(w))) if number else 0.5, "kind": e.get("kind") if e.get("kind") in EDGE_KINDS else "reference"}
+    return graph | {k: list(v.values()) for k, v in (("nodes", nodes), ("edges", edges)) if k in graph}
 
 
 def write_cache(documents: DataFrame, vectors: DataFrame, path: str, fingerprint: str) -> None:
@@ -138,8 +166,8 @@ def save_snapshot(spark: SparkSession, path: str, snapshot_id: int, name: str, n
 
 
 def corpus_hash(ids: DataFrame) -> DataFrame:
-    """A hash of a set of ids, whatever its size and order: sorted slices (by the ids' hash) are hashed, then the slices' hashes. One row: corpus_hash, n_docs."""
-    one = ids.select("id").where("id IS NOT NULL").distinct().withColumn("s", F.pmod(F.xxhash64("id"), F.lit(4096)))
+    """A hash of a set of ids, whatever its size and order: sorted slices (by the first three digits of the ids' SHA-256) are hashed, then the slices' hashes. One row: corpus_hash, n_docs."""
+    one = ids.select("id").where("id IS NOT NULL").distinct().withColumn("s", F.substring(F.sha2("id", 256), 1, 3))
     part = one.groupBy("s").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"))
 
@@ -185,12 +213,79 @@ def rename_snapshot(spark: SparkSession, path: str, snapshot_id: int, name: str)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a table beside its place and swaps it in when it is complete: readers see the old or the new one."""
+    """Writes the next version of a table below ``path``; it counts once it is complete, and the last two stay. Read it by ``read_table``.
+
+    A version's folder is complete when Spark has written its ``_SUCCESS``: readers see the old or the new one at any moment.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.next")
-    fs, (now, nxt, old) = _paths(spark, path, f"{path}.next", f"{path}.old")
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(nxt, now)
-    fs.delete(old, True)
+    done = versions(spark, path)
+    df.write.mode("errorifexists").parquet(f"{path}/v{(max(started(spark, path)) if started(spark, path) else 0) + 1:010}")
+    for old in done[:-1]:
+        fs, (at,) = _paths(spark, f"{path}/v{old:010}")
+        fs.delete(at, True)
+
+
+def started(spark: SparkSession, path: str) -> list[int]:
+    """The versions below a folder, complete or not. A folder that isn't there has none; any other failure is raised."""
+    fs, (at,) = _paths(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions below a folder, oldest first."""
+    out = []
+    for v in started(spark, path):
+        fs, (mark,) = _paths(spark, f"{path}/v{v:010}/_SUCCESS")
+        if fs.exists(mark):
+            out.append(v)
+    return out
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The latest complete version of a table, None where there is none."""
+    done = versions(spark, path)
+    return spark.read.parquet(f"{path}/v{done[-1]:010}") if done else None
+
+
+def restore_session(nodes: DataFrame, documents: DataFrame, vectors: DataFrame, fingerprint: str, dim: int) -> DataFrame:
+    """Saved nodes with their documents and vectors: the nodes' columns, text, vector, needs_vector.
+
+    ``vectors``: id, fingerprint, vector. A vector of another model or size is null; ``needs_vector`` marks documents that have to be
+    embedded again (any of them starts a rebuild). Nodes without a document keep a null text; topics need no vector.
+    """
+    ok = (F.col("fingerprint") == fingerprint) & (F.size("vector") == dim)
+    held = nodes.join(documents.select("id", "text"), "id", "left").join(vectors.select("id", F.when(ok, F.col("vector")).alias("vector")), "id", "left")
+    return held.withColumn("needs_vector", (F.col("kind") == "document") & F.col("text").isNotNull() & F.col("vector").isNull())
+
+
+def save_corpus(spark: SparkSession, path: str, corpus_id: str, name: str) -> None:
+    """Adds a corpus to the catalogue below ``path`` or renames it."""
+    row = spark.createDataFrame([(corpus_id, name)], "corpus_id string, name string")
+    known = read_table(spark, f"{path}/corpora")
+    replace_table(upsert(known, row, "corpus_id") if known is not None else row, f"{path}/corpora")
+
+
+def list_corpora(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue: corpus_id, name, active. The active one is that named last by ``activate``, else the least id."""
+    known = read_table(spark, f"{path}/corpora")
+    known = known if known is not None else spark.createDataFrame([], "corpus_id string, name string")
+    chosen = read_table(spark, f"{path}/active")
+    first = (chosen.join(known, "corpus_id", "left_semi") if chosen is not None else known.limit(0)).agg(F.max("corpus_id").alias("c"))
+    least = known.agg(F.min("corpus_id").alias("m"))
+    return known.join(F.broadcast(first)).join(F.broadcast(least)).select("corpus_id", "name", (F.col("corpus_id") == F.coalesce("c", "m")).alias("active"))
+
+
+def activate(spark: SparkSession, path: str, corpus_id: str) -> None:
+    replace_table(spark.createDataFrame([(corpus_id,)], "corpus_id string"), f"{path}/active")
+
+
+def delete_corpus(spark: SparkSession, path: str, corpus_id: str) -> None:
+    """Takes a corpus out of the catalogue and deletes its folder."""
+    known = read_table(spark, f"{path}/corpora")
+    if known is not None:
+        replace_table(known.where(F.col("corpus_id") != corpus_id), f"{path}/corpora")
+    fs, (at,) = _paths(spark, f"{path}/corpus={corpus_id}")
+    fs.delete(at, True)

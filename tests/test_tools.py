@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import base64
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -69,4 +71,79 @@ def test_replaced_tables(spark, tmp_path):
     at = str(tmp_path / "t")
     for i in range(3):
         store.replace_table(spark.createDataFrame([(i,)], "i int"), at)
-        assert [r.i for r in spark.read.parquet(at).collect()] == [i]
+        assert [r.i for r in store.read_table(spark, at).collect()] == [i]
+
+
+def test_a_version_counts_once_it_is_complete(spark, tmp_path):
+    at = str(tmp_path / "t")
+    assert store.read_table(spark, at) is None
+    for i in range(4):
+        store.replace_table(spark.createDataFrame([(i,)], "i int"), at)
+    assert store.versions(spark, at) == [3, 4]
+    # a writer that died leaves a folder without its mark
+    spark.createDataFrame([(9,)], "i int").write.parquet(f"{at}/v0000000005")
+    (tmp_path / "t" / "v0000000005" / "_SUCCESS").unlink()
+    assert [r.i for r in store.read_table(spark, at).collect()] == [3]
+    store.replace_table(spark.createDataFrame([(6,)], "i int"), at)
+    assert [r.i for r in store.read_table(spark, at).collect()] == [6]
+
+
+def test_corpora(spark, tmp_path):
+    at = str(tmp_path / "c")
+    rows = lambda: sorted((r.corpus_id, r.name, r.active) for r in store.list_corpora(spark, at).collect())
+    assert rows() == []
+    store.save_corpus(spark, at, "a", "Notes")
+    store.save_corpus(spark, at, "b", "Plans")
+    assert rows() == [("a", "Notes", True), ("b", "Plans", False)]
+    store.activate(spark, at, "b")
+    store.save_corpus(spark, at, "a", "Old notes")
+    assert rows() == [("a", "Old notes", False), ("b", "Plans", True)]
+    store.delete_corpus(spark, at, "b")
+    assert rows() == [("a", "Old notes", True)]
+
+
+def test_restored_sessions(spark):
+    nodes = spark.createDataFrame([("a", "document"), ("b", "document"), ("c", "document"), ("topic:x", "topic")], "id string, kind string")
+    docs = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, text string")
+    vec = spark.createDataFrame([("a", "m", [1.0, 0.0]), ("b", "old", [1.0, 0.0]), ("c", "m", [1.0])], "id string, fingerprint string, vector array<float>")
+    got = {r.id: (r.text, r.vector, r.needs_vector) for r in store.restore_session(nodes, docs, vec, "m", 2).collect()}
+    assert got == {"a": ("A", [1.0, 0.0], False), "b": ("B", None, True), "c": (None, None, False), "topic:x": (None, None, False)}
+
+
+def test_admission_lets_a_smaller_file_pass(spark):
+    from inkweave.sources.files import admit_files
+
+    f = spark.createDataFrame([("a", 6), ("b", 5), ("c", 4), ("d", 99), ("e", None)], "path string, size bigint")
+    got = {r.path: r.admission for r in admit_files(f, max_file=50, max_total=10).collect()}
+    assert got == {"a": "taken", "b": "deferred", "c": "taken", "d": "ignored", "e": "ignored"}
+
+
+def test_imported_vectors_and_names(spark, tmp_path):
+    raw = base64.b64encode(struct.pack("<2f", 1.0, 0.5)).decode()
+    graph = {"version": 1, "nodes": [{"id": "a", "kind": "document"}], "edges": [], "embeddings": {"a": raw, "b": raw, "c": raw[:4]}, "clusterNames": {"0": "Zero", "x": "No", "2": ""}}
+    (tmp_path / "g.json").write_text(json.dumps(graph))
+    nodes, _ = store.import_graph(spark, str(tmp_path / "g.json"))
+    vectors, names = store.import_extras(spark, str(tmp_path / "g.json"), nodes, 2)
+    assert [(r.id, r.vector) for r in vectors.collect()] == [("a", [1.0, 0.5])]
+    assert [(r.cluster, r.name) for r in names.collect()] == [(0, "Zero")]
+
+
+def test_shared_links_are_made_sound():
+    bad = {"version": 1, "nodes": [{"id": "a", "topics": ["t" * 300, 5]}, {"id": "a", "title": "late"}, {"title": "no id"}, "x"], "edges": [{"id": "1", "source": "a", "target": "a"}, {"id": "2", "source": "a", "target": "gone"}]}
+    got = store.decode_share(store.encode_share(bad))
+    assert got == {"version": 1, "nodes": [{"id": "a", "topics": ["t" * 200]}], "edges": []}
+    with pytest.raises(ValueError):
+        store.decode_share("A" * 70_000)
+
+
+def test_numbers_from_ranges(spark):
+    rows = spark.range(500).selectExpr("id", "pmod(hash(id), 40) AS s").repartition(5)
+    order = [F.col("s").desc(), F.col("id")]
+    few, many = ({(r.id, r.r) for r in retrieval.numbered(rows, order, "r", most=m).collect()} for m in (1000, 10))
+    assert few == many and {r for _, r in few} == set(range(1, 501))
+
+
+def test_emphasis_keeps_to_the_first_cause(spark):
+    e = spark.createDataFrame([("a", "b", "entity", 0.5), ("c", "d", "entity", 0.5)], "source string, target string, kind string, weight double")
+    f = spark.createDataFrame([("a", "search"), ("c", "filter"), ("z", "odd")], "id string, why string")
+    assert {(r.id, r.why) for r in graph.emphasis(e, f).collect()} == {("a", "search"), ("b", "search")}
