@@ -166,7 +166,9 @@ def time_ago(then_ms: Column, now_ms: Column) -> Column:
 def parse_model_json(c: Column, schema: str) -> Column:
     """A model's JSON answer, with or without code fences; null where it is none."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    sound = F.when(F.try_parse_json(c).isNotNull(), c).when((fenced != "") & F.try_parse_json(fenced).isNotNull(), fenced)
+    # as the only element of an array: text after the value makes that no JSON
+    one = lambda x: F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1
+    sound = F.when(one(c), c).when((fenced != "") & one(fenced), fenced)
     return F.when(sound.rlike(r"^\s*[\[{]"), F.from_json(sound, schema))
 
 

@@ -8,11 +8,11 @@ import os
 import pytest
 
 import compare
-from inkweave.plans import corpus, references
+from inkweave.plans import corpus, library, references
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {**references.QUERIES, **corpus.QUERIES}
-SQL = {**references.SQL, **corpus.SQL}
+QUERIES = {**references.QUERIES, **corpus.QUERIES, **library.QUERIES}
+SQL = {**references.SQL, **corpus.SQL, **library.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
