@@ -13,21 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.runtime import spread_count
+from inkweave.runtime import SMALL, Scratch, spread_count
 
 FOREVER = np.iinfo(np.int64).max
-RANGE = "range_no int, keys array<string>, sizes array<int>, starts array<bigint>, ends array<bigint>"
+RANGE = "range_no int, sub int, keys array<string>, sizes array<int>, starts array<bigint>, ends array<bigint>"
 
 
 def _bounds(keys: DataFrame, n: int, ranges: int, sample: int) -> list[str]:
     """At most ``ranges - 1`` cut points from about ``sample`` of the ``n`` keys. They shape the partitions, never the result."""
-    rows = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // sample))) == 0).select("key").limit(2 * sample).collect()
-    got = sorted({r.key for r in rows})
+    rows = keys.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // sample)))) == 0).select("key").distinct().collect()
+    got = sorted(r.key for r in rows)
     return [got[i * len(got) // ranges] for i in range(1, ranges)] if len(got) >= ranges else got[1:]
 
 
-def _ranged(df: DataFrame, bounds: list[str]) -> DataFrame:
-    """Adds ``range_no``, the range that ``key`` lies in."""
+def _ranged(df: DataFrame, bounds: list[str], subs: int) -> DataFrame:
+    """Adds ``range_no`` and ``sub``: the range that ``key`` lies in, and its part of it by hash."""
     cuts = np.array([*bounds, ""], dtype=object)[:-1]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,39 +36,36 @@ def _ranged(df: DataFrame, bounds: list[str]) -> DataFrame:
             yield b.append_column("range_no", pa.array(np.searchsorted(cuts, keys, side="right").astype(np.int32)))
 
     fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.mapInArrow(add, f"{fields}, range_no int")
+    return df.mapInArrow(add, f"{fields}, range_no int").withColumn("sub", F.pmod(F.xxhash64("key"), F.lit(subs)).cast("int"))
 
 
 def _merged(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals [start, end) of the same key joined where they touch; sorted by key, then start."""
-    order = np.lexsort((starts, np.unique(keys, return_inverse=True)[1])) if len(keys) else np.array([], np.int64)
-    keys, starts, ends = keys[order], starts[order], ends[order]
-    out: list[tuple[str, int, int]] = []
-    for k, s, e in zip(keys.tolist(), starts.tolist(), ends.tolist()):
-        if out and out[-1][0] == k and s <= out[-1][2]:
-            if e > out[-1][2]:
-                out[-1] = (k, out[-1][1], e)
-        else:
-            out.append((k, s, e))
-    if not out:
+    if not len(keys):
         return np.array([], dtype=object), np.array([], np.int64), np.array([], np.int64)
-    k, s, e = zip(*out)
-    return np.array([*k, ""], dtype=object)[:-1], np.array(s, np.int64), np.array(e, np.int64)
+    names, no = np.unique(keys, return_inverse=True)
+    order = np.lexsort((starts, no))
+    no, starts, ends = no[order], starts[order], ends[order]
+    # the latest end so far of the same key: ends by rank, keys far apart
+    late, rank = np.unique(ends, return_inverse=True)
+    far = np.maximum.accumulate(rank + no * len(late))
+    fresh = np.r_[True, (no[1:] != no[:-1]) | (starts[1:] > late[far[:-1] % len(late)])]
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:], len(no)] - 1
+    return names[no[first]], starts[first], late[far[last] % len(late)]
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    """One row of sorted arrays from the intervals of one range (and one salt of it)."""
+    """One row of sorted arrays from the intervals of one part of a range."""
     k, s, e = _merged(*(t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "start", "end")))
     names, sizes = np.unique(k, return_counts=True) if len(k) else (np.array([], dtype=object), np.array([], np.int64))
-    return pa.table({"range_no": pa.array([t.column("range_no")[0].as_py()], pa.int32()), "keys": pa.array([names.tolist()], pa.list_(pa.string())), "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), "starts": pa.array([s], pa.list_(pa.int64())), "ends": pa.array([e], pa.list_(pa.int64()))})
+    return pa.table({"range_no": pa.array([t.column("range_no")[0].as_py()], pa.int32()), "sub": pa.array([t.column("sub")[0].as_py()], pa.int32()), "keys": pa.array([names.tolist()], pa.list_(pa.string())), "sizes": pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), "starts": pa.array([s], pa.list_(pa.int64())), "ends": pa.array([e], pa.list_(pa.int64()))})
 
 
-def _unpack(t: pa.Table) -> pa.Table:
-    """The intervals of packed rows again, to be merged across salts."""
-    keys = [np.repeat(np.array([*k, ""], dtype=object)[:-1], n) for k, n in zip(t.column("keys").to_pylist(), t.column("sizes").to_pylist())]
-    flat = lambda c: np.concatenate([np.asarray(x, np.int64) for x in t.column(c).to_pylist()])
-    k = np.concatenate(keys)
-    return pa.table({"range_no": pa.array(np.full(len(k), t.column("range_no")[0].as_py(), np.int32)), "key": pa.array(k, pa.string()), "start": flat("starts"), "end": flat("ends")})
+def _merge(t: pa.Table) -> pa.Table:
+    """The intervals of a salted part of some hot keys, merged."""
+    k, s, e = _merged(*(t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "start", "end")))
+    return pa.table({"key": pa.array(k.tolist(), pa.string()), "start": pa.array(s, pa.int64()), "end": pa.array(e, pa.int64())})
 
 
 def _present(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray, want: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -85,40 +82,40 @@ def _present(keys: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ends: np.n
     return known & own & (ends[np.maximum(j, 0)] > at)
 
 
-def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_000, batch_rows: int = 50_000, sample: int = 8_192) -> DataFrame:
+def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_000, batch_rows: int = 50_000, sample: int = 8_192, most: int = 1_024) -> DataFrame:
     """References whose key no parent has at the time of the reference; each distinct row once.
 
     ``parents``: ``key STRING, start BIGINT, end BIGINT`` (present from start to before end; end null: for good).
     ``refs``: ``ref_table, ref_key, ref_month STRING, key STRING, at BIGINT``. Extra columns are ignored. Returns ``refs``' five
     columns for the misses. Null keys are no reference, and a parent without key or start is never present; a reference
     without a time misses unless some parent is present at every time. Repeated rows count once; empty tables give no
-    rows or all references. ``range_rows`` and ``batch_rows`` bound what one Python call holds; a range that a hot key
-    fills is searched in as many batches as it needs, and the intervals of a hot key are merged in salted parts first.
-    ``sample`` bounds the keys that choose the cut points.
+    rows or all references. ``range_rows`` and ``batch_rows`` bound what one Python call holds, whatever the number of rows: ranges
+    (``most`` at most, cut by a sample of at most ``sample`` keys) are divided by the key's hash where parents are more, a
+    part that a hot key fills is searched in as many batches as it needs, and the intervals of a key with more than
+    ``range_rows`` are merged in salted parts first.
     """
     spark = refs.sparkSession
-    cores = spread_count(spark)
+    scratch = Scratch(spark, "orphans")
     refs = refs.select("ref_table", "ref_key", "ref_month", "key", F.coalesce("at", F.lit(-FOREVER)).cast("bigint").alias("at")).where("key IS NOT NULL").distinct()
+    refs = scratch.put(refs, "refs")
     # of parents that stay, the first tells all; merged before any shuffle
     parents = parents.where("key IS NOT NULL AND start IS NOT NULL").groupBy("key", F.coalesce("end", F.lit(FOREVER)).cast("bigint").alias("end")).agg(F.min("start").cast("bigint").alias("start")).where("start < end")
+    parents = scratch.put(parents.select("key", "start", "end"), "parents")
     n = parents.count()
-    ranges = max(1, min(sample // 8, max(cores, -(-n // range_rows))))
+    if n > range_rows:
+        parents = _without_hot_parts(parents, n, range_rows)
+    ranges = max(1, min(most, max(spread_count(spark), -(-n // range_rows))))
+    subs = max(1, -(-n // (ranges * range_rows)))
     bounds = _bounds(parents, n, ranges, sample) if n else []
-    salts = max(1, -(-n // (ranges * range_rows)))
-    held = _ranged(parents.select("key", "start", "end"), bounds)
-    packed = held.groupBy("range_no", F.pmod(F.xxhash64("key", "start", "end"), F.lit(salts)).alias("salt")).applyInArrow(_pack, RANGE)
-    if salts > 1:
-        packed = packed.groupBy("range_no").applyInArrow(lambda t: _pack(_unpack(t)), RANGE)
-
-    asked = _ranged(refs, bounds)
-    # how many batches each range needs: one small row a range
-    batches = {r.range_no: max(1, -(-r["count"] // batch_rows)) for r in asked.groupBy("range_no").count().collect()}
-    if not batches:
-        return refs.limit(0)
-    many = F.create_map(*[F.lit(x) for kv in batches.items() for x in kv]) if any(v > 1 for v in batches.values()) else None
-    parts = many[F.col("range_no")] if many is not None else F.lit(1)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("ref_table", "ref_key", "key", "at"), parts).cast("int"))
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)))
+    packed = _ranged(parents, bounds, subs).groupBy("range_no", "sub").applyInArrow(_pack, RANGE)
+
+    asked = scratch.put(_ranged(refs, bounds, subs), "asked")
+    # parts with more references than a batch holds: as many rows as there are batches, at most
+    busy = scratch.put(asked.groupBy("range_no", "sub").agg(F.ceil(F.count("*") / batch_rows).cast("int").alias("parts")).where("parts > 1"), "busy")
+    hint = F.broadcast if busy.limit(SMALL + 1).count() <= SMALL else (lambda d: d)
+    asked = asked.join(hint(busy), ["range_no", "sub"], "left")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("ref_table", "ref_key", "key", "at"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    packed = packed.join(hint(busy), ["range_no", "sub"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
     def misses(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.select(["ref_table", "ref_key", "ref_month", "key", "at"])
@@ -128,10 +125,22 @@ def orphan_references(parents: DataFrame, refs: DataFrame, range_rows: int = 50_
             left = left.filter(pa.array(~found))
         return left
 
-    out = asked.groupBy("range_no", "part").cogroup(packed.groupBy("range_no", "part")).applyInArrow(misses, "ref_table string, ref_key string, ref_month string, key string, at bigint")
+    out = asked.groupBy("range_no", "sub", "part").cogroup(packed.groupBy("range_no", "sub", "part")).applyInArrow(misses, "ref_table string, ref_key string, ref_month string, key string, at bigint")
     return out.withColumn("at", F.when(F.col("at") != -FOREVER, F.col("at")))
 
 
+def _without_hot_parts(parents: DataFrame, n: int, range_rows: int) -> DataFrame:
+    """The intervals of keys with very many of them merged in salted parts; the others as they are."""
+    hot = parents.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > range_rows).select("key", F.ceil(2 * F.col("n") / range_rows).cast("int").alias("salts"))
+    hot = Scratch(parents.sparkSession, "hot").put(hot, "hot")  # n / range_rows keys at most
+    if hot.isEmpty():
+        return parents
+    near = hot if n // range_rows > SMALL else F.broadcast(hot)
+    # neighbours in time go to the same part, where they can touch
+    cut = parents.join(near, "key").withColumn("salt", F.pmod(F.floor(F.col("start") / 86_400_000_000), F.col("salts")).cast("int"))
+    return parents.join(near, "key", "left_anti").unionByName(cut.select("key", "start", "end", "salt").groupBy("key", "salt").applyInArrow(_merge, "key string, start bigint, end bigint"))
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Per table and month: the unresolved references, the rows that hold them and the keys they miss."""
     return orphans.groupBy("ref_table", "ref_month").agg(F.count("*").alias("n_refs"), F.countDistinct("ref_key").alias("n_rows"), F.countDistinct("key").alias("n_keys"))

@@ -20,7 +20,7 @@ def found(spark, parents, refs, **kw):
     return sorted(map(tuple, orphan_references(spark.createDataFrame(parents, PARENTS), spark.createDataFrame(refs, REFS), **kw).collect()), key=str)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"range_rows": 7, "batch_rows": 5, "sample": 64}])
+@pytest.mark.parametrize("sizes", [{}, {"range_rows": 7, "batch_rows": 5, "sample": 64}, {"range_rows": 7, "batch_rows": 5, "sample": 64, "most": 2}])
 def test_equals_brute_force(spark, sizes):
     rng = random.Random(3)
     parents = [(f"k{rng.randrange(30)}", s := rng.randrange(100), rng.choice([None, s + rng.randrange(-3, 20)])) for _ in range(80)]
