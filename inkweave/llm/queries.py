@@ -15,7 +15,7 @@ from inkweave.llm.sentences import sentences
 from inkweave.llm.splitting import split_items
 from inkweave.llm.tokens import token_counts
 from inkweave.operators.records import current_rows, latest_rows, live_records
-from inkweave.runtime import Scratch, table
+from inkweave.runtime import Scratch, parallel, table
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -81,7 +81,7 @@ DIM, FINGERPRINT = 96, "nebula-mini-96/mean-pool/p3"
 
 
 def _vectors(spark: SparkSession, sf_dir: str, chunks: bool) -> DataFrame:
-    rows = latest_rows(table(spark, sf_dir, "embedding_records"), "doc_hash", "saved_at", ["fingerprint", "doc_vector", *["chunk_vectors", "n_chunks"] * chunks])
+    rows = latest_rows(parallel(table(spark, sf_dir, "embedding_records")), "doc_hash", "saved_at", ["fingerprint", "doc_vector", *["chunk_vectors", "n_chunks"] * chunks])
     rows = rows.where(F.col("fingerprint") == FINGERPRINT)
     return unit_vectors(rows, "doc_hash", "doc_vector", DIM, "doc", *["chunk_vectors", "n_chunks"] * chunks)
 

@@ -90,3 +90,38 @@ def test_recall_on_the_test_tables(spark, dim):
     best, _ = truth(np.array([vec[k] for k in keys]), 5)
     got = {(r.key, r.other) for r in near}
     assert np.mean([(keys[i], keys[j]) in got for i in range(len(keys)) for j in best[i]]) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_both_spaces_at_two_sizes(spark, sf):
+    import os
+    import zlib
+
+    d = f"/root/testdata/{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    from inkweave.llm import queries
+
+    got: dict[str, set] = {"doc": set(), "chunk": set()}
+    for r in queries.p4_neighbours(spark, d).select("space", "key", "other").collect():
+        got[r.space].add((r.key, r.other))
+    held = queries._vectors(spark, d, True).collect()
+    for space in got:
+        rows = sorted((r.key, r.vec) for r in held if r.space == space)
+        keys, x = [k for k, _ in rows], np.array([np.frombuffer(v, np.float32) for _, v in rows])
+        asked = [i for i, k in enumerate(keys) if zlib.crc32(k.encode()) % (50 if sf == "sf0.1" else 5) == 0]
+        s = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+        s[np.arange(len(asked)), asked] = -9
+        best = np.argsort(-s, axis=1, kind="stable")[:, :5]
+        hit = [(keys[i], keys[j]) in got[space] for row, i in enumerate(asked) for j in best[row]]
+        assert np.mean(hit) >= 0.9, (space, np.mean(hit))
+
+
+def test_recall_over_divided_cells(spark):
+    x = clustered(6000, 96, 5)
+    df = spark.createDataFrame([(f"k{i:05}", v.tolist()) for i, v in enumerate(x)], "key string, v array<float>")
+    # five coarse cells, about eight fine ones in each
+    rows = similar_vectors(unit_vectors(df, "key", "v", 96), 96, k=5, cell_rows=150, sample=80).collect()
+    best, _ = truth(x, 5)
+    got = {(int(r.key[1:]), int(r.other[1:])) for r in rows}
+    assert len(rows) == 6000 * 5 and np.mean([(i, int(j)) in got for i in range(6000) for j in best[i]]) >= 0.9
