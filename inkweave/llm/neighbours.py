@@ -190,7 +190,7 @@ def _best(ids: np.ndarray, x: np.ndarray, code: OneBitCodes, own: np.ndarray, y:
     return tuple(np.concatenate(c) for c in zip(*out))  # type: ignore[return-value]
 
 
-def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -2.0, cells_of: int = 3, cell_rows: int = 1200, tile_rows: int = 3000, sample: int = 16_384, sigmas: float = 2.5, seed: int = 5) -> DataFrame:
+def similar_vectors(vectors: DataFrame, dim: int, k: int = 5, least: float = -2.0, cells_of: int = 3, cell_rows: int = 1200, tile_rows: int = 9000, sample: int = 16_384, sigmas: float = 2.5, seed: int = 5) -> DataFrame:
     """For every vector its k most similar others of the same space: space, key, other, cosine (DOUBLE), rank (1..k).
 
     ``vectors``: rows of ``unit_vectors`` (further columns are ignored). Equal cosines are ordered by key. Neighbours below ``least``
