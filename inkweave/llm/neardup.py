@@ -19,12 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.operators.components import connected_components
-from inkweave.runtime import Scratch, spread, spread_count
+from inkweave.runtime import SMALL, Scratch, spread, spread_count
 
 _RUNS = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-SMALL = 200_000
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -58,13 +57,13 @@ def bitmap(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def encode_counts(c: np.ndarray) -> np.ndarray:
-    """Counts in one byte: exact below 128, then in steps of a sixteenth of a doubling."""
+    """Counts in one byte: exact below 64, then in steps of a quarter of a doubling, up to 2**53."""
     with np.errstate(divide="ignore"):
-        big = np.minimum(127 + np.ceil(16 * np.log2(np.maximum(c, 1) / 127)), 255)
-    return np.where(c < 128, c, big).astype(np.uint8)
+        big = np.minimum(63 + np.ceil(4 * np.log2(np.maximum(c, 1) / 63) - 1e-9), 255)
+    return np.where(c < 64, c, big).astype(np.uint8)
 
 
-_DECODED = np.array([v if v < 128 else 127 * 2 ** ((v - 127) / 16) for v in range(256)])
+_DECODED = np.array([v if v < 64 else 63 * 2 ** ((v - 63) / 4) for v in range(256)])
 
 
 def document_counts(docs: DataFrame, text: str, width: int, bits: int) -> np.ndarray:
@@ -193,8 +192,8 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     without a shingle (null, empty, under ``width`` words) form classes but have no pairs. Null keys are left out, repeated
     keys count once for each distinct text. Other columns are ignored.
 
-    2**``bits`` counters, one byte each, order shingles by rarity (they decide the amount of work, never
-    the result); a shingle of more than ``hot`` records is compared in pairs of slices, each its own group.
+    2**``bits`` counters, one byte each (logarithmic, so that none fills up), order shingles by rarity (they decide the amount of
+    work, never the result); a shingle of more than ``hot`` records is compared in pairs of slices, each its own group.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -203,7 +202,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     held = scratch.put(held.select("key", F.sha2("text", 256).alias("digest"), F.monotonically_increasing_id().alias("id"), "text"), "records")
     firsts = held.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("digest", "class_id")
     firsts = scratch.put(firsts, "classes")
-    hint = F.broadcast if firsts.count() <= SMALL else (lambda d: d)
+    hint = F.broadcast if firsts.limit(SMALL + 1).count() <= SMALL else (lambda d: d)
     own = held.join(hint(firsts), "digest", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     docs = scratch.put(own.where("id = class_id").select("class_id", "text"), "texts")
     docs = docs if docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else spread(docs)
@@ -252,7 +251,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
 
     # the exact similarity, from the shingles of the records that are left
     wanted = scratch.put(likely.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "wanted")
-    hint = F.broadcast if wanted.count() <= SMALL else (lambda d: d)
+    hint = F.broadcast if wanted.limit(SMALL + 1).count() <= SMALL else (lambda d: d)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,3 +292,11 @@ def record_groups(pairs: DataFrame, members: DataFrame, key: str = "doc_hash") -
     several = members.where("has_shingles").groupBy("class_id").count().where("count > 1").select("class_id", F.col("class_id").alias("own"))
     joined = members.select(key, "class_id").join(links, "class_id", "left").join(groups, "class_id", "left").join(several, "class_id", "left")
     return joined.select(key, "class_id", F.coalesce("group_id", "own").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def named_groups(pairs: DataFrame, members: DataFrame, key: str = "doc_hash") -> DataFrame:
+    """``record_groups`` with classes and groups named by their least key: ``key``, class_key, group_key (null for records unlike any other), n_links."""
+    rows = record_groups(pairs, members, key)
+    classes = rows.groupBy("class_id").agg(F.min(key).alias("class_key"))
+    groups = rows.where("group_id IS NOT NULL").groupBy("group_id").agg(F.min(key).alias("group_key"))
+    return rows.join(classes, "class_id").join(groups, "group_id", "left").select(key, "class_key", "group_key", "n_links")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.llm.clusters import describe_clusters, right_numbers, similarity_clusters
 from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
-from inkweave.llm.neardup import near_duplicates, record_groups, record_pairs
+from inkweave.llm.neardup import named_groups, near_duplicates, record_groups, record_pairs
 from inkweave.llm.neighbours import similar_pairs, similar_vectors, unit_vectors
 from inkweave.llm.packing import container_fill, pack_containers
 from inkweave.llm.pages import repair_pages, word_counts
@@ -21,9 +21,10 @@ _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 
 
 def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of every live record's text."""
-    live = live_records(table(spark, sf_dir, "document_records"), ["text"]).select("doc_hash", "text")
-    return split_items(live, chunks=None).where("item_kind = 'text'").drop("item_kind", "item_no")
+    """Every passage of every live record's text, and of its stored chunks above the limits."""
+    live = live_records(table(spark, sf_dir, "document_records"), ["text", "chunk_texts"]).select("doc_hash", "text", "chunk_texts")
+    large = split_items(live.drop("text"), text=None, oversized_only=True)
+    return split_items(live.drop("chunk_texts"), chunks=None).where("item_kind = 'text'").unionByName(large)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,11 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(*_near(spark, sf_dir))
 
 
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p2_groups``, classes and groups named by their least hash."""
+    return named_groups(*_near(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_pairs(*_near(spark, sf_dir)).select("hash_a", "hash_b").distinct()
 
@@ -77,6 +83,19 @@ shared AS (SELECT a.doc_hash AS hash_a, b.doc_hash AS hash_b, count(*) AS c FROM
 SELECT hash_a, hash_b FROM shared JOIN sizes x ON x.doc_hash = hash_a JOIN sizes y ON y.doc_hash = hash_b WHERE c >= 0.7 * (x.n + y.n - c)
 """
 
+P2_RECORDS_SQL = f"""
+WITH RECURSIVE live AS ({_LIVE}), named AS (SELECT doc_hash, coalesce(text, '') AS t, min(doc_hash) OVER (PARTITION BY coalesce(text, '')) AS class_key, count(*) OVER (PARTITION BY coalesce(text, '')) AS copies FROM live),
+runs AS (SELECT doc_hash, copies, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM named WHERE doc_hash = class_key),
+tri AS (SELECT DISTINCT doc_hash, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_hash, w, unnest(generate_series(1, len(w) - 2)) AS i FROM runs WHERE len(w) >= 3)),
+sizes AS (SELECT doc_hash, count(*) AS n FROM tri GROUP BY doc_hash),
+shared AS (SELECT a.doc_hash AS a, b.doc_hash AS b, count(*) AS c FROM tri a JOIN tri b ON a.t = b.t AND a.doc_hash <> b.doc_hash GROUP BY ALL),
+near AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_hash = a JOIN sizes y ON y.doc_hash = b WHERE c >= 0.7 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a),
+grp AS (SELECT a, least(a, min(b)) AS group_key FROM reach GROUP BY a), links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT named.doc_hash, class_key, coalesce(grp.group_key, CASE WHEN copies > 1 AND sizes.n > 0 THEN class_key END) AS group_key, coalesce(links.n, 0) AS n_links
+FROM named LEFT JOIN grp ON grp.a = class_key LEFT JOIN links ON links.a = class_key LEFT JOIN sizes ON sizes.doc_hash = class_key
+"""
+
 DIM, FINGERPRINT = 96, "nebula-mini-96/mean-pool/p3"
 
 
@@ -189,6 +208,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p2_groups": p2_groups,
+    "p2_records": p2_records,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
@@ -204,4 +224,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_sentences": p9_sentences,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p4_found": P4_SQL}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.splitting import SPACES
-from inkweave.runtime import parallel
+from inkweave.runtime import Scratch, parallel
 
 _MARKED = re.compile(r"\s*(?:#{1,6}|[-*•+–·◦▪]|\(?\d{1,4}[.)])\s+\S")
 _CLOSE = r"(?:[  ]?»|[\"”’'“)\]」』）])*"
@@ -209,10 +209,10 @@ def paragraph_ends(text: str) -> Iterator[tuple[str, str, str, str, bool]]:
                     yield token, mark, shape, right, False
 
 
-def type_counts(docs: DataFrame, text: str, share: float = 1e-5, least: int = 8) -> tuple[dict[str, tuple[int, int]], float]:
+def type_counts(docs: DataFrame, text: str, least: int = 8) -> tuple[dict[str, tuple[int, int]], float]:
     """How often token and mark types occur as candidates and end a paragraph, over all rows; and the usual share of ends.
 
-    Kept are types of at least ``least`` occurrences that make up ``share`` of all: at most 2 / ``share`` of them.
+    Kept are types of at least ``least`` occurrences (rarer ones are told apart from none), however large the collection.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +241,10 @@ def type_counts(docs: DataFrame, text: str, share: float = 1e-5, least: int = 8)
         yield flush()
 
     got = docs.select(text).mapInArrow(count, "key string, n bigint, n_end bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    got = got.persist()
+    got = Scratch(docs.sparkSession, "types").put(got, "counts")
     whole = got.where("key LIKE 'm%'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_end"), F.lit(0)).alias("n_end")).first()
-    kept = got.where(F.col("n") >= max(least, int(share * whole.n))).collect()
-    got.unpersist()
-    return {r.key: (r.n, r.n_end) for r in kept}, max(whole.n_end / max(whole.n, 1), 1e-3)
+    kept = got.where(F.col("n") >= least).toArrow()
+    return {k: (n, e) for k, n, e in zip(*(kept[c].to_pylist() for c in ("key", "n", "n_end")))}, max(whole.n_end / max(whole.n, 1), 1e-3)
 
 
 def fit_maxent(rows: list[tuple[tuple[str, ...], bool, int]], ridge: float = 1.0, rounds: int = 25) -> dict[str, float]:
@@ -270,11 +269,11 @@ def fit_maxent(rows: list[tuple[tuple[str, ...], bool, int]], ridge: float = 1.0
 
 
 def train_boundaries(docs: DataFrame, key: str, text: str, sample: int = 5000) -> Boundaries:
-    """The classifier: counts over all rows, weights from the reliable candidates of at most ``sample`` of them."""
+    """The classifier: counts over all rows, weights from the reliable candidates of about ``sample`` of them at most, chosen by hash."""
     ends, base = type_counts(docs, text)
     model = Boundaries(ends, base)
     n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64(key), F.lit(max(1, n // sample))) == 0).select(text).limit(sample)
+    some = docs.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // sample)))) == 0).select(text)
     shared = docs.sparkSession.sparkContext.broadcast((ends, base))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
