@@ -21,29 +21,45 @@ def topic_members(docs: DataFrame, key: str, topics: str) -> DataFrame:
     return joined.select(F.coalesce("stem", "k").alias("topic_key"), "doc", "label")
 
 
-def topic_groups(docs: DataFrame, key: str = "id", topics: str = "topics", min_docs: int = D.topic_min_docs, max_fraction: float = D.topic_max_fraction) -> DataFrame:
-    """Topics of at least ``min_docs`` documents and not too many: topic_key, label, n_docs, docs (sorted)."""
+def topic_rows(docs: DataFrame, key: str = "id", topics: str = "topics", min_docs: int = D.topic_min_docs, max_fraction: float = D.topic_max_fraction) -> DataFrame:
+    """A row a topic and document, for topics of at least ``min_docs`` documents and not too many: topic_key, label, n_docs, doc.
+
+    A topic may hold a third of all documents: they are counted and joined, never gathered.
+    """
     members = topic_members(docs, key, topics)
     total = docs.agg(F.count("*").alias("n"))  # one row
     labels = members.groupBy("topic_key", "label").agg(F.count("*").alias("c"))
-    best = Window.partitionBy("topic_key").orderBy(F.col("c").desc(), F.length("label"), "label")
-    label = labels.withColumn("r", F.row_number().over(best)).where("r = 1").select("topic_key", "label")
-    groups = members.select("topic_key", "doc").distinct().groupBy("topic_key").agg(F.count("*").alias("n_docs"), F.array_sort(F.collect_list("doc")).alias("docs"))
+    label = labels.groupBy("topic_key").agg(F.min_by("label", F.struct(-F.col("c"), F.length("label"), F.col("label"))).alias("label"))
+    own = members.select("topic_key", "doc").distinct()
     most = F.greatest(F.lit(min_docs), F.ceil(max_fraction * F.col("n")))
-    return groups.join(F.broadcast(total)).where((F.col("n_docs") >= min_docs) & (F.col("n_docs") <= most)).join(label, "topic_key").select("topic_key", "label", "n_docs", "docs")
+    kept = own.groupBy("topic_key").agg(F.count("*").alias("n_docs")).join(F.broadcast(total)).where((F.col("n_docs") >= min_docs) & (F.col("n_docs") <= most)).drop("n")
+    return own.join(kept.join(label, "topic_key"), "topic_key").select("topic_key", "label", "n_docs", "doc")
+
+
+def topic_groups(docs: DataFrame, key: str = "id", topics: str = "topics", min_docs: int = D.topic_min_docs, max_fraction: float = D.topic_max_fraction) -> DataFrame:
+    """``topic_rows`` as a listing for display: topic_key, label, n_docs, docs (sorted). A row holds all documents of its topic."""
+    rows = topic_rows(docs, key, topics, min_docs, max_fraction)
+    return rows.groupBy("topic_key", "label", "n_docs").agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+
+
+def _flat(groups: DataFrame) -> DataFrame:
+    return groups if "doc" in groups.columns else groups.select("topic_key", "label", "n_docs", F.explode("docs").alias("doc"))
 
 
 def topic_hubs(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """A hub a topic, in the cluster of most of its documents (ties: that of the least document; none: -1): id, title, cluster, degree."""
-    member = groups.select("topic_key", F.explode("docs").alias("doc")).join(clusters.select(F.col("id").alias("doc"), "cluster"), "doc")
-    votes = member.where("cluster >= 0").groupBy("topic_key", "cluster").agg(F.count("*").alias("c"), F.min("doc").alias("first"))
+    """A hub a topic of ``topic_rows`` (or ``topic_groups``), in the cluster of most of its documents (ties: that of the least document; none: -1): id, title, cluster, degree."""
+    rows = _flat(groups)
+    votes = rows.join(clusters.select(F.col("id").alias("doc"), "cluster"), "doc").where("cluster >= 0").groupBy("topic_key", "cluster").agg(F.count("*").alias("c"), F.min("doc").alias("first"))
     best = Window.partitionBy("topic_key").orderBy(F.col("c").desc(), "first")
     won = votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("topic_key", "cluster")
-    return groups.join(won, "topic_key", "left").select(F.concat(F.lit("topic:"), "topic_key").alias("id"), F.col("label").alias("title"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.col("n_docs").alias("degree"))
+    one = rows.select("topic_key", "label", "n_docs").distinct()
+    return one.join(won, "topic_key", "left").select(F.concat(F.lit("topic:"), "topic_key").alias("id"), F.col("label").alias("title"), F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.col("n_docs").alias("degree"))
 
 
 def topic_edges(groups: DataFrame, weight: float = 0.5) -> DataFrame:
-    return groups.select(F.explode("docs").alias("source"), F.concat(F.lit("topic:"), "topic_key").alias("target"), F.lit("topic").alias("kind"), F.lit(weight).alias("weight"), F.array(F.concat(F.lit('Shared topic: "'), F.col("label"), F.lit('"'))).alias("evidence"))
+    """An edge a document and topic, with evidence."""
+    why = F.array(F.concat(F.lit('Shared topic: "'), F.col("label"), F.lit('"')))
+    return _flat(groups).select(F.col("doc").alias("source"), F.concat(F.lit("topic:"), "topic_key").alias("target"), F.lit("topic").alias("kind"), F.lit(weight).alias("weight"), why.alias("evidence"))
 
 
 def canonical_topics(docs: DataFrame, key: str, topics: str, mapping: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
-    return topics.topic_groups(doc_nodes(spark, d, "topics"))
+    return topics.topic_rows(doc_nodes(spark, d, "topics"))
 
 
 QUERIES = {
@@ -173,7 +173,7 @@ QUERIES = {
     "components": lambda s, d: connected_components(edges(s, d), "source", "target"),
     "bridges": lambda s, d: graph.bridges(doc_nodes(s, d, "status"), edges(s, d, None), least=0.0),
     "communities": lambda s, d: graph.communities(doc_nodes(s, d, "status"), edges(s, d, None)),
-    "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs"),
+    "topic_groups": lambda s, d: _folded(s, d).select("topic_key", "label", "n_docs").distinct(),
     "topic_hubs": lambda s, d: topics.topic_hubs(_folded(s, d), doc_nodes(s, d, "cluster_no").select("id", "cluster")),
     "topic_edges": lambda s, d: topics.topic_edges(_folded(s, d)).drop("evidence"),
     "cluster_names": lambda s, d: topics.cluster_names(doc_nodes(s, d, "cluster_no", "keywords", "topics")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.config import D
@@ -48,7 +48,7 @@ class Corpus:
         """Reference, entity, keyword and, with vectors (id, vector), semantic edges."""
         nodes = Scratch(self.spark, "nodes").put(self.nodes(), "nodes")
         named = nodes.withColumnRenamed("name", "file_name")
-        refs = links.reference_edges(links.link_edges(named).select("source", "target"), links.mention_edges(named))
+        refs = links.reference_edges(links.link_edges(named), links.mentions(named))
         lists = [refs, lexical.entity_edges(nodes), lexical.keyword_edges(nodes)]
         if vectors is not None:
             lists.append(semantic.semantic_edges(semantic.top_neighbours(semantic.similar_pairs(vectors, "id", "vector", threshold)), threshold))
@@ -58,14 +58,20 @@ class Corpus:
         """Nodes with communities, topic hubs included, and all edges."""
         scratch = Scratch(self.spark, "graph")
         nodes, edges = scratch.put(self.nodes(), "nodes"), scratch.put(self.edges(vectors), "edges")
-        groups = topics.topic_groups(nodes)
+        groups = Scratch(self.spark, "topics").put(topics.topic_rows(nodes), "rows")
         nodes = nodes.join(graph.communities(nodes, edges), "id", "left")
-        hubs = groups.select(F.concat(F.lit("topic:"), "topic_key").alias("id"), F.col("label").alias("title"), F.lit("topic").alias("kind"))
+        hubs = topics.topic_hubs(groups, nodes.select("id", F.lit(-1).alias("cluster"))).select("id", "title", F.lit("topic").alias("kind"))
         both = nodes.select("id", "title", "kind", "community").unionByName(hubs.withColumn("community", F.lit(None).cast("string")))
-        return both, edges.unionByName(topics.topic_edges(groups))
+        return both, graph.merge_edges(edges, topics.topic_edges(groups))
 
-    def search(self, query: str, limit: int = D.search_limit) -> DataFrame:
-        return retrieval.lexical_search(self.chunked(), query, limit)
+    def search(self, query: str, limit: int = D.search_limit, vectors: DataFrame | None = None, probe: Column | None = None, least: float = D.search_min_score) -> DataFrame:
+        """The best passages: by words alone, or with passages' vectors (id, passage_index, vector) and the query's vector by both.
+
+        Documents without passage vectors may come with one of their own, see ``retrieval.with_doc_vectors``.
+        """
+        if vectors is None or probe is None:
+            return retrieval.lexical_search(self.chunked(), query, limit)
+        return retrieval.search_corpus(self.chunked(), vectors, probe, query, limit, least)
 
     def chunked(self) -> DataFrame:
         """Documents with their chunks, as search reads them."""
