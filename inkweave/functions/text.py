@@ -98,6 +98,27 @@ def file_type(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv]), ext)
 
 
+#: Media types by extension.
+MEDIA_TYPES = {
+    "txt": "text/plain", "log": "text/plain", "md": "text/markdown", "mdx": "text/markdown", "pdf": "application/pdf", "html": "text/html", "htm": "text/html", "json": "application/json", "yaml": "application/yaml", "yml": "application/yaml", "csv": "text/csv",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docm": "application/vnd.ms-word.document.macroEnabled.12",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "pptm": "application/vnd.ms-powerpoint.presentation.macroEnabled.12",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xlsm": "application/vnd.ms-excel.sheet.macroEnabled.12",
+}
+
+
+def media_type(c: Column) -> Column:
+    """The media type by a file name's extension, ``application/octet-stream`` without a known one."""
+    ext = F.lower(F.regexp_extract(c, r"(?s)^.+\.([^.]+)$", 1))
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv]), ext)
+    return F.when(c.isNotNull(), F.coalesce(known, F.lit("application/octet-stream")))
+
+
+def cluster_hue(c: Column) -> Column:
+    """A cluster's hue in degrees: from 210 on in steps of the golden angle; null below 0."""
+    return F.when(c >= 0, F.pmod(F.lit(210.0) + c * F.lit(137.508), F.lit(360.0)))
+
+
 def canonical_topic(c: Column) -> Column:
     """Lower-case, white space, slashes, underscores, commas and dashes as single spaces."""
     return trim_all(F.regexp_replace(F.lower(c), rf"[{SPACES}/\\_,-]+", " "))

@@ -334,6 +334,18 @@ def modularity(edges: DataFrame, community: DataFrame, resolution: float = 1.0)
     return inside / total - resolution * sums / (2 * total) ** 2
 
 
+def nearest_labels(points: DataFrame, at: tuple[float, float, float], most: int = 40, topics: bool = True, reserved: list[str] | None = None) -> DataFrame:
+    """The ``most`` titled nodes nearest to a viewer (points: id, kind, title, x, y, z): id, title, d2 (squared distance; ties by id).
+
+    Nodes ``reserved`` for labels of their own are left out, topics where they aren't shown, and nodes without a place or title.
+    """
+    d2 = sum((F.pow(F.col(c) - F.lit(float(v)), 2) for c, v in zip("xyz", at)), F.lit(0.0))
+    shown = points.where(F.col("title").isNotNull() & (F.col("title") != ""))
+    shown = shown if topics else shown.where("kind <> 'topic'")
+    shown = shown.where(~F.col("id").isin(reserved)) if reserved else shown
+    return shown.select("id", "title", d2.alias("d2")).where("d2 IS NOT NULL").orderBy("d2", "id").limit(most)
+
+
 def visible_edges(edges: DataFrame, min_weight: float = 0.0, topics: bool = True) -> DataFrame:
     """Edges at or above the weight floor, with or without those to topics."""
     heavy = edges.where(F.col("weight") >= min_weight)

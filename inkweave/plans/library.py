@@ -95,6 +95,21 @@ def rectangle_labels(s: SparkSession, d: str) -> DataFrame:
     return parse.link_labels(spans, rects)
 
 
+def media_types(s: SparkSession, d: str) -> DataFrame:
+    return C.records(s, d, "file_name").select("id", X.media_type(F.col("file_name")).alias("media_type"))
+
+
+def cluster_hues(s: SparkSession, d: str) -> DataFrame:
+    return C.nodes(s, d, "cluster_no").select("cluster").distinct().select("cluster", F.round(X.cluster_hue(F.col("cluster")), 6).alias("hue"))
+
+
+def nearest_labels(s: SparkSession, d: str) -> DataFrame:
+    """Nodes placed by their counts: the forty nearest to a viewer, topics not shown."""
+    n = C.nodes(s, d, "title", "word_count", "degree", "cluster_no")
+    at = n.select("id", "kind", "title", (F.col("word_count") % 97).cast("double").alias("x"), (F.col("degree") % 11).cast("double").alias("y"), F.col("cluster").cast("double").alias("z"))
+    return graph.nearest_labels(at, (40.0, 5.0, 20.0), topics=False)
+
+
 def stream_texts(s: SparkSession, d: str) -> DataFrame:
     """Events as lines of an answer that streams in, one stream a user."""
     part = F.concat(F.lit('data: {"candidates":[{"content":{"parts":[{"text":"'), "event_type", F.lit(' "}]}}]}'))
@@ -397,7 +412,7 @@ def recent_messages(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        byte_prefixes, clipped, evidence_windows, time_labels, model_json, clean_names, entity_decoding, parsed_files, parsed_markdown, csv_cells, page_lines, rectangle_labels, stream_texts,
+        byte_prefixes, clipped, evidence_windows, time_labels, model_json, clean_names, entity_decoding, parsed_files, parsed_markdown, csv_cells, page_lines, rectangle_labels, media_types, cluster_hues, nearest_labels, stream_texts,
         listed_files, lines_read, unknown_files, corpus_name, demo_only, cached_documents, restored_session, snapshot_nodes, vector_texts, next_manifest, dropped_documents, filled_counts, kept_pairs,
         valid_edges, united_edges, sound_nodes, sound_edges, cluster_fields, degrees_after_removal, emphasised, entity_evidence, keyword_evidence, entity_weights, reference_evidence, semantic_evidence, topic_evidence, mapped_topics, shown_names, enriched,
         semantic_hits, corpus_search, answer_passages, passage_winners, answer_text, answer_prompt, merged_hits, labels_and_vectors, search_quality, accepted_change, embedded, recent_messages
@@ -484,6 +499,10 @@ SELECT doc_id, count(*) AS n, CAST(sum(line_no) AS BIGINT) AS places FROM m WHER
 r AS (SELECT s_suppkey % 20 AS doc_id, s_suppkey % 3 AS page, s_suppkey AS rect_no, s_suppkey % 10 * 20.0 AS x1, s_suppkey % 50 * 12.0 - 4 AS y1, s_suppkey % 10 * 20.0 + 300 AS x2, s_suppkey % 50 * 12.0 + 30 AS y2 FROM supplier),
 b AS (SELECT r.*, n, t, w, least(tx + w, x2) - greatest(tx, x1) AS sh FROM s JOIN r ON s.doc_id = r.doc_id AND s.page = r.page AND ty >= y1 - 2 AND ty <= y2 + 2)
 SELECT doc_id, page, rect_no, substring(trim(regexp_replace(string_agg(t, ' ' ORDER BY n), '[ \\t-\\r]+', ' ', 'g')), 1, 140) AS label FROM b WHERE w > 0 AND (sh >= 0.5 * w OR sh >= 0.9 * (x2 - x1)) GROUP BY doc_id, page, rect_no""",
+    "media_types": rf"""WITH live AS ({_LIVE}), x AS (SELECT id, file_name, lower(regexp_extract(file_name, '(?s)^.+\.([^.]+)$', 1)) AS e FROM live)
+SELECT id, CASE WHEN file_name IS NULL THEN NULL {" ".join(f"WHEN e = '{k}' THEN '{v}'" for k, v in X.MEDIA_TYPES.items())} ELSE 'application/octet-stream' END AS media_type FROM x""",
+    "cluster_hues": f"WITH cur AS ({_CUR}) SELECT DISTINCT cluster, CASE WHEN cluster >= 0 THEN round(fmod(210.0 + cluster * CAST(137.508 AS DOUBLE), 360.0), 6) END AS hue FROM cur",
+    "nearest_labels": f"WITH cur AS ({_CUR}) SELECT id, title, CAST((word_count % 97 - 40) * (word_count % 97 - 40) + (degree % 11 - 5) * (degree % 11 - 5) + (cluster - 20) * (cluster - 20) AS DOUBLE) AS d2 FROM cur WHERE title <> '' AND kind <> 'topic' AND word_count IS NOT NULL AND degree IS NOT NULL ORDER BY d2, id LIMIT 40",
     "stream_texts": "SELECT user_id AS stream_id, coalesce(string_agg(CASE event_id % 4 WHEN 0 THEN event_type || ' ' WHEN 1 THEN event_type || '!' END, '' ORDER BY event_id), '') AS text, CAST(NULL AS VARCHAR) AS error FROM events GROUP BY user_id",
     "listed_files": f"WITH live AS ({_LIVE}) SELECT DISTINCT path FROM live WHERE path IS NOT NULL ORDER BY path LIMIT 1000",
     "lines_read": "SELECT doc_id AS id, md5(array_to_string(string_split(text, chr(10))[2:4], chr(10))) AS digest FROM documents",

@@ -62,3 +62,11 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     n = new.select("path", F.col("size").alias("s1"), F.col("last_modified").alias("m1"), F.col("doc_id").alias("new_id"))
     change = F.when(F.col("old_id").isNull(), "added").when(F.col("new_id").isNull(), "removed").when(~F.col("s0").eqNullSafe(F.col("s1")) | ~F.col("m0").eqNullSafe(F.col("m1")), "changed")
     return o.join(n, "path", "full").select("path", change.alias("change"), "old_id", "new_id").where("change IS NOT NULL")
+
+
+def demo_files(spark: SparkSession, root: str, manifest: str = "manifest.json") -> DataFrame:
+    """The files of a demo folder that its manifest lists (``files``: names): as ``scan_folder`` gives them, below ``demo/`` and without a time. Missing files are skipped."""
+    names = spark.read.option("multiLine", True).schema("files array<string>").json(f"{root}/{manifest}").select(F.explode("files").alias("name")).distinct()
+    every = scan_folder(spark, root).join(names, "name", "left_semi")
+    path = F.concat(F.lit("demo/"), "name")
+    return every.select(path.alias("path"), "name", "file_type", "size", F.lit(None).cast("bigint").alias("last_modified"), "content", graph_id(path, F.col("content")).alias("id"))

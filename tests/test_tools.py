@@ -147,3 +147,12 @@ def test_emphasis_keeps_to_the_first_cause(spark):
     e = spark.createDataFrame([("a", "b", "entity", 0.5), ("c", "d", "entity", 0.5)], "source string, target string, kind string, weight double")
     f = spark.createDataFrame([("a", "search"), ("c", "filter"), ("z", "odd")], "id string, why string")
     assert {(r.id, r.why) for r in graph.emphasis(e, f).collect()} == {("a", "search"), ("b", "search")}
+
+
+def test_demo_files_skip_what_is_missing(spark, tmp_path):
+    from inkweave.sources.files import demo_files
+
+    (tmp_path / "manifest.json").write_text('{"files": ["a.txt", "gone.txt", "b.md"]}')
+    for name in ("a.txt", "b.md", "extra.txt"):
+        (tmp_path / name).write_text(name)
+    assert sorted((r.path, r.last_modified) for r in demo_files(spark, str(tmp_path)).collect()) == [("demo/a.txt", None), ("demo/b.md", None)]
