@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.text import trim_all
@@ -17,19 +17,32 @@ def source_key(c: Column) -> Column:
     return F.lower(trim_all(c))
 
 
-def mix_rates(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens") -> DataFrame:
+def mix_rates(sizes: DataFrame, targets: DataFrame, source: str = "source", size: str = "n_tokens", fill: bool = False) -> DataFrame:
     """Per distinct row of ``targets`` (source STRING, target_share DOUBLE, max_repeats INT): what it can contribute.
 
     ``sizes``: source and n_tokens (null: 0); other columns are ignored. Columns source, source_key, target_share, max_repeats, n_docs, tokens, target_tokens, copies (of each document, not above
     max_repeats), capped. The mixture is as large as all documents together. A source without documents has 0 tokens; a
-    null share counts as 0, null max_repeats as 1. Of targets with the same source key, each counts by itself.
+    null share counts as 0, null max_repeats as 1. Of targets with the same source key, each counts by itself. With ``fill`` the
+    sources that aren't capped make up, in proportion to their shares, for what capped ones can't give, each up to its own cap.
     """
     own = sizes.groupBy(source_key(F.col(source)).alias("source_key")).agg(F.count("*").alias("n_docs"), F.sum(F.coalesce(F.col(size), F.lit(0))).cast("bigint").alias("tokens"))
     total = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))  # one row
     wanted = targets.select("source", F.coalesce(F.col("target_share"), F.lit(0.0)).cast("double").alias("target_share"), F.coalesce(F.col("max_repeats"), F.lit(1)).cast("bigint").alias("max_repeats")).distinct()
     rates = wanted.withColumn("source_key", source_key(F.col("source"))).join(own, "source_key", "left").join(F.broadcast(total))
     rates = rates.withColumns({"n_docs": F.coalesce("n_docs", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0)), "target_tokens": F.col("target_share") * F.col("total")})
-    copies = F.when(F.col("tokens") > 0, F.least(F.col("target_tokens") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
+    rates = rates.withColumn("_level", F.lit(1.0))
+    if fill:
+        # in the order in which sources reach their caps: how far all from a source on are raised when those before it are full
+        most = F.col("max_repeats") * F.col("tokens")
+        at = Window.orderBy(F.try_divide(most, F.col("target_tokens")).asc_nulls_last(), "source_key", "source", "max_repeats", "target_share")  # a row a source
+        rest = F.sum("target_tokens").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum(most).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        own = F.sum("target_tokens").over(at.rowsBetween(0, Window.unboundedFollowing))
+        raised = rates.withColumn("_l", F.try_divide(rest, own)).withColumn("_fits", F.try_divide(most, F.col("target_tokens")) >= F.col("_l")).withColumn("_n", F.row_number().over(at))
+        first = F.min(F.when(F.col("_fits"), F.struct("_n", "_l")))["_l"]  # the first that doesn't reach its cap
+        level = raised.agg(F.coalesce(first, F.lit(float("inf"))).alias("_level"))  # one row
+        rates = rates.drop("_level").join(F.broadcast(level))
+    share = F.when(F.col("target_tokens") > 0, F.col("target_tokens") * F.col("_level")).otherwise(0.0)
+    copies = F.when(F.col("tokens") > 0, F.least(share / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return rates.select("source", "source_key", "target_share", "max_repeats", "n_docs", "tokens", "target_tokens", copies.alias("copies"), (F.col("target_tokens") > F.col("max_repeats") * F.col("tokens")).alias("capped"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkweave.functions.text import SPACES
 from inkweave.llm.clusters import describe_clusters, right_numbers, similarity_clusters
 from inkweave.llm.mixing import mix_rates, mix_report, mix_sources
 from inkweave.llm.neardup import named_groups, near_duplicates, record_groups, record_pairs
@@ -27,6 +28,18 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(live.drop("chunk_texts"), chunks=None).where("item_kind = 'text'").unionByName(large)
 
 
+def p1_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every live record's text that isn't blank, and whether its passages keep their limits, begin and end with it, leave nothing out and overlap."""
+    p = p1_passages(spark, sf_dir).where("item_kind = 'text' AND n_words > 0")
+    live = live_records(table(spark, sf_dir, "document_records"), ["text"]).select("doc_hash", "text")
+    nxt = F.lead("pass_start").over(Window.partitionBy("doc_hash").orderBy("passage_no"))
+    rows = p.select("doc_hash", "passage_no", "n_passages", "pass_start", "pass_end", "n_words", F.length("passage").alias("n_chars"), nxt.alias("next_start"))
+    joined = rows.groupBy("doc_hash").agg(F.count("*").alias("n"), F.max("n_passages").alias("said"), F.max("n_words").alias("words"), F.max("n_chars").alias("chars"), F.min("pass_start").alias("first"), F.max("pass_end").alias("last"), F.coalesce(F.bool_and(F.col("next_start") <= F.col("pass_end")), F.lit(True)).alias("joined"))
+    bare = live.select("doc_hash", F.length(F.regexp_replace("text", f"^[{SPACES}]+", "")).alias("to_end"), F.length("text").alias("whole"), F.length(F.regexp_replace("text", f"[{SPACES}]+$", "")).alias("last_char"))
+    ok = (F.col("n") == F.col("said")) & (F.col("words") <= 148) & (F.col("chars") <= 1400) & (F.col("first") == F.col("whole") - F.col("to_end")) & (F.col("last") == F.col("last_char"))
+    return joined.join(bare, "doc_hash").select("doc_hash", (ok & F.col("joined")).alias("sound"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = live_records(table(spark, sf_dir, "document_records"), ["text", "chunk_texts"]).select("doc_hash", "text", "chunk_texts")
     return split_items(live, oversized_only=True).where("passage_no = 0").select("doc_hash", "item_kind", "item_no")
@@ -49,6 +62,9 @@ WHERE length(t) > 1400 OR len(list_filter(regexp_split_to_array(t, '[{_WS}]+'),
 
 
 
+P1_CHECKED_SQL = f"WITH live AS ({_LIVE}) SELECT doc_hash, true AS sound FROM live WHERE regexp_matches(text, '[^{_WS}]')"
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     live = live_records(table(spark, sf_dir, "document_records"), ["text"]).select("doc_hash", "text")
     return near_duplicates(live, least=0.7, width=3)
@@ -178,7 +194,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sizes = _sizes(spark, sf_dir, "p8", ["doc_id", "source"])
-    rates = mix_rates(sizes, table(spark, sf_dir, "mix_targets"))
+    rates = mix_rates(sizes, table(spark, sf_dir, "mix_targets"), fill=True)
     return mix_sources(sizes, rates), rates
 
 
@@ -205,6 +221,7 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_passages": p1_passages,
+    "p1_checked": p1_checked,
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p2_groups": p2_groups,
@@ -224,4 +241,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_sentences": p9_sentences,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p4_found": P4_SQL}
+SQL = {"p1_found": P1_SQL, "p1_checked": P1_CHECKED_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p4_found": P4_SQL}

@@ -46,3 +46,20 @@ def test_ranks(spark):
     for g in (None, 1, 2):
         own = sorted((r.rank, r.v) for r in rows if r.g == g)
         assert [k for k, _ in own] == list(range(100)) and [v for _, v in own] == sorted(v for _, v in own)
+
+
+def test_others_make_up_for_capped_sources(spark):
+    rows = [(i, "abcd"[i % 4], 100) for i in range(400)] + [(900 + i, "tiny", 100) for i in range(4)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 0.4, 9), ("b", 0.2, 9), ("c", 0.2, 1), ("tiny", 0.1, 2), ("gone", 0.1, 3)], TARGETS)
+    rates = mix_rates(sizes, targets, fill=True)
+    report = {r.source: r for r in mix_report(mix_sources(sizes, rates), rates).collect()}
+    assert {s for s, r in report.items() if r.capped} == {"tiny", "gone"}
+    # of 40,400 tokens tiny gives its 800; a, b and c share the rest as two to one to one, just within c's cap
+    assert report["tiny"].reached_tokens == 800 and report["a"].reached_tokens == pytest.approx(19_800, rel=0.02)
+    assert report["b"].reached_tokens == report["c"].reached_tokens == 9_900
+    tight = mix_rates(sizes, targets.where("source <> 'gone'").unionByName(spark.createDataFrame([("c", 0.1, 0)], TARGETS)), fill=True)
+    assert {r.copies for r in tight.where("max_repeats = 0").collect()} == {0.0}
+    none = mix_rates(sizes.where("source = 'tiny'"), targets.where("source = 'tiny'"), fill=True)
+    assert [r.copies for r in none.collect()] == [pytest.approx(0.1)]
+    assert mix_rates(sizes.limit(0), targets, fill=True).where("copies > 0").count() == 0
