@@ -83,6 +83,24 @@ def _manifests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new.select("path", "m.size", "m.last_modified", F.col("m.id").alias("doc_id"))
 
 
+def _told(edges: DataFrame) -> DataFrame:
+    """Edges with a rounded weight and their evidence as text."""
+    return edges.select("source", "target", "kind", F.round("weight", 6).alias("weight"), F.array_join("evidence", " | ").alias("evidence"))
+
+
+def chunk_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's first and last chunked words, and whether its chunks keep their limit and are numbered without gaps."""
+    c = chunking.chunks(docs(spark, d)).withColumn("w", X.words(F.col("chunk")))
+    one = c.groupBy("id").agg(F.min_by(F.element_at("w", 1), "passage_index").alias("first"), F.max_by(F.element_at("w", -1), "passage_index").alias("last"), F.max(F.size("w")).alias("most"), F.count("*").alias("n"), F.max("passage_index").alias("top"), F.bool_or("truncated").alias("cut"))
+    return one.select("id", "first", "last", ((F.col("most") <= D.chunk_words) & (F.col("n") == F.col("top") + 1) & ~F.col("cut")).alias("sound"))
+
+
+def context_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a document was cut for its context, and whether that keeps the limit or is the whole text."""
+    got = context.document_contexts(docs(spark, d), question=QUERY, most=8000)
+    return got.select("id", "truncated", F.when(F.col("truncated"), F.length("context") <= 8000).otherwise(F.length("context") > 0).alias("kept"))
+
+
 def reference_links(spark: SparkSession, d: str) -> DataFrame:
     return links.link_edges(records(spark, d, "file_name", "md_link_targets")).select("source", "target")
 
@@ -137,8 +155,8 @@ QUERIES = {
     "entities_top12": lambda s, d: lexical.top_entities(docs(s, d), "id", "text"),
     "entity_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d, "entities"), "id", "entities"),
     "keyword_pairs": lambda s, d: lexical.shared_pairs(doc_nodes(s, d, "keywords"), "id", "keywords", "smooth"),
-    "entity_edges": lambda s, d: lexical.entity_edges(doc_nodes(s, d, "entities")),
-    "keyword_edges": lambda s, d: lexical.keyword_edges(doc_nodes(s, d, "keywords")),
+    "entity_edges": lambda s, d: _told(lexical.entity_edges(doc_nodes(s, d, "entities"))),
+    "keyword_edges": lambda s, d: _told(lexical.keyword_edges(doc_nodes(s, d, "keywords"))),
     "boilerplate_lines": lambda s, d: lexical.boilerplate_lines(docs(s, d), "id", "text", fraction=0.0, min_docs=2),
     "stripped_docs": lambda s, d: lexical.strip_boilerplate(docs(s, d), "id", "text", lexical.boilerplate_lines(docs(s, d), "id", "text", fraction=0.0, min_docs=2)).select("id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
     "exact_dup_docs": lambda s, d: lexical.exact_duplicates(docs(s, d), "id", "text"),
@@ -187,6 +205,8 @@ QUERIES = {
     "cluster_members": lambda s, d: graph.cluster_members(nodes(s, d, "cluster_no")),
     "search_lines": lambda s, d: tools.search_lines(docs(s, d), "restore").groupBy("id", "line_no", "line").count(),
     "id_sets": lambda s, d: tools.id_sets(records(s, d, "file_name"), doc_nodes(s, d, "status")),
+    "chunk_ends": chunk_ends,
+    "context_sizes": context_sizes,
     "contexts": lambda s, d: context.document_contexts(docs(s, d), question=QUERY, most=8000),
     "label_ranking": lambda s, d: retrieval.label_ranking(doc_nodes(s, d, "title", "topics", "entities", "keywords"), s.createDataFrame([], "id string, semantic_score double"), "capacity"),
     "snapshots_newest": lambda s, d: table(s, d, "snapshots").select("snapshot_id", "name", "saved_at").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(F.year("saved_at")).orderBy(F.col("saved_at").desc(), "snapshot_id"))),
@@ -211,6 +231,20 @@ pairs AS (SELECT x.doc AS a, y.doc AS b, round(sum({idf}), 6) AS score, count(*)
   FROM ok x JOIN ok y ON x.item = y.item AND x.doc < y.doc JOIN df ON df.item = x.item GROUP BY ALL HAVING count(*) >= 2)"""
 
 
+def _capped_sql(items: str, idf: str, kind: str, cap: int, low: float, high: float, wording: str) -> str:
+    """Edges of a greedy choice by score: a recursion over the pairs in their order, with the ends used so far."""
+    return f"""WITH RECURSIVE {_pairs_sql(items, idf)}, every AS (SELECT item, count(*) AS df FROM ok GROUP BY item),
+nums AS (SELECT doc, CAST(row_number() OVER (ORDER BY doc) AS INTEGER) AS k FROM (SELECT DISTINCT doc FROM ok)),
+o AS (SELECT a, b, score, x.k AS ka, y.k AS kb, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM pairs JOIN nums x ON x.doc = a JOIN nums y ON y.doc = b),
+g(i, used, fits) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), false UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(g.used, lambda z: z = ka)) < {cap} AND len(list_filter(g.used, lambda z: z = kb)) < {cap} THEN list_concat(g.used, [ka, kb]) ELSE g.used END,
+    len(list_filter(g.used, lambda z: z = ka)) < {cap} AND len(list_filter(g.used, lambda z: z = kb)) < {cap} FROM g JOIN o ON o.i = g.i + 1),
+k AS (SELECT a, b, score FROM o JOIN g ON o.i = g.i WHERE fits), m AS (SELECT min(score) AS lo, max(score) AS hi FROM k),
+sh AS (SELECT k.a, k.b, x.item, row_number() OVER (PARTITION BY k.a, k.b ORDER BY every.df, x.item) AS r FROM k JOIN ok x ON x.doc = k.a JOIN ok y ON y.doc = k.b AND x.item = y.item JOIN every ON every.item = x.item),
+e AS (SELECT a, b, '{wording}: ' || string_agg( || item || , ', ' ORDER BY r) AS evidence FROM sh WHERE r <= 4 GROUP BY a, b)
+SELECT k.a AS source, k.b AS target, '{kind}' AS kind, round({low} + ({high} - {low}) * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END, 6) AS weight, evidence FROM k JOIN e ON k.a = e.a AND k.b = e.b, m"""
+
+
 _N = "(SELECT count(*) FROM dn)"
 _ENT = _pairs_sql("entities", f"ln(1 + {_N} / df.df)")
 _EDGES = f"WITH {_ENT}, edges AS (SELECT a AS source, b AS target, 'entity' AS kind, score AS weight FROM pairs), ends AS (SELECT source AS node, target AS other, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)"
@@ -279,6 +313,10 @@ SELECT DISTINCT id, target, lower(regexp_replace(regexp_replace(regexp_replace({
 SELECT id, CASE WHEN title IS NOT NULL THEN array_to_string(list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') END AS terms FROM t""",
     "entity_pairs": f"WITH {_ENT} SELECT a, b, score, n_shared FROM pairs",
     "keyword_pairs": f"WITH {_pairs_sql('keywords', f'ln((1 + {_N}) / (1 + df.df))')} SELECT a, b, score, n_shared FROM pairs",
+    "entity_edges": _capped_sql("entities", f"ln(1 + {_N} / df.df)", "entity", D.entity_edges_per_doc, 0.35, 0.9, "shared identifiers"),
+    "keyword_edges": _capped_sql("keywords", f"ln((1 + {_N}) / (1 + df.df))", "keyword", D.keyword_edges_per_doc, 0.30, 0.85, "shared keywords"),
+    "chunk_ends": f"WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS w FROM documents) SELECT id, w[1] AS first, w[-1] AS last, true AS sound FROM w WHERE len(w) > 0",
+    "context_sizes": f"SELECT doc_id AS id, coalesce(length({_TRIM('text')}), 0) > 8000 AS truncated, coalesce(length({_TRIM('text')}), 0) > 0 AS kept FROM documents",
     "entities_top12": f"""WITH e AS ({" UNION ALL ".join(f"SELECT doc_id AS id, {i} AS form, {p} AS phrase, unnest(regexp_extract_all(text, '{pat}')) AS entity FROM documents" for i, p, pat in [
     (0, "false", chr(92) + "b(?:[A-Z][a-z0-9]+|[a-z][a-z0-9]*)(?:[A-Z][a-z0-9]+)+" + chr(92) + "b"), (1, "false", chr(92) + "b[a-z][a-z0-9]*(?:_[a-z0-9]+)+" + chr(92) + "b"),
     (2, "false", chr(92) + "b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+" + chr(92) + "b"), (3, "false", chr(92) + "b[A-Z]{2,6}" + chr(92) + "b"), (4, "true", chr(92) + "b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}" + chr(92) + "b")])}),
