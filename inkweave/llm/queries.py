@@ -186,6 +186,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).where("n_pieces > 1 AND piece_no = 0").select("doc_id")
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a text, and whether its pieces are whole, in containers that hold them, and divided only where they must be."""
+    sizes = _sizes(spark, sf_dir, "p7", ["doc_id"])
+    packed = Scratch(spark, "p7").put(pack_containers(sizes), "packed")
+    fits = packed.groupBy("container_id").agg((F.sum("item_size") <= 2048).alias("fits"))
+    own = packed.join(fits, "container_id").groupBy("doc_id").agg(F.sum("item_size").alias("n"), F.count("*").alias("pieces"), F.bool_and("fits").alias("fits"))
+    return own.join(sizes.select("doc_id", "n_tokens"), "doc_id").select("doc_id", (F.col("fits") & (F.col("n") == F.col("n_tokens")) & (F.col("pieces") == F.ceil(F.col("n") / 2048))).alias("sound"))
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers are: one row."""
     fill = container_fill(p7_containers(spark, sf_dir))
@@ -198,6 +207,15 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix_sources(sizes, rates), rates
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wanted source, and whether its documents' copies keep its cap, differ by one at most and it is full where it is capped."""
+    mixture, rates = _mix(spark, sf_dir)
+    got = mixture.groupBy("source").agg(F.max("n_copies").alias("hi"), F.min("n_copies").alias("lo"), F.sum(F.col("n_tokens") * F.col("n_copies")).alias("reached"))
+    every = rates.select("source", "max_repeats", "tokens", "capped").distinct().join(got, "source", "left")
+    kept = (F.coalesce("hi", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("hi", F.lit(0)) - F.coalesce("lo", F.lit(0)) <= 1)
+    return every.select("source", (kept & (~F.col("capped") | (F.coalesce("reached", F.lit(0)) == F.col("max_repeats") * F.col("tokens")))).alias("sound"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[0]
 
@@ -218,6 +236,19 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
 
+def p9_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's characters other than white space within sentences, whether its sentences come in order, and don't overlap."""
+    s = sentences(table(spark, sf_dir, "documents"))
+    before = F.lag("sent_end").over(Window.partitionBy("doc_id").orderBy("sent_no"))
+    rows = s.select("doc_id", F.length(F.regexp_replace("sentence", f"[{SPACES}]+", "")).alias("n"), (F.length("sentence") == F.col("sent_end") - F.col("sent_start")).alias("whole"), (F.coalesce(before, F.lit(0)) <= F.col("sent_start")).alias("after"))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n_chars"), F.bool_and(F.col("whole") & F.col("after")).alias("sound"))
+
+
+P7_CHECKED_SQL = "SELECT doc_id, true AS sound FROM documents WHERE text <> ''"
+P8_CHECKED_SQL = "SELECT DISTINCT source, true AS sound FROM mix_targets"
+P9_COVERED_SQL = f"SELECT doc_id, CAST(length(regexp_replace(text, '[{_WS}]+', '', 'g')) AS BIGINT) AS n_chars, true AS sound FROM documents WHERE regexp_matches(text, '[^{_WS}]')"
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_passages": p1_passages,
@@ -235,10 +266,13 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_checked": p7_checked,
     "p8_found": p8_found,
     "p8_mixture": p8_mixture,
     "p8_report": p8_report,
+    "p8_checked": p8_checked,
     "p9_found": p9_found,
     "p9_sentences": p9_sentences,
+    "p9_covered": p9_covered,
 }
-SQL = {"p1_found": P1_SQL, "p1_checked": P1_CHECKED_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p4_found": P4_SQL}
+SQL = {"p1_found": P1_SQL, "p1_checked": P1_CHECKED_SQL, "p2_found": P2_SQL, "p2_records": P2_RECORDS_SQL, "p4_found": P4_SQL, "p7_checked": P7_CHECKED_SQL, "p8_checked": P8_CHECKED_SQL, "p9_covered": P9_COVERED_SQL}
