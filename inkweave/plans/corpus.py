@@ -241,7 +241,7 @@ g(i, used, fits) AS (SELECT CAST(0 AS BIGINT), CAST([] AS INTEGER[]), false UNIO
     len(list_filter(g.used, lambda z: z = ka)) < {cap} AND len(list_filter(g.used, lambda z: z = kb)) < {cap} FROM g JOIN o ON o.i = g.i + 1),
 k AS (SELECT a, b, score FROM o JOIN g ON o.i = g.i WHERE fits), m AS (SELECT min(score) AS lo, max(score) AS hi FROM k),
 sh AS (SELECT k.a, k.b, x.item, row_number() OVER (PARTITION BY k.a, k.b ORDER BY every.df, x.item) AS r FROM k JOIN ok x ON x.doc = k.a JOIN ok y ON y.doc = k.b AND x.item = y.item JOIN every ON every.item = x.item),
-e AS (SELECT a, b, '{wording}: ' || string_agg( || item || , ', ' ORDER BY r) AS evidence FROM sh WHERE r <= 4 GROUP BY a, b)
+e AS (SELECT a, b, '{wording}: ' || string_agg(chr(39) || item || chr(39), ', ' ORDER BY r) AS evidence FROM sh WHERE r <= 4 GROUP BY a, b)
 SELECT k.a AS source, k.b AS target, '{kind}' AS kind, round({low} + ({high} - {low}) * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END, 6) AS weight, evidence FROM k JOIN e ON k.a = e.a AND k.b = e.b, m"""
 
 
