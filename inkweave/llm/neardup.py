@@ -23,6 +23,8 @@ from inkweave.runtime import SMALL, Scratch, spread, spread_count
 
 _RUNS = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
+#: Records of one tile in exact comparisons, and of how many a token counts as frequent.
+TILE, FREQUENT = 512, 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -99,8 +101,11 @@ def document_counts(docs: DataFrame, text: str, width: int, bits: int) -> np.nda
     return out.ravel()
 
 
-def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, least: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose bitmaps differ in no more bits than the similarity allows; rows are sorted by population count."""
+def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, met: np.ndarray, least: float, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose bitmaps differ in no more bits than the similarity allows; rows are sorted by population count.
+
+    ``met``: bits of the frequent tokens before this one; rows that share one have met in its group.
+    """
     n, ratio = len(pop), (1 - least) / (1 + least)
     starts = range(0, n, tile)
     most = [size[a : a + tile].max() for a in starts]
@@ -110,15 +115,34 @@ def _tile_pairs(maps: np.ndarray, pop: np.ndarray, size: np.ndarray, least: floa
             if int(pop[b]) - int(pop[min(a + tile, n) - 1]) > ratio * (most[i] + most[j]):
                 continue  # every pair of these tiles is beyond the radius
             x, y = maps[a : a + tile], maps[b : b + tile]
+            new = np.ones((len(x), len(y)), bool)
+            for w in range(met.shape[1]):
+                new &= (met[a : a + tile, None, w] & met[None, b : b + tile, w]) == 0
+                if not new.any():
+                    break
+            if not new.any():
+                continue
             far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16)
             for w in range(1, maps.shape[1]):
                 far += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
-            p, q = np.nonzero(far <= ratio * (size[a : a + tile, None] + size[None, b : b + tile]) + 1e-9)
+            p, q = np.nonzero(new & (far <= ratio * (size[a : a + tile, None] + size[None, b : b + tile]) + 1e-9))
             keep = q > p if i == j else slice(None)
             yield p[keep] + a, q[keep] + b
 
 
-def _compare(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, narrow: np.ndarray, least: float, tile: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def shared_bits(lists: list[np.ndarray]) -> np.ndarray:
+    """Rows of bits, one for each value that several of the (sorted, distinct) lists have; words of 64 bits."""
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+    common = count[at] > 1
+    bits = np.zeros((len(lists), -(-max(1, int((count > 1).sum())) // 64) * 64), bool)
+    bits[row[common], number[at[common]]] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def _compare(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndarray, narrow: np.ndarray, before: list[bytes], least: float, tile: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of ids that share a token, of which one is narrow at least, and whose sizes and bitmaps allow the similarity."""
     ratio = (1 - least) / (1 + least)
     pop = np.bitwise_count(maps).sum(1)
@@ -136,7 +160,8 @@ def _compare(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndar
     # large groups tile by tile
     for a in np.unique(first[group > 64]):
         b = last[a]
-        for p, q in _tile_pairs(maps[a:b], pop[a:b], size[a:b], least, tile):
+        met = shared_bits([np.frombuffer(before[i], np.uint64) for i in order[a:b]])
+        for p, q in _tile_pairs(maps[a:b], pop[a:b], size[a:b], met, least, tile):
             keep(p + a, q + a)
     # all small groups at once: every row with the d-th after it
     rows = np.flatnonzero((group > 1) & (group <= 64))
@@ -153,12 +178,14 @@ def _compare(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: np.ndar
     return pairs
 
 
-def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: list[bytes], least: float, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: list[bytes], least: float, tile: int = 512, before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs of ids that share a token and whose bitmaps allow the similarity.
 
     Bitmaps grow with the record, by doublings; where two widths meet, the wider is folded to the narrower. Records whose
-    widths are further apart than the similarity allows sizes to be aren't compared.
+    widths are further apart than the similarity allows sizes to be aren't compared. ``before``: sorted frequent tokens that a row
+    has before this one; pairs of large groups that share one are left to its group.
     """
+    before = before or [b""] * len(maps)
     width = np.array([len(m) // 8 for m in maps])
     widths = [int(w) for w in np.unique(width)]
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -170,7 +197,7 @@ def compare_blocks(token: np.ndarray, ids: np.ndarray, size: np.ndarray, maps: l
                 m = np.frombuffer(b"".join([maps[i] for i in rows[-1]]), np.uint64).reshape(len(rows[-1]), -1)
                 folded.append(np.bitwise_or.reduce(m.reshape(len(m), v // w, w), axis=1))
         at = np.concatenate(rows)
-        pairs += _compare(token[at], ids[at], size[at], np.concatenate(folded), np.arange(len(at)) < len(rows[0]), least, tile)
+        pairs += _compare(token[at], ids[at], size[at], np.concatenate(folded), np.arange(len(at)) < len(rows[0]), [before[i] for i in at], least, tile)
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs])
@@ -184,7 +211,7 @@ def bitmap_words(n: int, widest: int = 64) -> int:
     return min(widest, max(2, 1 << max(0, math.ceil(math.log2(max(n, 1) / 64)))))
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, bits: int = 23, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, bits: int = 23, hot: int = 4096, tile: int = TILE, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar pairs of distinct texts, and the records of each text.
 
     ``pairs``: a, b BIGINT (classes, a < b) and sim DOUBLE, the shingles of both texts divided by those of either, at least
@@ -194,6 +221,8 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
 
     2**``bits`` counters, one byte each (logarithmic, so that none fills up), order shingles by rarity (they decide the amount of
     work, never the result); a shingle of more than ``hot`` records is compared in pairs of slices, each its own group.
+    Records that share several shingles of ``frequent`` records or more meet in the group of the first only. What is left is
+    computed exactly, component by component, in tiles of ``tile`` records.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -215,6 +244,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], []]
             maps: list[bytes] = []
+            earlier: list[bytes] = []
             for i, t in zip(b.column("class_id").to_pylist(), b.column("text").to_pylist()):
                 h = shingles(t, width)
                 if not len(h):
@@ -227,23 +257,30 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
                     continue
                 token, slices = h[take].view(np.int64), np.ceil(_DECODED[code[take]] / hot).astype(np.int64)
                 mine = bitmap(h, bitmap_words(n)).tobytes()
+                # frequent tokens before each frequent one, in the common order: who shares one has met there
+                common = np.flatnonzero(_DECODED[code[take]] >= frequent)
+                said = [b""] * len(take)
+                for k, j in enumerate(common):
+                    said[j] = np.sort(h[take[common[:k]]]).tobytes()
                 if slices.max() > 1:
                     at = i % slices
                     rows = np.repeat(np.arange(len(take)), slices)
                     beside = np.arange(len(rows)) - np.repeat(np.cumsum(slices) - slices, slices)
                     lo, hi = np.minimum(at[rows], beside), np.maximum(at[rows], beside)
                     token = token[rows] ^ ((lo << np.int64(20)) + hi).astype(np.int64)
+                    said = [said[r] for r in rows]
                 for col, v in zip(out, (token, np.full(len(token), i), np.full(len(token), n, np.int32))):
                     col.append(v)
                 maps += [mine] * len(token)
+                earlier += said
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2])), pa.array(maps, pa.binary())], names=["token", "id", "size", "map"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1]).astype(np.int64)), pa.array(np.concatenate(out[2])), pa.array(maps, pa.binary()), pa.array(earlier, pa.binary())], names=["token", "id", "size", "map", "before"])
 
     parts = max(4 * spread_count(spark), docs.count() // 5000)
-    posted = docs.mapInArrow(post, "token bigint, id bigint, size int, map binary").withColumn("block", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    posted = docs.mapInArrow(post, "token bigint, id bigint, size int, map binary, before binary").withColumn("block", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
 
     def compare(t: pa.Table) -> pa.Table:
-        a, b = compare_blocks(t.column("token").to_numpy(), t.column("id").to_numpy(), t.column("size").to_numpy(), t.column("map").to_pylist(), least)
+        a, b = compare_blocks(t.column("token").to_numpy(), t.column("id").to_numpy(), t.column("size").to_numpy(), t.column("map").to_pylist(), least, before=t.column("before").to_pylist())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     likely = posted.repartition(parts, "block").groupBy("block").applyInArrow(compare, "a bigint, b bigint").distinct()
@@ -260,17 +297,43 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     found = docs.join(hint(wanted), "class_id").select("class_id", "text").mapInArrow(sets, "class_id bigint, set binary")
     found = scratch.put(found, "sets")
 
-    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = np.zeros(b.num_rows)
-            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                sim[i] = both / (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim)], names=["a", "b", "sim"])
-
-    pairs = likely.join(found.select(F.col("class_id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("class_id").alias("b"), F.col("set").alias("y")), "b")
-    pairs = scratch.put(pairs.select("a", "b", "x", "y").mapInArrow(similarity, "a bigint, b bigint, sim double").where(F.col("sim") >= least), "pairs")
+    # similar records lie in one component: its sets are sent in tiles, each once for every tile that it is compared with
+    nodes = connected_components(likely).select(F.col("node").alias("class_id"), "component")
+    size = nodes.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    nodes = nodes.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    nodes = scratch.put(nodes, "nodes")
+    end = lambda c, t: nodes.select(F.col("class_id").alias(c), "component", "tiles", F.col("tile").alias(t))
+    alone = F.col("tiles") == 1
+    block = F.when(alone, F.pmod(F.xxhash64("component"), F.lit(parts))).otherwise(F.col("component"))
+    side = lambda f: F.when(alone, F.lit(-1)).otherwise(f("ta", "tb"))
+    asked = likely.join(end("a", "ta"), "a").join(end("b", "tb").select("b", "tb"), "b")
+    asked = scratch.put(asked.select(block.alias("g"), side(F.least).alias("lo"), side(F.greatest).alias("hi"), "a", "b"), "asked")
+    met = asked.where("lo >= 0").select("g", "lo", "hi").distinct()
+    held = found.join(nodes, "class_id").select("class_id", "set", block.alias("g"), "tile", "tiles")
+    both = met.select("g", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tile"))
+    large = held.where("tiles > 1").join(both, ["g", "tile"]).select("g", "lo", "hi", "class_id", "set")
+    sent = held.where("tiles = 1").select("g", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "class_id", "set").unionByName(large)
+
+    def similarity(pairs: pa.Table, known: pa.Table) -> pa.Table:
+        ids = known.column("class_id").to_numpy()
+        order = np.argsort(ids)
+        sets = [np.frombuffer(v, np.uint64) for v in known.column("set").to_pylist()]
+        x, y = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        n = np.array([len(v) for v in sets])
+        if len(x) > 4 * len(sets):
+            bits, both = shared_bits(sets), np.zeros(len(x), np.int64)
+            for i in range(0, len(x), 65536):
+                for w in range(bits.shape[1]):
+                    both[i : i + 65536] += np.bitwise_count(bits[x[i : i + 65536], w] & bits[y[i : i + 65536], w])
+        else:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
+        sim = both / (n[x] + n[y] - both)
+        keep = pa.array(sim >= least)
+        return pa.table({"a": pairs.column("a").filter(keep), "b": pairs.column("b").filter(keep), "sim": pa.array(sim).filter(keep)})
+
+    by = ["g", "lo", "hi"]
+    pairs = asked.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(similarity, "a bigint, b bigint, sim double")
+    pairs = scratch.put(pairs, "pairs")
     runs = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return pairs, own.select(F.col("key").alias(key), "class_id", (runs >= width).alias("has_shingles")).distinct()
 

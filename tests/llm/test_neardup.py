@@ -68,3 +68,34 @@ def test_copies_nulls_and_groups(spark):
     assert all(groups[k] == (None, 0) for k in "defghz")
     empty = near_duplicates(df.limit(0), bits=16)
     assert record_pairs(*empty).count() == 0 and record_groups(*empty).count() == 0
+
+
+@pytest.mark.parametrize("hot", [4096, 16])
+def test_frequent_shingles_and_small_tiles(spark, hot):
+    rng = random.Random(4)
+    rows = []
+    for g, n in (("a", 110), ("b", 80)):
+        base = [f"{g}{i}" for i in range(90)]
+        for i in range(n):
+            e = list(base)
+            for _ in range(rng.randrange(5)):
+                e[rng.randrange(90)] = f"edit{rng.randrange(60)}"
+            rows.append((f"{g}{i:03}", " ".join(e)))
+    rows += [(f"o{i}", " ".join(f"x{rng.randrange(9999)}" for _ in range(50))) for i in range(40)]
+    near = near_duplicates(spark.createDataFrame(rows, "doc_hash string, text string"), least=0.8, width=5, bits=16, hot=hot, tile=7, frequent=3)
+    want = brute(rows, 0.8, 5)
+    assert {(r.hash_a, r.hash_b): pytest.approx(r.sim) for r in record_pairs(*near).collect()} == want and len(want) > 500
+    # met once: no pair was likely twice
+    assert near[0].count() == near[0].select("a", "b").distinct().count()
+
+
+def test_shared_bits():
+    import numpy as np
+
+    from inkweave.llm.neardup import shared_bits
+
+    lists = [np.array(v, np.uint64) for v in ([1, 5, 9], [5, 9, 70], [], [70])]
+    bits = shared_bits(lists)
+    both = [[int(np.bitwise_count(x & y).sum()) for y in bits] for x in bits]
+    assert both == [[2, 2, 0, 0], [2, 3, 0, 1], [0, 0, 0, 0], [0, 1, 0, 1]]
+    assert shared_bits([]).shape[0] == 0
