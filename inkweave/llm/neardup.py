@@ -24,7 +24,7 @@ from inkweave.runtime import SMALL, Scratch, spread, spread_count
 _RUNS = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
 #: Records of one tile in exact comparisons, and of how many a token counts as frequent.
-TILE, FREQUENT = 512, 1024
+TILE, FREQUENT = 512, 16_384
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
