@@ -23,8 +23,8 @@ from inkweave.runtime import SMALL, Scratch, spread, spread_count
 
 _RUNS = re.compile(r"[^\W_]+")
 _WORDS: dict[str, int] = {}
-#: Records of one tile in exact comparisons, and of how many a token counts as frequent.
-TILE, FREQUENT = 512, 16_384
+#: Of how many records a token counts as frequent.
+FREQUENT = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -211,7 +211,7 @@ def bitmap_words(n: int, widest: int = 64) -> int:
     return min(widest, max(2, 1 << max(0, math.ceil(math.log2(max(n, 1) / 64)))))
 
 
-def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, bits: int = 23, hot: int = 4096, tile: int = TILE, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text", least: float = 0.8, width: int = 5, bits: int = 23, hot: int = 4096, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): similar pairs of distinct texts, and the records of each text.
 
     ``pairs``: a, b BIGINT (classes, a < b) and sim DOUBLE, the shingles of both texts divided by those of either, at least
@@ -221,8 +221,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
 
     2**``bits`` counters, one byte each (logarithmic, so that none fills up), order shingles by rarity (they decide the amount of
     work, never the result); a shingle of more than ``hot`` records is compared in pairs of slices, each its own group.
-    Records that share several shingles of ``frequent`` records or more meet in the group of the first only. What is left is
-    computed exactly, component by component, in tiles of ``tile`` records.
+    Records that share several shingles of ``frequent`` records or more meet in the group of the first only.
     """
     spark = records.sparkSession
     scratch = Scratch(spark, "neardup")
@@ -297,43 +296,17 @@ def near_duplicates(records: DataFrame, key: str = "doc_hash", text: str = "text
     found = docs.join(hint(wanted), "class_id").select("class_id", "text").mapInArrow(sets, "class_id bigint, set binary")
     found = scratch.put(found, "sets")
 
-    # similar records lie in one component: its sets are sent in tiles, each once for every tile that it is compared with
-    nodes = connected_components(likely).select(F.col("node").alias("class_id"), "component")
-    size = nodes.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    nodes = nodes.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
-    nodes = scratch.put(nodes, "nodes")
-    end = lambda c, t: nodes.select(F.col("class_id").alias(c), "component", "tiles", F.col("tile").alias(t))
-    alone = F.col("tiles") == 1
-    block = F.when(alone, F.pmod(F.xxhash64("component"), F.lit(parts))).otherwise(F.col("component"))
-    side = lambda f: F.when(alone, F.lit(-1)).otherwise(f("ta", "tb"))
-    asked = likely.join(end("a", "ta"), "a").join(end("b", "tb").select("b", "tb"), "b")
-    asked = scratch.put(asked.select(block.alias("g"), side(F.least).alias("lo"), side(F.greatest).alias("hi"), "a", "b"), "asked")
-    met = asked.where("lo >= 0").select("g", "lo", "hi").distinct()
-    held = found.join(nodes, "class_id").select("class_id", "set", block.alias("g"), "tile", "tiles")
-    both = met.select("g", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("tile"))
-    large = held.where("tiles > 1").join(both, ["g", "tile"]).select("g", "lo", "hi", "class_id", "set")
-    sent = held.where("tiles = 1").select("g", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "class_id", "set").unionByName(large)
-
-    def similarity(pairs: pa.Table, known: pa.Table) -> pa.Table:
-        ids = known.column("class_id").to_numpy()
-        order = np.argsort(ids)
-        sets = [np.frombuffer(v, np.uint64) for v in known.column("set").to_pylist()]
-        x, y = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-        n = np.array([len(v) for v in sets])
-        if len(x) > 4 * len(sets):
-            bits, both = shared_bits(sets), np.zeros(len(x), np.int64)
-            for i in range(0, len(x), 65536):
-                for w in range(bits.shape[1]):
-                    both[i : i + 65536] += np.bitwise_count(bits[x[i : i + 65536], w] & bits[y[i : i + 65536], w])
-        else:
-            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
-        sim = both / (n[x] + n[y] - both)
-        keep = pa.array(sim >= least)
-        return pa.table({"a": pairs.column("a").filter(keep), "b": pairs.column("b").filter(keep), "sim": pa.array(sim).filter(keep)})
-
-    by = ["g", "lo", "hi"]
-    pairs = asked.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(similarity, "a bigint, b bigint, sim double")
-    pairs = scratch.put(pairs, "pairs")
+    def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sim = np.zeros(b.num_rows)
+            for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                sim[i] = both / (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim)], names=["a", "b", "sim"])
+
+    pairs = likely.join(found.select(F.col("class_id").alias("a"), F.col("set").alias("x")), "a").join(found.select(F.col("class_id").alias("b"), F.col("set").alias("y")), "b")
+    pairs = scratch.put(pairs.select("a", "b", "x", "y").mapInArrow(similarity, "a bigint, b bigint, sim double").where(F.col("sim") >= least), "pairs")
     runs = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return pairs, own.select(F.col("key").alias(key), "class_id", (runs >= width).alias("has_shingles")).distinct()
 

@@ -71,7 +71,7 @@ def test_copies_nulls_and_groups(spark):
 
 
 @pytest.mark.parametrize("hot", [4096, 16])
-def test_frequent_shingles_and_small_tiles(spark, hot):
+def test_frequent_shingles_meet_once(spark, hot):
     rng = random.Random(4)
     rows = []
     for g, n in (("a", 110), ("b", 80)):
@@ -82,7 +82,7 @@ def test_frequent_shingles_and_small_tiles(spark, hot):
                 e[rng.randrange(90)] = f"edit{rng.randrange(60)}"
             rows.append((f"{g}{i:03}", " ".join(e)))
     rows += [(f"o{i}", " ".join(f"x{rng.randrange(9999)}" for _ in range(50))) for i in range(40)]
-    near = near_duplicates(spark.createDataFrame(rows, "doc_hash string, text string"), least=0.8, width=5, bits=16, hot=hot, tile=7, frequent=3)
+    near = near_duplicates(spark.createDataFrame(rows, "doc_hash string, text string"), least=0.8, width=5, bits=16, hot=hot, frequent=3)
     want = brute(rows, 0.8, 5)
     assert {(r.hash_a, r.hash_b): pytest.approx(r.sim) for r in record_pairs(*near).collect()} == want and len(want) > 500
     # met once: no pair was likely twice
