@@ -109,6 +109,11 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     return links.mention_edges(parallel(Scratch(spark, "mentions").put(records(spark, d, "title", "file_name", "text"), "records")))
 
 
+def referring(spark: SparkSession, d: str) -> DataFrame:
+    """What references are found by, of each live record."""
+    return parallel(Scratch(spark, "references").put(records(spark, d, "title", "file_name", "text", "md_link_targets"), "records"))
+
+
 def _pooled(spark: SparkSession, d: str) -> DataFrame:
     e = current_rows(table(spark, d, "embedding_records"), "doc_hash", "saved_at", ["chunk_vectors", "n_chunks"])
     pooled = semantic.mean_pool(semantic.flat_vectors(e, "doc_hash", "chunk_vectors", "n_chunks", 96), "doc_hash", "vector")
@@ -169,7 +174,7 @@ QUERIES = {
     "duplicates_of_one": lambda s, d: semantic.duplicates_of(unit(s, d), "vec_id", "embedding", unit(s, d).where("vec_id = 0"), 0.25).select("id", F.round("sim", 6).alias("sim")),
     "reference_links": reference_links,
     "mention_edges": mentions,
-    "reference_edges": lambda s, d: links.reference_edges(reference_links(s, d), mentions(s, d)).drop("evidence"),
+    "reference_edges": lambda s, d: links.references(referring(s, d)).drop("evidence"),
     "resolved_links": lambda s, d: links.resolve_links(records(s, d, "doc_links").select(F.col("id").alias("source"), F.explode("doc_links").alias("l")).select("source", "l.url").where("url IS NOT NULL").distinct(), doc_nodes(s, d, "path", "title")),
     "viewer_links": lambda s, d: links.viewer_links(records(s, d, "doc_links", "md_link_targets")),
     "passages": lambda s, d: retrieval.passages(_search_docs(s, d)).select("id", "passage_index", F.md5("text").alias("digest")),

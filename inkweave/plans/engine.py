@@ -48,7 +48,7 @@ class Corpus:
         """Reference, entity, keyword and, with vectors (id, vector), semantic edges."""
         nodes = Scratch(self.spark, "nodes").put(self.nodes(), "nodes")
         named = nodes.withColumnRenamed("name", "file_name")
-        refs = links.reference_edges(links.link_edges(named), links.mentions(named))
+        refs = links.references(named)
         lists = [refs, lexical.entity_edges(nodes), lexical.keyword_edges(nodes)]
         if vectors is not None:
             lists.append(semantic.semantic_edges(semantic.top_neighbours(semantic.similar_pairs(vectors, "id", "vector", threshold)), threshold))
