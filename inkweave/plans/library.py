@@ -277,9 +277,7 @@ def entity_weights(s: SparkSession, d: str) -> DataFrame:
 
 
 def reference_evidence(s: SparkSession, d: str) -> DataFrame:
-    r = Scratch(s, "references").put(C.records(s, d, "title", "file_name", "text", "md_link_targets"), "records")
-    got = links.reference_edges(links.link_edges(r), links.mentions(r))
-    return got.select("source", "target", F.array_join("evidence", " | ").alias("evidence"))
+    return links.references(C.referring(s, d)).select("source", "target", F.array_join("evidence", " | ").alias("evidence"))
 
 
 def semantic_evidence(s: SparkSession, d: str) -> DataFrame:
