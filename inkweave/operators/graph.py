@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 from inkweave.config import D
 from inkweave.operators import compact
 from inkweave.operators.compact import ONE_TASK_EDGES, in_one_task
-from inkweave.runtime import Scratch
+from inkweave.runtime import SMALL, Scratch
 
 #: Rounds of distributed moves before communities become nodes; what is left is moved on the next level.
 ROUNDS = 8
+#: Nodes whose communities may be broadcast as arrays; they are counted first.
+HELD_NODES = 2_000_000
 #: The kinds of edges.
 EDGE_KINDS = ["reference", "semantic", "keyword", "entity", "topic"]
 
@@ -258,24 +262,95 @@ def bridges(nodes: DataFrame, edges: DataFrame, top: int | None = D.bridge_top,
     return found.orderBy(F.col("score").desc(), "id").limit(top) if top else found
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, small: int = ONE_TASK_EDGES) -> DataFrame:
+def _raised(scratch: Scratch, links: DataFrame, label: DataFrame, level: int) -> DataFrame:
+    """The links between communities (u, c), those within one as loops."""
+    to = label.select("u", "c")
+    up = links.join(to.select("u", F.col("c").alias("cu")), "u").join(to.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
+    return scratch.put(up.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), f"g{level + 1}")
+
+
+def _moved_arrays(scratch: Scratch, links: DataFrame, level: int, total: float, resolution: float, most: int) -> tuple[DataFrame, bool] | None:
+    """The rounds of one level, with the nodes' communities broadcast: (u, c), and whether any moved. None where there are more than ``most`` nodes.
+
+    Each node is a row with its neighbours, written once; a round reads them and returns the nodes that move.
+    """
+    if links.select(F.explode(F.array("u", "v")).alias("u")).distinct().count() > most:
+        return None
+    spark = links.sparkSession
+    ways = links.select("u", F.struct("v", F.when(F.col("u") == F.col("v"), 2 * F.col("w")).otherwise(F.col("w")).alias("w")).alias("n")).unionByName(links.where("u <> v").select(F.col("v").alias("u"), F.struct(F.col("u").alias("v"), "w").alias("n")))
+    near = ways.groupBy("u").agg(F.collect_list("n").alias("n")).select("u", F.col("n")["v"].alias("v"), F.col("n")["w"].alias("w"))
+    near = scratch.put(near, f"n{level}")
+    got = near.select("u", F.aggregate("w", F.lit(0.0), lambda t, x: t + x).alias("k")).toArrow()
+    names, k = got.column("u").to_numpy(), got.column("k").to_numpy()
+    order = np.argsort(names)
+    names, k = names[order], k[order]
+    n = len(names)
+    label, moved_any, still, r = np.arange(n), False, 0, 0
+    while True:
+        r += 1
+        shared = spark.sparkContext.broadcast((names, k, label, np.bincount(label, k, n)))
+        lower = r % 2 == 1
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, k, label, held = shared.value
+            for b in batches:
+                # pieces of about a million neighbours
+                upto = np.cumsum(np.diff(b.column("v").offsets.to_numpy()))
+                cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(1_000_000, int(upto[-1]) if len(upto) else 0, 1_000_000)), b.num_rows])
+                for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    p = b.slice(first, last - first)
+                    u = np.searchsorted(names, p.column("u").to_numpy())
+                    row = np.repeat(np.arange(len(u)), np.diff(p.column("v").offsets.to_numpy()))
+                    v, w = np.searchsorted(names, p.column("v").flatten().to_numpy()), p.column("w").flatten().to_numpy()
+                    other = v != u[row]
+                    key = np.r_[row[other] * n + label[v[other]], np.arange(len(u)) * n + label[u]]
+                    key, at = np.unique(key, return_inverse=True)
+                    weight = np.bincount(at, np.r_[w[other], np.zeros(len(u))], len(key))
+                    row, to = key // n, key % n
+                    own, strength = label[u[row]], k[u[row]]
+                    gain = np.round(weight - resolution * strength * (held[to] - np.where(to == own, strength, 0.0)) / (2 * total), 9)
+                    # the least number wins ties; staying wins against an equal gain
+                    ok = np.flatnonzero(to <= own if lower else to >= own)
+                    ok = ok[np.lexsort((to[ok], to[ok] != own[ok], -gain[ok], row[ok]))]
+                    best = ok[np.unique(row[ok], return_index=True)[1]]
+                    best = best[to[best] != own[best]]
+                    yield pa.RecordBatch.from_arrays([pa.array(u[row[best]]), pa.array(to[best])], names=["i", "c"])
+
+        new = near.mapInArrow(run, "i bigint, c bigint").toArrow()
+        shared.destroy()
+        label = label.copy()
+        label[new.column("i").to_numpy()] = new.column("c").to_numpy()
+        moved_any |= new.num_rows > 0
+        # the last few moves change little, and the next level makes up for them
+        still = 0 if new.num_rows > n / 200 else still + 1
+        if still == 2 or r == ROUNDS:
+            break
+    return scratch.put(spark.createDataFrame(pa.table({"u": names, "c": names[label]})), f"c{level}"), moved_any
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, small: int = ONE_TASK_EDGES, most: int = HELD_NODES) -> DataFrame:
     """Communities of high modularity: id, community (named by its least node). Nodes without edges are communities of their own.
 
     Louvain's moves, made for all nodes at once: each joins the neighbouring community with the greatest gain, only towards lower
     numbers in even rounds and higher ones in odd rounds (so that two nodes never swap); then communities become nodes. Once
     ``small`` edges or less are left, one task makes the remaining moves, a node at a time. Weights of parallel edges add up, a
-    null weight counts as 0.5. Every distributed round is a join and two aggregations.
+    null weight counts as 0.5. Up to ``most`` nodes the communities are broadcast, and a round shuffles nothing; beyond, every
+    distributed round is a join and two aggregations.
     """
     scratch = Scratch(nodes.sparkSession, "communities")
     w = F.coalesce("weight", F.lit(0.5))
-    pair = edges.where("source <> target").groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.sum(w).alias("w"))
+    u, v = F.xxhash64("source"), F.xxhash64("target")
+    pair = edges.where("source <> target").groupBy(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).agg(F.sum(w).alias("w"))
     known = nodes.select("id").distinct()
     ids = scratch.put(known.withColumn("c", F.xxhash64("id")), "ids")
-    total = pair.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("t")).first().t
+    links = scratch.put(pair, "g0")
+    total, n = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.count("*")).first()
     member = ids
     if total > 0:
-        links = pair.join(ids.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(ids.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
-        links = scratch.put(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "w"), "g0")
+        there = ids.select("c").distinct()
+        there = F.broadcast(there) if there.count() <= SMALL else there
+        sound = links.join(there.withColumnRenamed("c", "u"), "u", "left_semi").join(there.withColumnRenamed("c", "v"), "v", "left_semi")
+        links = links if sound.count() == n else scratch.put(sound.select("u", "v", "w"), "g0-known")
         level = -1
         while True:
             level += 1
@@ -289,6 +364,13 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, sm
                 last = in_one_task(links.select("u", "v", "w"), run, "c bigint, n bigint")
                 member = scratch.put(member.join(last, "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")
                 break
+            if (moved := _moved_arrays(scratch, links, level, total, resolution, most)) is not None:
+                label, moved_any = moved
+                member = scratch.put(member.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")
+                if not moved_any:
+                    break
+                links = _raised(scratch, links, label, level)
+                continue
             sides = links.where("u <> v").select("u", "v", "w").unionByName(links.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
             sides = scratch.put(sides.groupBy("u", "v").agg(F.sum("w").alias("w")), f"s{level}")
             loops = links.where("u = v").groupBy("u").agg((2 * F.sum("w")).alias("l"))
@@ -317,9 +399,7 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.25, sm
             member = scratch.put(member.join(label.select(F.col("u").alias("c"), F.col("c").alias("n")), "c", "left").select("id", F.coalesce("n", "c").alias("c")), f"m{level}")
             if not moved_any:
                 break
-            to = label.select("u", "c")
-            up = links.join(to.select("u", F.col("c").alias("cu")), "u").join(to.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v")
-            links = scratch.put(up.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), f"g{level + 1}")
+            links = _raised(scratch, links, label, level)
     named = member.groupBy("c").agg(F.min("id").alias("community"))
     return member.join(named, "c").select("id", "community")
 

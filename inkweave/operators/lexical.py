@@ -65,17 +65,38 @@ def top_entities(docs: DataFrame, key: str, text: str, top: int = 12) -> DataFra
     return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select(key, "entity", "n", "rank")
 
 
+def _pairs_by_two(rare: DataFrame, min_shared: int) -> DataFrame:
+    """The pairs of ``shared_pairs`` among documents (item, doc, w) that share two items or more.
+
+    Documents meet by every two of their items and bring all their items along, so that a pair is counted where it stands, at
+    the first two items that it shares: pairs are neither shuffled nor grouped, and those that share one item are never formed.
+    """
+    scratch = Scratch(rare.sparkSession, "shared")
+    numbers = scratch.put(rare.select("item").distinct().withColumn("no", F.monotonically_increasing_id()), "numbers")
+    own = rare.join(numbers, "item").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("no", "w"))).alias("items")).where(F.size("items") >= min_shared)
+    own = scratch.put(own, "own")
+    twos = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda y: F.struct(x["no"].alias("p"), y["no"].alias("q")))))
+    met = own.select("doc", "items", F.explode(twos).alias("t")).select("doc", "items", "t.p", "t.q")
+    both = met.select("p", "q", F.col("doc").alias("a"), "items").join(met.select("p", "q", F.col("doc").alias("b"), F.col("items")["no"].alias("others")), ["p", "q"]).where("a < b")
+    both = both.select("a", "b", "p", "q", F.filter("items", lambda x: F.array_contains("others", x["no"])).alias("s"))
+    both = both.where((F.get("s", F.lit(0))["no"] == F.col("p")) & (F.get("s", F.lit(1))["no"] == F.col("q")))
+    score = F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x["w"]), 6)
+    return both.select("a", "b", score.alias("score"), F.size("s").cast("bigint").alias("n_shared")).where(F.col("n_shared") >= min_shared)
+
+
 def shared_pairs(docs: DataFrame, key: str, items: str, weight: str = "add", min_shared: int = D.min_shared, most_df: int | None = D.pairing_df) -> DataFrame:
     """Pairs of documents that share items: a, b, score (sum of the shared items' weights), n_shared.
 
     Items of one document only, or of more than ``most_df``, pair nothing: that bounds the pairs of a frequent item (with None
-    all pair). ``weight``: ``add`` for ln(1 + n / df), ``smooth`` for ln((1 + n) / (1 + df)). Null and empty items don't count.
+    all pair; then documents meet by two items, see ``_pairs_by_two``). ``weight``: ``add`` for ln(1 + n / df), ``smooth`` for ln((1 + n) / (1 + df)). Null and empty items don't count.
     """
     n = docs.agg(F.count("*").alias("n_docs"))  # one row
     flat = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(items)).alias("item")).where("item IS NOT NULL AND item <> ''")
     df = flat.groupBy("item").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.lit(True) if most_df is None else F.col("df") <= most_df))
     idf = F.log(1 + F.col("n_docs") / F.col("df")) if weight == "add" else F.log((1 + F.col("n_docs")) / (1 + F.col("df")))
     rare = flat.join(df, "item").join(F.broadcast(n)).select("item", "doc", idf.alias("w"))
+    if most_df is None and min_shared >= 2:
+        return _pairs_by_two(rare, min_shared)
     pairs = rare.select("item", F.col("doc").alias("a"), "w").join(rare.select("item", F.col("doc").alias("b")), "item").where("a < b")
     return pairs.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("n_shared")).where(F.col("n_shared") >= min_shared)
 
