@@ -1,7 +1,7 @@
 """Similarity clusters: a Gaussian mixture on standardised, reduced features.
 
 Every pass of expectation-maximisation runs over all rows; each partition returns sums of a fixed size, which are added up in
-Spark. The driver holds parameters only, and a bounded sample that chooses where components begin.
+Spark. Where components begin is found in batches that hold all rows together. The driver holds parameters only, and sums of groups.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ class Mixture:
 
 
 def dense_groups(u: np.ndarray, least: float, fewest: int, part: float = 0.7) -> list[np.ndarray]:
-    """Groups of similar rows among unit vectors, where components are begun: the densest row first.
+    """Groups of similar rows among the unit vectors of a batch, where components are begun: the densest row first.
 
     A group begins with what is similar to a row; its members are then those whose average cosine to it is at least ``part``
     of the members' median one, until that changes nothing.
@@ -133,53 +133,136 @@ def dense_groups(u: np.ndarray, least: float, fewest: int, part: float = 0.7) ->
             free &= ~held
 
 
-def fit_mixture(vectors: DataFrame, dim: int, n: int, project: Callable[[np.ndarray], np.ndarray], d: int, least: float, passes: int, fewest: int, sample: int, floor: float, seed: int) -> Mixture:
+def cells(y: np.ndarray, count: int) -> np.ndarray:
+    """About ``count`` cells of rotated rows: the axis, and its side, along which a row is longest; further axes divide further."""
+    cell, at, left = np.zeros(len(y), np.int64), 0, count
+    while left > 1 and at < y.shape[1]:
+        wide = y[:, at : at + -(-left // 2)]
+        top = np.abs(wide).argmax(1)
+        cell = cell * (2 * wide.shape[1]) + 2 * top + (wide[np.arange(len(y)), top] < 0)
+        at, left = at + wide.shape[1], -(-left // (2 * wide.shape[1]))
+    return cell
+
+
+def dealt_noise(vectors: DataFrame, scratch: Scratch, dim: int, model: Mixture, project: Callable[[np.ndarray], np.ndarray], d: int, rest: int, size: int, turn: int, seed: int) -> DataFrame:
+    """Every row that is noise in ``model``, about ``rest``, in one batch of about ``size`` rows: cell, part, key, vec.
+
+    The first turn deals all rows by hash, the others by cells of a random rotation, so that rows of one direction meet; large
+    cells are divided by hash. The batches depend on the rows only, not on their partitions.
+    """
+    hashed = F.xxhash64("key", "vec", F.lit(seed + turn))
+    if not turn:
+        return vectors.select(F.lit(0).cast("bigint").alias("cell"), F.pmod(hashed, F.lit(-(-rest // size))).alias("part"), "key", "vec")
+    turned = np.linalg.qr(np.random.default_rng(seed + turn).standard_normal((d, d)))[0]
+
+    def noisy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = project(matrix(b, "vec", dim))
+                at = np.flatnonzero(model.log_parts(x).argmax(1) == 0)
+                cell = pa.array(cells(x[at] @ turned, -(-rest // size)))
+                yield pa.RecordBatch.from_arrays([cell, *(b.column(c).take(pa.array(at)) for c in ("key", "vec"))], names=["cell", "key", "vec"])
+
+    noise = scratch.put(vectors.select("key", "vec").mapInArrow(noisy, "cell bigint, key string, vec binary"), f"turn-{turn}/noise")
+    parts = noise.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    return noise.join(parts, "cell").select("cell", F.pmod(hashed, "parts").alias("part"), "key", "vec")
+
+
+#: Rows, degrees of freedom, sum of the vectors, squares around the mean of the features, of a group that a component may begin from.
+BEGUN = "n bigint, free bigint, total binary, scatter binary"
+
+
+def as_table(count: np.ndarray, free: np.ndarray, total: np.ndarray, scatter: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(count, pa.int64()), pa.array(free, pa.int64()), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (total, scatter))], names=["n", "free", "total", "scatter"])
+
+
+def joined(t: pa.Table, dim: int, d: int, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of different batches that are one: the largest takes those whose average cosine to it is ``alike`` of that within the tighter one."""
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("n", "free", "total", "scatter"))), key=lambda r: (-r[0], r[2]))
+    count, free = (np.array([r[i] for r in rows], np.float64) for i in (0, 1))
+    total, scatter = (np.frombuffer(b"".join(r[i] for r in rows), np.float64).reshape(-1, w) for i, w in ((2, dim), (3, d)))
+    mean = total / np.maximum(count, 1)[:, None]
+    within = ((total**2).sum(1) - count) / np.maximum(count * (count - 1), 1)
+    out, left = [], np.arange(len(rows))
+    while len(left):
+        same = mean[left] @ mean[left[0]] >= alike * np.maximum(within[left], within[left[0]])
+        same[0] = True
+        out.append([m[left[same]].sum(0) for m in (count, free, total, scatter)])
+        left = left[~same]
+    size = len(out)
+    return tuple(np.array([o[i] for o in out]).reshape(size, *w) for i, w in enumerate(((), (), (dim,), (d,))))  # type: ignore[return-value]
+
+
+def begun_groups(dealt: DataFrame, scratch: Scratch, name: str, dim: int, project: Callable[[np.ndarray], np.ndarray], d: int, least: float, fewest: int, alike: float, many: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The dense groups of all batches, those of one direction joined; more than ``many`` are joined in Spark first, as far as that makes them fewer."""
+
+    def dense(t: pa.Table) -> pa.Table:
+        rows = sorted((k or "", v) for k, v in zip(t.column("key").to_pylist(), t.column("vec").to_pylist()))
+        u = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(-1, dim)
+        got = dense_groups(u, least, fewest) if len(u) >= fewest else []
+        x = project(u.astype(np.float64))
+        size = np.array([len(g) for g in got], np.int64)
+        return as_table(size, size - 1, np.array([u[g].sum(0, dtype=np.float64) for g in got]), np.array([((x[g] - x[g].mean(0)) ** 2).sum(0) for g in got]))
+
+    groups = scratch.put(spread(dealt, "cell", "part").groupBy("cell", "part").applyInArrow(dense, BEGUN), name)
+    size, level = groups.count(), 0
+    while size > many:
+        by, level = F.pmod(F.xxhash64("total", F.lit(level)), F.lit(-(-size // many))).alias("part"), level + 1
+        groups = scratch.put(spread(groups.select("*", by), "part").groupBy("part").applyInArrow(lambda t: as_table(*joined(t, dim, d, alike)), BEGUN), f"{name}-{level}")
+        before, size = size, groups.count()
+        if size > 0.9 * before:
+            break
+    return joined(groups.toArrow(), dim, d, alike)
+
+
+def gains(count: np.ndarray, free: np.ndarray, mean: np.ndarray, scatter: np.ndarray, var: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """By how much the log-likelihood of each group's rows rises where it is a component, of ``share`` of the noise, instead of noise."""
+    n = count[:, None]
+    own = scatter / np.maximum(free, 1)[:, None]
+    return 0.5 * n[:, 0] * (own + mean**2 - own / n - own / var - np.log(var)).sum(1) + count * np.log(share)
+
+
+def fit_mixture(vectors: DataFrame, scratch: Scratch, dim: int, n: int, project: Callable[[np.ndarray], np.ndarray], d: int, least: float, passes: int, fewest: int, sample: int, alike: float, floor: float, seed: int) -> Mixture:
     """A mixture with as many components as the information criterion bears, fitted to all rows.
 
-    It begins as noise only. In each round components are begun from dense groups in a sample of the rows that are still noise, all
-    components are fitted by passes over all rows, and those stay whose rows' log-likelihood would fall without them by more
-    than the Bayesian criterion asks for a mean and a covariance. It ends when a round adds none and the sample was all the
-    noise there is, or after two such rounds with different samples.
+    It begins as noise only. In each round all rows that are still noise are dealt into batches, components are begun from the dense
+    groups of every batch, all components are fitted by passes over all rows, and those stay whose rows' log-likelihood would
+    fall without them by more than the Bayesian criterion asks for a mean and a covariance. It ends when a round adds none and
+    the noise was one batch, or after three such rounds with different batches.
     """
     model, idle, turn, rest = Mixture.noise(d), 0, 0, n
     pooled: np.ndarray | None = None
     while True:
-        held = model
-
-        def noisy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    noise = np.flatnonzero(held.log_parts(project(matrix(b, "vec", dim))).argmax(1) == 0)
-                    yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(noise)) for c in ("key", "vec")], names=["key", "vec"])
-
-        # one row in ``step`` by hash: about ``sample`` at most, whatever the number of rows and partitions
-        step = -(-rest // sample)
-        drawn = vectors.select("key", "vec").where(F.pmod(F.xxhash64("key", "vec", F.lit(seed + turn)), F.lit(step)) == 0)
-        rows = sorted((r.key or "", bytes(r.vec)) for r in drawn.mapInArrow(noisy, "key string, vec binary").collect())
-        u = np.array([np.frombuffer(v, np.float32) for _, v in rows], np.float32).reshape(-1, dim)
-        begun = dense_groups(u, least, fewest) if len(u) >= fewest else []
-        before, turn = len(model.weight), turn + 1
-        added = 0
-        if begun:
-            x = project(u.astype(np.float64))
-            if pooled is None:
-                pooled = sum(((x[g] - x[g].mean(0)) ** 2).sum(0) for g in begun) / max(1, sum(len(g) - 1 for g in begun)) + floor
-            share = np.array([len(g) for g in begun]) / len(u) * model.weight[0]
+        batches = -(-rest // sample)
+        count, free, total, scatter = begun_groups(dealt_noise(vectors, scratch, dim, model, project, d, rest, sample, turn, seed), scratch, f"turn-{turn}/begun", dim, project, d, least, fewest, alike)
+        scratch.drop(f"turn-{turn}")
+        before, added = len(model.weight), 0
+        if len(count):
+            within = scatter.sum(0) / max(1.0, float(free.sum())) + floor if pooled is None else pooled
+            mean, share = project(total / count[:, None]), count / max(rest, count.sum())
+            # one batch holds whole groups; of hashed ones the joined groups are whole, a cell may have a quarter of one
+            bears = 0 if batches == 1 else 0.25 if turn else 1
+            if bears:
+                begin = gains(count, free, mean, scatter, within, share) > bears * d * np.log(count)
+                count, mean, share = count[begin], mean[begin], share[begin]
+        if len(count):
+            pooled, share = within, share * model.weight[0]
             weight = np.concatenate([[max(model.weight[0] - share.sum(), 1 / n)], model.weight[1:], share])
-            model = Mixture(weight / weight.sum(), np.concatenate([model.mean, [x[g].mean(0) for g in begun]]), np.concatenate([model.var, np.repeat(pooled[None], len(begun), 0)]))
+            model = Mixture(weight / weight.sum(), np.concatenate([model.mean, mean]), np.concatenate([model.var, np.repeat(pooled[None], len(count), 0)]))
             for _ in range(passes):
                 now = model
                 model = model.updated(summed(vectors, "vec", dim, model.size, lambda v: now.stats(project(v))), float(d), floor)
             k, last = len(model.weight), model
             got = summed(vectors, "vec", dim, 2 * k, lambda v: last.losses(project(v)))
-            count, loss = got[:k], got[k:]
-            stays = (count >= fewest) & (loss > d * np.log(np.maximum(count, 2)))
+            rows, loss = got[:k], got[k:]
+            stays = (rows >= fewest) & (loss > d * np.log(np.maximum(rows, 2)))
             stays[0] = True
             added = int(stays[before:].sum())
             model = model.only(stays)
-            rest = max(1, int(count[0] + count[~stays].sum()))  # what is noise now, at most
+            rest = max(1, int(rows[0] + rows[~stays].sum()))  # what is noise now, at most
+        turn += 1
         idle = 0 if added else idle + 1
-        if not added and (step == 1 or idle == 2):
+        if not added and (batches == 1 or idle == 3):
             return model
 
 
@@ -215,7 +298,7 @@ def similarity_clusters(vectors: DataFrame, dim: int, least: float = 0.2, passes
     under other keys count each. Features are standardised and reduced to the principal components that carry ``kept`` of
     their variance, since small clusters hardly show in the variance; a Gaussian mixture with regularised covariances and a
     component for noise is fitted to them, with as many components as the information criterion bears, without an upper bound.
-    Each round of components begins from about ``sample`` rows at most, chosen by hash. Components with members that are as
+    Every round of components begins from all rows that are still noise, which meet in batches of about ``sample`` rows. Components with members that are as
     similar to each other's as to their own (``alike``) are one cluster. A vector belongs to the cluster to whose members its
     average cosine is highest (ties: the larger cluster), to none where that is below ``least``. ``density`` is the log
     density in the mixture, by which members represent a cluster. A cluster has ``fewest`` members at least; without any
@@ -237,7 +320,7 @@ def similarity_clusters(vectors: DataFrame, dim: int, least: float = 0.2, passes
     d = min(dim, 1 + int(np.searchsorted(np.cumsum(values), kept * values.sum())))
     axes = axes[:, :d]
     project = lambda x: ((x - mu) / sd) @ axes
-    model = fit_mixture(held, dim, n, project, d, least, passes, fewest, sample, floor, seed)
+    model = fit_mixture(held, scratch, dim, n, project, d, least, passes, fewest, sample, alike, floor, seed)
 
     k = len(model.weight)
 

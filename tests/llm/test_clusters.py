@@ -3,7 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from inkweave.llm.clusters import describe_clusters, right_numbers, similarity_clusters
+from inkweave.llm.clusters import Mixture, begun_groups, dealt_noise, describe_clusters, right_numbers, similarity_clusters
+from inkweave.runtime import Scratch
 
 DIM = 24
 
@@ -101,6 +102,39 @@ def test_a_group_that_the_sample_lacks(spark):
     assert len(rare) == 1 and -1 not in rare and not rare & {by[f"k{i}"] for i in range(20_000)}
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_a_rare_group_in_much_noise(spark, seed):
+    # 512 rows have one of the 24 by chance
+    x = np.random.default_rng(seed).standard_normal((20_024, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[20_000:] = 0.66 * x[0] + 0.75 * x[20_000:]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    by = {r.key: r.grp for r in similarity_clusters(frame(spark, x), 96, sample=512).collect()}
+    assert {by[f"k{i}"] for i in range(20_000, 20_024)} == {0} and set(by.values()) == {-1, 0}
+
+
+def test_every_noise_row_is_in_one_batch(spark):
+    x, _ = capped_noise(3000, 4, np.ones(4), 6, lost=0.5)
+    rows, scratch = frame(spark, x), Scratch(spark, "dealt")
+    for turn in (0, 1, 2):
+        first = dealt_noise(rows, scratch, 96, Mixture.noise(96), lambda v: v, 96, 3000, 256, turn, 11).select("key", "cell", "part").collect()
+        assert sorted(r.key for r in first) == sorted(f"k{i}" for i in range(3000)) and len({(r.cell, r.part) for r in first}) >= 12
+        scratch.drop()
+        assert {*first} == {*dealt_noise(rows.repartition(7), scratch, 96, Mixture.noise(96), lambda v: v, 96, 3000, 256, turn, 11).select("key", "cell", "part").collect()}
+        scratch.drop()
+
+
+def test_groups_are_joined_in_spark_too(spark):
+    x, g = capped_noise(6000, 20, np.ones(20), 9, lost=0)
+    dealt = frame(spark, x).selectExpr("CAST(0 AS BIGINT) AS cell", "CAST(substr(key, 2) AS BIGINT) % 12 AS part", "key", "vec")
+    got = [begun_groups(dealt, Scratch(spark, f"begun{many}"), "begun", 96, lambda v: v, 96, 0.2, 4, 0.75, many) for many in (8192, 64)]
+    for count, free, total, _ in got:
+        large = count >= 200
+        assert large.sum() == 20 and 5700 <= count.sum() <= 6000 and (free <= count - 1).all()
+        near = np.array([x[g == k].mean(0) for k in range(20)]) @ (total[large] / count[large, None]).T
+        assert sorted(near.argmax(0)) == list(range(20))
+
+
 def test_right_numbers(spark):
     c = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", -1), ("e", 1), ("f", 2)], "key string, grp int")
     s = spark.createDataFrame([("a", 7), ("b", 7), ("c", 9), ("d", 3), ("e", None), ("f", 5), ("z", 1)], "key string, number int")
