@@ -215,10 +215,14 @@ def begun_groups(dealt: DataFrame, scratch: Scratch, name: str, dim: int, projec
     return joined(groups.toArrow(), dim, d, alike)
 
 
-def gains(count: np.ndarray, free: np.ndarray, mean: np.ndarray, scatter: np.ndarray, var: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """By how much the log-likelihood of each group's rows rises where it is a component, of ``share`` of the noise, instead of noise."""
+def gains(count: np.ndarray, free: np.ndarray, mean: np.ndarray, scatter: np.ndarray, pooled: np.ndarray, held: float, share: np.ndarray) -> np.ndarray:
+    """By how much the log-likelihood of each group's rows rises where it is a component, of ``share`` of the noise, instead of noise.
+
+    The component's covariance is regularised as in ``Mixture.updated``: ``pooled`` counts like ``held`` rows.
+    """
     n = count[:, None]
     own = scatter / np.maximum(free, 1)[:, None]
+    var = (n * own + held * pooled) / (n + held)
     return 0.5 * n[:, 0] * (own + mean**2 - own / n - own / var - np.log(var)).sum(1) + count * np.log(share)
 
 
@@ -243,7 +247,7 @@ def fit_mixture(vectors: DataFrame, scratch: Scratch, dim: int, n: int, project:
             # one batch holds whole groups; of hashed ones the joined groups are whole, a cell may have a quarter of one
             bears = 0 if batches == 1 else 0.25 if turn else 1
             if bears:
-                begin = gains(count, free, mean, scatter, within, share) > bears * d * np.log(count)
+                begin = gains(count, free, mean, scatter, within, float(d), share) > bears * d * np.log(count)
                 count, mean, share = count[begin], mean[begin], share[begin]
         if len(count):
             pooled, share = within, share * model.weight[0]

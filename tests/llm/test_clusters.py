@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from inkweave.llm.clusters import Mixture, begun_groups, dealt_noise, describe_clusters, right_numbers, similarity_clusters
+from inkweave.llm.clusters import Mixture, begun_groups, dealt_noise, describe_clusters, gains, right_numbers, similarity_clusters
 from inkweave.runtime import Scratch
 
 DIM = 24
@@ -124,6 +124,18 @@ def test_every_noise_row_is_in_one_batch(spark):
         scratch.drop()
 
 
+def test_gains_tell_wide_groups_from_chance(spark):
+    rng = np.random.default_rng(2)
+    pooled = np.full(96, 0.5)
+    wide = 0.7 * rng.choice([-1, 1], 96) + 0.75 * rng.standard_normal((1000, 96))
+    chance = [rng.standard_normal((4, 96)) for _ in range(50)]
+    groups = [wide, *chance]
+    count = np.array([float(len(g)) for g in groups])
+    got = gains(count, count - 1, np.array([g.mean(0) for g in groups]), np.array([((g - g.mean(0)) ** 2).sum(0) for g in groups]), pooled, 96.0, count / 20_000)
+    bic = 96 * np.log(count)
+    assert got[0] > bic[0] and (got[1:] < 0.25 * bic[1:]).all()
+
+
 def test_groups_are_joined_in_spark_too(spark):
     x, g = capped_noise(6000, 20, np.ones(20), 9, lost=0)
     dealt = frame(spark, x).selectExpr("CAST(0 AS BIGINT) AS cell", "CAST(substr(key, 2) AS BIGINT) % 12 AS part", "key", "vec")
