@@ -230,7 +230,7 @@ def fit_mixture(vectors: DataFrame, scratch: Scratch, dim: int, n: int, project:
     """A mixture with as many components as the information criterion bears, fitted to all rows.
 
     It begins as noise only. In each round all rows that are still noise are dealt into batches, components are begun from the dense
-    groups of every batch, all components are fitted by passes over all rows, and those stay whose rows' log-likelihood would
+    groups of every batch (where there are several, from those that come near the criterion), all components are fitted by passes over all rows, and those stay whose rows' log-likelihood would
     fall without them by more than the Bayesian criterion asks for a mean and a covariance. It ends when a round adds none and
     the noise was one batch, or after three such rounds with different batches.
     """
